@@ -105,6 +105,20 @@ def hot_lookup(left: DataFrame, key: str, right: DataFrame, value: str, share: i
     return warm.unionByName(cold)
 
 
+def may_be_in(left: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of ``left`` whose ``key`` may be among ``keys`` (same column name): a filter before an exact join.
+
+    The filter is a bitmap of 2^bits bits over a hash of the key, broadcast as at most 2^(bits-6) rows (4 MB at 24)
+    however many keys there are; with too many keys it only filters less.
+    """
+    place = F.col("_h").bitwiseAND(F.lit((1 << bits) - 1))
+    hashed = keys.select(F.xxhash64(key).alias("_h")).select(F.shiftright(place, 6).alias("_w"), F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_m"))
+    bitmap = hashed.groupBy("_w").agg(F.bit_or("_m").alias("_m"))
+    marked = left.withColumn("_h", F.xxhash64(key))
+    marked = marked.join(F.broadcast(bitmap), F.shiftright(place, 6) == F.col("_w"))
+    return marked.filter("(_m & shiftleft(1L, cast(_h & 63 as int))) <> 0").select(*left.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, component)`` for every endpoint of ``edges``: component is the smallest id reachable.
 

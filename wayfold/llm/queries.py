@@ -28,6 +28,36 @@ def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.lsm_dedup import exact_dedup
+
+    found = exact_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP5_SQL = """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
+select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.t) as text_sha256
+from d join g on d.t = g.t
+"""
+
+
+def op6_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.count_transducer import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), 1024)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.common import texts_of
+    from wayfold.llm.toxicity import fit, held_out, score_documents
+
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_documents(texts_of(docs), fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm.packing import pack_documents
 
@@ -39,9 +69,12 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_frames": op2_token_frames,
         "op3_bpe_chunks": op3_bpe_chunks,
+        "op5_lsm_dedup": op5_lsm_dedup,
+        "op6_count_transducer": op6_count_transducer,
+        "op7_toxicity": op7_toxicity,
         "op9_packing": op9_packing,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_lsm_dedup": OP5_SQL}
