@@ -58,6 +58,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.lsh_forest import near_dedup
+
+    return near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm.packing import pack_documents
 
@@ -72,6 +78,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lsm_dedup": op5_lsm_dedup,
         "op6_count_transducer": op6_count_transducer,
         "op7_toxicity": op7_toxicity,
+        "op8_lsh_forest": op8_lsh_forest,
         "op9_packing": op9_packing,
     }
 
