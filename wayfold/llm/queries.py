@@ -28,6 +28,12 @@ def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.pivot_dedup import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm.lsm_dedup import exact_dedup
 
@@ -71,15 +77,25 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against those labelled to be of good quality."""
+    from wayfold.llm.lm_scoring import score_documents
+
+    good = read_table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return score_documents(read_table(spark, sf_dir, "documents"), good, tokenizer_path(WORD_BPE))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_frames": op2_token_frames,
         "op3_bpe_chunks": op3_bpe_chunks,
+        "op4_pivot_index": op4_pivot_index,
         "op5_lsm_dedup": op5_lsm_dedup,
         "op6_count_transducer": op6_count_transducer,
         "op7_toxicity": op7_toxicity,
         "op8_lsh_forest": op8_lsh_forest,
         "op9_packing": op9_packing,
+        "op10_cross_entropy": op10_cross_entropy,
     }
 
 
