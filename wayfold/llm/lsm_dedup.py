@@ -1,8 +1,7 @@
 """Exact deduplication through a log-structured merge index of text digests, in DataFrame operations only.
 
-Memtables: documents are dealt to runs by a hash of their id, and each run aggregates its digests before anything is
-shuffled, so a text that fills a third of the table becomes one row for each run and task. A flush writes a run as a
-Parquet table sorted by digest, with a Bloom filter on the digest in its files. Compaction merges the runs into one row
+Memtables: documents are dealt to runs by a hash of their id, so a text that fills a third of the table is spread over
+all runs and becomes one row in each. A flush writes a run as a Parquet file sorted by digest, with a Bloom filter on the digest. Compaction merges the runs into one row
 for each digest with its smallest and largest identifier and its count. Digests met more than once are hits; a bitmap of
 them filters the second read of the texts, and the bytes of the texts that pass are compared by grouping on them, so
 equal digests of different texts do not merge.
@@ -17,8 +16,6 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import drop_path, hot_lookup, may_be_in, new_path, texts_of, written
 
-RUNS = 8
-
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
@@ -33,14 +30,16 @@ class DigestIndex:
     def digests(self, docs: DataFrame) -> DataFrame:
         return texts_of(docs).select("doc_id", self.digest(F.col("text")).alias("digest"))
 
-    def flush(self, digests: DataFrame, runs: int = RUNS) -> None:
-        """Adds ``runs`` sorted runs made of ``doc_id, digest`` rows."""
-        memtables = digests.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run"), "digest").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("n"))
-        memtables.sortWithinPartitions("run", "digest").write.mode("append").partitionBy("run").option("parquet.bloom.filter.enabled#digest", "true").parquet(self.folder)
+    def flush(self, digests: DataFrame, runs: int, rows: int) -> None:
+        """Adds ``runs`` sorted runs, a file each, made of ``doc_id, digest`` rows (``rows`` of them: the filters' size)."""
+        dealt = digests.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs))).repartition(runs, "run")
+        memtables = dealt.groupBy("run", "digest").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("n"))
+        filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(max(1, rows // runs))}
+        memtables.sortWithinPartitions("run", "digest").write.mode("append").options(**filters).parquet(self.folder)
 
     def compact(self) -> DataFrame:
         """One row for each digest, over all runs."""
-        runs = self.spark.read.schema("digest binary, smallest long, largest long, n long, run long").parquet(self.folder)
+        runs = self.spark.read.schema("run long, digest binary, smallest long, largest long, n long").parquet(self.folder)
         return runs.groupBy("digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n").alias("n"))
 
 
@@ -56,7 +55,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column
     spark = docs.sparkSession
     index = DigestIndex(spark, digest=digest)
     digests, _ = written(index.digests(docs), "digest-rows")
-    index.flush(digests)
+    index.flush(digests, int(spark.conf.get("spark.sql.shuffle.partitions")), digests.count())
     hits, hits_path = written(index.compact().filter("n > 1").select("digest", "n"), "digest-hits")
     drop_path(spark, index.folder)
     texts = may_be_in(texts_of(docs).withColumn("digest", digest(F.col("text"))), "digest", hits)
