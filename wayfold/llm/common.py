@@ -98,25 +98,42 @@ def hot_lookup(left: DataFrame, key: str, right: DataFrame, value: str, share: i
     """
     least = max(1000, left.count() // share)
     hot = left.groupBy(key).count().filter(F.col("count") > least).select(key)
-    hot = hot.join(right.select(key, value), key, "left").select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.lit(True).alias("_hot"))
-    marked = left.join(F.broadcast(hot), left[key].eqNullSafe(F.col("_k")), "left")
-    warm = marked.filter("_hot").select(*left.columns, F.col("_v").alias(value))
-    cold = marked.filter("_hot is null").select(*left.columns).join(right.select(key, value), key, "left").select(*left.columns, value)
+    hot = hot.join(right.select(key, value), key, "left").select(F.col(key).alias("_wf_key"), F.col(value).alias("_wf_value"), F.lit(True).alias("_wf_hot"))
+    marked = left.join(F.broadcast(hot), left[key].eqNullSafe(F.col("_wf_key")), "left")
+    warm = marked.filter("_wf_hot").select(*left.columns, F.col("_wf_value").alias(value))
+    cold = marked.filter("_wf_hot is null").select(*left.columns).join(right.select(key, value), key, "left").select(*left.columns, value)
     return warm.unionByName(cold)
 
 
-def may_be_in(left: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> DataFrame:
+def may_be_in(left: DataFrame, key: str, keys: DataFrame, bits: int = 24, absent: bool = False) -> DataFrame:
     """The rows of ``left`` whose ``key`` may be among ``keys`` (same column name): a filter before an exact join.
 
+    With ``absent``, all other rows: those whose key is certainly not among ``keys``.
+
     The filter is a bitmap of 2^bits bits over a hash of the key, broadcast as at most 2^(bits-6) rows (4 MB at 24)
     however many keys there are; with too many keys it only filters less.
     """
-    place = F.col("_h").bitwiseAND(F.lit((1 << bits) - 1))
-    hashed = keys.select(F.xxhash64(key).alias("_h")).select(F.shiftright(place, 6).alias("_w"), F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_m"))
-    bitmap = hashed.groupBy("_w").agg(F.bit_or("_m").alias("_m"))
-    marked = left.withColumn("_h", F.xxhash64(key))
-    marked = marked.join(F.broadcast(bitmap), F.shiftright(place, 6) == F.col("_w"))
-    return marked.filter("(_m & shiftleft(1L, cast(_h & 63 as int))) <> 0").select(*left.columns)
+    place = F.col("_wf_hash").bitwiseAND(F.lit((1 << bits) - 1))
+    hashed = keys.select(F.xxhash64(key).alias("_wf_hash")).select(F.shiftright(place, 6).alias("_wf_word"), F.expr("shiftleft(1L, cast(_wf_hash & 63 as int))").alias("_wf_mask"))
+    bitmap = hashed.groupBy("_wf_word").agg(F.bit_or("_wf_mask").alias("_wf_mask"))
+    marked = left.withColumn("_wf_hash", F.xxhash64(key))
+    marked = marked.join(F.broadcast(bitmap), F.shiftright(place, 6) == F.col("_wf_word"), "left")
+    hit = F.expr("coalesce(_wf_mask & shiftleft(1L, cast(_wf_hash & 63 as int)), 0L) <> 0")
+    return marked.filter(~hit if absent else hit).select(*left.columns)
+
+
+def without(docs: DataFrame, removed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` less the rows whose ``key`` is in ``removed``. Only rows that the bitmap suspects are shuffled; null keys stay."""
+    removed = removed.select(key).filter(F.col(key).isNotNull()).distinct()
+    return may_be_in(docs, key, removed, absent=True).unionByName(may_be_in(docs, key, removed).join(removed, key, "left_anti").select(*docs.columns))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -14,6 +14,13 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.suffix_dedup import remove_repeats
+
+    cut = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm.token_frames import read_token_files, write_token_files
 
@@ -61,7 +68,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     scored = score_documents(texts_of(docs), fit(docs, read_table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +94,7 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_token_frames": op2_token_frames,
         "op3_bpe_chunks": op3_bpe_chunks,
         "op4_pivot_index": op4_pivot_index,

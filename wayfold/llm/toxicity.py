@@ -186,12 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     return train(rows["text"], rows["toxic"].to_numpy())
 
 
-def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, then ``_toxicity`` (0 to 1). Null texts score as empty ones; an empty table gives no rows."""
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs``, then ``name`` (0 to 1). Null texts score as empty ones; an empty table gives no rows."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name} already")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            yield batch.append_column("_toxicity", pa.array(sent.value.scores(batch.column(text_col)), pa.float64()))
+            yield batch.append_column(name, pa.array(sent.value.scores(batch.column(text_col)), pa.float64()))
 
-    return docs.mapInArrow(run, docs.withColumn("_toxicity", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
