@@ -24,7 +24,7 @@ LEAST_FULLTEXT = 3
 
 @dataclasses.dataclass
 class Index:
-    """A corpus and its index tables; written tables serve as well as lazy ones."""
+    """A corpus and its index tables; ``of`` keeps what several plans read, a large corpus's tables are better written."""
 
     docs: DataFrame
     postings: DataFrame
@@ -35,8 +35,8 @@ class Index:
 
     @classmethod
     def of(cls, docs: DataFrame) -> Index:
-        p = postings(docs)
-        terms = term_stats(p)
+        p = postings(docs).persist()
+        terms = term_stats(p).persist()
         return cls(docs, p, terms, field_stats(p), edge_grams(terms), completion_entries(docs))
 
 

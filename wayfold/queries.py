@@ -38,7 +38,7 @@ def index(spark: SparkSession, sf: str) -> M.Index:
 
 
 def queries_df(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_queries(T.typed_queries(spark, sf))
+    return parse_queries(T.typed_queries(spark, sf)).persist()
 
 
 def flat(docs: DataFrame) -> DataFrame:

@@ -26,10 +26,12 @@ TYPES = {
 SHORT = {"EPSG:31370_x": "x", "EPSG:31370_y": "y", "EPSG:4326_lat": "lat", "EPSG:4326_lon": "lon"}
 REGISTER = T.StructType([T.StructField(SHORT.get(c, c), T.StringType()) for c in REGISTER_COLUMNS])
 PLACES = T.StructType([T.StructField(c, T.StringType()) for c in PLACE_COLUMNS])
-DOCUMENT = T.StructType.fromDDL(
-    "id string, doc_type string, label string, place_name string, street_name string, house_number string, box_number string, postcode string, "
-    "post_name string, municipality_name string, nis_code string, lat double, lon double, popularity bigint, aliases array<string>, "
-    "search_text string, primary_name string, primary_name_norm string, rank_tier tinyint"
+_TEXTS = ("id", "doc_type", "label", "place_name", "street_name", "house_number", "box_number", "postcode", "post_name", "municipality_name", "nis_code")
+DOCUMENT = T.StructType(
+    [T.StructField(c, T.StringType()) for c in _TEXTS]
+    + [T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("popularity", T.LongType()), T.StructField("aliases", T.ArrayType(T.StringType()))]
+    + [T.StructField(c, T.StringType()) for c in ("search_text", "primary_name", "primary_name_norm")]
+    + [T.StructField("rank_tier", T.ByteType())]
 )
 
 
