@@ -175,15 +175,25 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
     """A model fitted on at most ``toxic_rows`` and ``clean_rows`` labelled documents that are not held out, taken in hash order.
 
-    The ids come from ``labels`` alone; only the texts of those few documents are gathered. Null labels are left out; a
+    The ids come from ``labels`` alone; only the texts of those few documents are gathered, in one task. Null labels are left out; a
     doc_id labelled twice counts as toxic if any label says so.
     """
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     some = [ids.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((1, toxic_rows), (0, clean_rows))]
     wanted = some[0].unionByName(some[1])
-    rows = texts_of(docs).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).toArrow()
-    rows = rows.sort_by("doc_id")
-    return train(rows["text"], rows["toxic"].to_numpy())
+    rows = texts_of(docs).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int64())])).sort_by("doc_id")
+        m = train(table["text"].combine_chunks(), table["toxic"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(m.bucket, np.float32).tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.slope, m.shift))], ["bucket", "bias", "slope", "shift"])
+
+    # one task holds the bounded sample; the driver gets the model alone
+    sample = rows.select("doc_id", F.col("text"), F.col("toxic").cast("long").alias("toxic"))
+    got = sample.repartition(1).mapInArrow(learn, "bucket binary, bias double, slope double, shift double").first()
+    if got is None:
+        return train(pa.array([], pa.large_string()), np.zeros(0))
+    return Model(np.frombuffer(got.bucket, np.float32), got.bias, got.slope, got.shift)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
