@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds and processes at once.
 SLICE_BYTES = 8 << 20
+#: A table of so few narrow rows fits any task, so no key of it needs special care.
+SMALL_ROWS = 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,8 +97,12 @@ def hot_lookup(left: DataFrame, key: str, right: DataFrame, value: str, share: i
 
     A key that holds over 1/share of the rows of ``left`` is hot: there are at most ``share`` of those, so they are
     broadcast; the other keys are joined by a shuffle. ``left`` is read three times and should be a written table.
+    Where all of ``left`` is at most SMALL_ROWS rows, one join does.
     """
-    least = max(1000, left.count() // share)
+    rows = left.count()
+    if rows <= SMALL_ROWS:
+        return left.join(right.select(key, value), key, "left").select(*left.columns, value)
+    least = max(1000, rows // share)
     hot = left.groupBy(key).count().filter(F.col("count") > least).select(key)
     hot = hot.join(right.select(key, value), key, "left").select(F.col(key).alias("_wf_key"), F.col(value).alias("_wf_value"), F.lit(True).alias("_wf_hot"))
     marked = left.join(F.broadcast(hot), left[key].eqNullSafe(F.col("_wf_key")), "left")

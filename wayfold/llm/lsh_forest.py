@@ -250,7 +250,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     reps, reps_path = written(own.select(F.col("doc_id").alias("id"), "signature").dropDuplicates(["id"]).withColumn("comp", F.col("id")), "set-reps")
     drop_path(docs.sparkSession, sketches_path)
     links = tested = labels = None
-    plans = [(range(1), 1), (range(TREES), WINDOW)]
+    # copies first meet their nearest neighbours in a few orders, so that a crowd is one component before all orders are scanned
+    plans = [(range(4), 1), (range(TREES), WINDOW)]
     while True:
         trees, window = plans.pop(0) if len(plans) > 1 else plans[0]
         pairs = candidates(reps, trees, window)
