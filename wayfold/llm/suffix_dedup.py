@@ -33,6 +33,8 @@ LENGTH, GRAM = 100, 32
 CROWD = 20_000
 #: Bytes of text whose anchors one reducer gets.
 PART_BYTES = 24 << 20
+#: Bytes of text that a worker hashes at once: some twenty bytes of arrays stand for each.
+SLICE = 2 << 20
 NO_ID = np.iinfo(np.int64).min
 _R = 0x9E3779B97F4A7C15
 
@@ -260,7 +262,7 @@ def _blobs(part: np.ndarray, columns: list[tuple[np.ndarray, int]], kind: int) -
 
 def deal_anchors(docs: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             data, offsets = string_buffer(batch.column("text"))
             if not len(data):
                 continue
@@ -273,7 +275,7 @@ def deal_anchors(docs: DataFrame, parts: int, length: int, gram: int) -> DataFra
             base = offsets[row]
             doc, tie, q = ids[row], ties[row], p - base
             mask = np.uint64((1 << 48) - 1)
-            part = (h >> np.uint64(48)).astype(np.int64) * parts >> 16
+            part = (_mix(h) % np.uint64(parts)).astype(np.int64)  # anchors' own hashes are all small
             h, region = h & mask, region & mask
             o = _ordered(h, region, doc, tie, q)
             first, later = _later(o, (h, region), doc, tie, q)
@@ -321,7 +323,7 @@ def deal_windows(joined: DataFrame, parts: int, length: int) -> DataFrame:
     """kind 0: regions with their bytes, dealt by gram; kind 1: hashed windows of crowded grams, dealt by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             data, offsets = string_buffer(batch.column("text"))
             opened = batch.column("open")
             flat = opened.flatten()
@@ -401,7 +403,7 @@ def cut_out(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept, rest`` from ``doc, text, rest`` and ``cuts`` (intervals, or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             data, offsets = string_buffer(batch.column("text"))
             cuts = batch.column("cuts")
             flat = cuts.flatten()
