@@ -100,11 +100,14 @@ def _fulltext_pass(queries: DataFrame, index: Index, types: list[str] | None, de
 
 
 def suggest_fulltext(queries: DataFrame, index: Index, limit: int = 10, types: list[str] | None = None, fuzzy: bool = True, debug: bool = False) -> DataFrame:
-    """The additive-score method: exact passes; without numbers where these found nothing; misspelt names where there is room."""
-    exact = _fulltext_pass(queries, index, types, debug).withColumn("pass", F.lit("exact"))
+    """The additive-score method: exact passes; without numbers where these found nothing; misspelt names where there is room.
+
+    A pass is kept, since the next ones ask which queries it answered.
+    """
+    exact = _fulltext_pass(queries, index, types, debug).withColumn("pass", F.lit("exact")).persist()
     unanswered = queries.filter("size(number_tokens) > 0 and not bare_numeric").join(exact.select("query_id").distinct(), "query_id", "left_anti")
     fewer = unanswered.withColumn("locative", without_numbers(F.col("locative")))
-    relaxed = _fulltext_pass(fewer, index, types, debug).withColumn("pass", F.lit("no_number"))
+    relaxed = _fulltext_pass(fewer, index, types, debug).withColumn("pass", F.lit("no_number")).persist()
     found = exact.unionByName(relaxed)
     if fuzzy:
         counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_contains("number_tokens", F.col("house_number"))).alias("exact_number"))
@@ -204,10 +207,10 @@ def fuzzy_gate(queries: DataFrame, index: Index) -> DataFrame:
 def suggest_clauses(queries: DataFrame, index: Index, method: str, limit: int = 10, types: list[str] | None = None, fuzzy: bool = True, tier_sort: bool = True) -> DataFrame:
     """A clause-scored method: strict; for queries without any hit, numbers left out; for those still without, misspellings."""
     mode = METHODS[method]
-    strict = _clause_pass(queries, gate(queries, index), index, mode, types, "strict")
+    strict = _clause_pass(queries, gate(queries, index), index, mode, types, "strict").persist()
     unanswered = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
     fewer = with_gate(unanswered.filter("size(number_tokens) > 0 and not bare_numeric").withColumn("fewer", without_numbers(F.col("locative"))), "fewer").drop("fewer")
-    relaxed = _clause_pass(fewer, gate(fewer, index), index, mode, types, "no_number")
+    relaxed = _clause_pass(fewer, gate(fewer, index), index, mode, types, "no_number").persist()
     found = strict.unionByName(relaxed)
     if fuzzy:
         rest = unanswered.join(relaxed.select("query_id").distinct(), "query_id", "left_anti")
