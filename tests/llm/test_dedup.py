@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold.llm import lsh_forest
 from wayfold.llm.common import components, without
 from wayfold.llm.lsh_forest import near_dedup, shingle_sets
 from wayfold.llm.lsm_dedup import exact_dedup
@@ -91,6 +92,32 @@ def test_near_dedup(spark, docs):
     assert near_dedup(docs.limit(0)).count() == 0
 
 
+def star(copies=450, words=124):
+    """An original and copies, each changed at other places: near to the original, not to each other."""
+    rnd = random.Random(12)
+    base = [f"w{k}" for k in range(words)]
+    out = [" ".join(base)]
+    for i in range(copies):
+        edited = list(base)
+        for k in rnd.sample(range(5, words - 5, 6), 3):
+            edited[k] = f"x{i}q{k}"
+        out.append(" ".join(edited))
+    return out
+
+
+@pytest.mark.parametrize("block", [512, 60])
+def test_near_dedup_of_a_star(spark, monkeypatch, block):
+    monkeypatch.setattr(lsh_forest, "BLOCK_ROWS", block, raising=False)
+    texts = star()
+    rows = [(i, t) for i, t in enumerate(texts[1:])] + [(9000, texts[0]), (9001, "another text of six words")]
+    sets = {i: brute_shingles(t) for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert sum(b == 9000 for _, b in edges) == 450 and len(edges) < 600
+    whole = group(edges, sets)
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == whole
+
+
 def test_shingles_see_white_space_and_borders():
     texts = ["A b\tC d e f", "a b c d e", "", " \n", "x", "a b\x0bc d e f ", "a b c d\xa0e f"]
     assert [len(s) for s in shingle_sets(pa.array(texts))] == [len(brute_shingles(t)) for t in texts]

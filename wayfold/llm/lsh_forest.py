@@ -2,12 +2,12 @@
 
 Every document is a set of hashed five-word shingles. Documents with equal sets are one class; its smallest id stands
 for it. A class's signature (SIGNATURE MinHash values) is read in TREES orders, each a fixed random sequence of DEPTH
-of its values; each order is sorted as a whole by ranges of the keys, so no region of similar documents lands in one
-task. Candidates are neighbours in a sorted order: rows nearest to each other have the longest common prefixes, so
-among the WINDOW rows before a row a thin region compares everything down to LEAST_DEPTH common values, and a crowded
-one only what agrees deeper. Candidates are confirmed on full shingle sets. Rounds repeat over rows of different
-components only, with runs of one component shortened, until a round confirms nothing new: so what a crowd of copies
-hid in one round is met in the next.
+of its values. A region of an order is what shares its first LEAST_DEPTH values; all pairs of a region are candidates,
+confirmed on full shingle sets, but for pairs of one component. Each order is sorted as a whole by ranges of the keys:
+in thin regions, of at most WINDOW + 1 rows, candidates are neighbours in the sorted order. Crowded regions are dealt in
+blocks of bounded size, each block against each other, and compared inside the task, which returns a forest of links: no
+table holds the pairs of a crowd, and no crowd lands in one task. Only the nearest neighbours in a few orders come first, so
+that a crowd of copies is one component, or a few, before it is dealt.
 
 At a similarity of 0.75 a pair agrees to LEAST_DEPTH values in a given order with probability 0.42, in none of the
 orders with probability 2e-6.
@@ -24,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import components, drop_path, hot_lookup, may_be_in, slices, string_buffer, texts_of, written
+from wayfold.llm.common import components, drop_path, hot_lookup, may_be_in, slices, spans, string_buffer, texts_of, written
 
 WORDS, PERCENT = 5, 75
 SIGNATURE, TREES, DEPTH, LEAST_DEPTH, WINDOW = 64, 24, 8, 3, 8
+#: Rows and shingles of a block of a crowded region, on average.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
+#: Orders whose crowded regions are dealt at once: what the first ones link is not compared again in the later ones.
+CROWD_TREES = (range(0, 1), range(1, 4), range(4, TREES))
 #: Bytes of text whose shingles are made at once.
 PART_BYTES = 2 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -124,7 +128,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def tree_rows(reps: DataFrame, trees: range) -> DataFrame:
-    """``tree, key, id, comp``: one row for each order in ``trees`` and class."""
+    """``tree, key, id, comp, n``: one row for each order in ``trees`` and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = constants()[2]
@@ -135,28 +139,24 @@ def tree_rows(reps: DataFrame, trees: range) -> DataFrame:
             for tree in trees:
                 keys = sig[:, orders[tree]].astype(">u2").tobytes()
                 step = 2 * DEPTH
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), tree, np.int32)), pa.array([keys[i : i + step] for i in range(0, len(keys), step)], pa.binary()), batch.column("id"), batch.column("comp")], ["tree", "key", "id", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), tree, np.int32)), pa.array([keys[i : i + step] for i in range(0, len(keys), step)], pa.binary()), batch.column("id"), batch.column("comp"), batch.column("n")], ["tree", "key", "id", "comp", "n"])
 
-    return reps.select("signature", "id", "comp").mapInArrow(run, "tree int, key binary, id long, comp long")
+    return reps.select("signature", "id", "comp", "n").mapInArrow(run, "tree int, key binary, id long, comp long, n long")
 
 
 def neighbours(tree: np.ndarray, key: np.ndarray, ids: np.ndarray, comp: np.ndarray, window: int) -> np.ndarray:
     """Pairs of rows of different components at most ``window`` apart whose keys share LEAST_DEPTH values.
 
-    Inside a run of one component longer than two windows, only the rows near its ends stay.
+    A region seen to have more than WINDOW + 1 rows is left out of a scan of the whole WINDOW; it is dealt in blocks.
     """
     if len(ids) < 2:
         return np.zeros((0, 2), np.int64)
     head = key[:, :LEAST_DEPTH]
-    region = np.concatenate([[True], (tree[1:] != tree[:-1]) | (head[1:] != head[:-1]).any(1)])
-    edge = region | np.concatenate([[True], comp[1:] != comp[:-1]])
-    start = np.maximum.accumulate(np.where(edge, np.arange(len(ids)), 0))
-    nxt = np.append(edge[1:], True)
-    stop = np.minimum.accumulate(np.where(nxt, np.arange(len(ids)), len(ids))[::-1])[::-1]
-    here = np.arange(len(ids))
-    stay = (here - start < window) | (stop - here < window)
-    place, ids, comp = np.cumsum(region)[stay], ids[stay], comp[stay]
-    found = []
+    place = np.cumsum(np.concatenate([[True], (tree[1:] != tree[:-1]) | (head[1:] != head[:-1]).any(1)])) - 1
+    if window == WINDOW:
+        stay = (np.bincount(place) <= WINDOW + 1)[place]
+        place, ids, comp = place[stay], ids[stay], comp[stay]
+    found = [np.zeros((0, 2), np.int64)]
     for o in range(1, min(window, len(ids) - 1) + 1):
         ok = (place[o:] == place[:-o]) & (comp[o:] != comp[:-o])
         found.append(np.stack([np.minimum(ids[o:], ids[:-o])[ok], np.maximum(ids[o:], ids[:-o])[ok]], 1))
@@ -199,7 +199,7 @@ def _scan(window: int, ends: bool):
 def candidates(reps: DataFrame, trees: range, window: int) -> DataFrame:
     """Distinct pairs (a < b) of neighbours in the sorted orders. The few rows at the ends of partitions are scanned
     once more beside each other, so a partition's border separates nothing."""
-    rows = tree_rows(reps, trees)
+    rows = tree_rows(reps, trees).drop("n")
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, _ = written(rows.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInArrow(_scan(window, True), _ROW), "neighbours")
     edges = found.filter("id is not null").select("tree", "key", "id", "comp").dropDuplicates(["tree", "id"])
@@ -207,9 +207,76 @@ def candidates(reps: DataFrame, trees: range, window: int) -> DataFrame:
     return found.unionByName(more).filter("a is not null").select("a", "b").distinct()
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets overlap enough."""
-    ids, ids_path = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+def crowded(reps: DataFrame, trees: range) -> DataFrame:
+    """``region, x, y, side, id, comp``: the rows of blocks x and y of every region of more than WINDOW + 1 rows and more
+    than one component. A component that fills blocks of its own is not dealt against itself."""
+    rows = tree_rows(reps, trees).select(F.xxhash64("tree", F.substring("key", 1, 2 * LEAST_DEPTH)).alias("region"), "id", "comp", "n")
+    many = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter((F.col("m") > WINDOW + 1) & (F.col("least") < F.col("most"))).select("region", F.lit(True).alias("many"))
+    many, _ = written(many, "crowded-regions")
+    near, _ = written(may_be_in(rows, "region", many), "crowd-rows")
+    near, _ = written(hot_lookup(near, "region", many, "many").filter("many").drop("many"), "crowd-rows")
+    blocks = lambda m, n: F.ceil(F.greatest(m / BLOCK_ROWS, n / BLOCK_SHINGLES)).cast("int")
+    shares = near.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).withColumn("k", blocks(F.col("m"), F.col("n")))
+    own, rest = F.when(F.col("k") > 1, F.struct("comp", "k")), lambda c: F.sum(F.when(F.col("k") <= 1, F.col(c)).otherwise(0))
+    layout = shares.groupBy("region").agg(F.sort_array(F.collect_list(own)).alias("own"), blocks(rest("m"), rest("n")).alias("mixed")).select("region", F.struct("own", "mixed").alias("layout"))
+    layout, _ = written(layout, "crowd-layout")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for region, i, comp, lay in zip(*(batch.column(c).to_pylist() for c in ("region", "id", "comp", "layout")), strict=True):
+                owners = [o["comp"] for o in lay["own"] for _ in range(o["k"])] + [None] * lay["mixed"]
+                mine = [b for b, o in enumerate(owners) if o == comp] or range(len(owners) - lay["mixed"], len(owners))
+                side = mine[((i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) % len(mine)]
+                out += [(region, min(side, y), max(side, y), side, i, comp) for y, o in enumerate(owners) if o is None or o != owners[side]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["region", "x", "y", "side", "id", "comp"])
+
+    return hot_lookup(near, "region", layout, "layout").mapInArrow(deal, "region long, x int, y int, side int, id long, comp long")
+
+
+def forest(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Links among the rows of two blocks (or of one) that join all components with a link between them."""
+    size = np.array([len(s) for s in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    begin = np.cumsum(size) - size
+    holder = np.repeat(np.arange(len(ids)), size)[np.argsort(code, kind="stable")]
+    held = np.bincount(code)
+    at = np.cumsum(held) - held
+    root = np.unique(comp, return_inverse=True)[1]
+    one = side.min() == side.max()
+    found = []
+    for u in np.arange(len(ids)) if one else np.flatnonzero(side == side.min()):
+        other = root != root[u]
+        other &= np.arange(len(ids)) > u if one else side != side[u]
+        if not other.any():
+            continue
+        mine = code[begin[u] : begin[u] + size[u]]
+        both = np.bincount(holder[spans(at[mine], held[mine])], minlength=len(ids))
+        near = np.flatnonzero(other & (both > 0) & (100 * both >= PERCENT * (size + size[u] - both)))
+        if len(near):
+            joined, first = np.unique(root[near], return_index=True)
+            found.append(np.stack([np.full(len(first), ids[u]), ids[near[first]]], 1))
+            root[np.isin(root, joined)] = root[u]
+    return np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
+
+
+def crowd_links(docs: DataFrame, reps: DataFrame, trees: range) -> DataFrame:
+    """Links (a < b) that join all components between whose rows in a crowded region is a link."""
+    dealt, _ = written(crowded(reps, trees), "crowds")
+    ids, _ = written(dealt.select(F.col("id").alias("doc_id")).distinct(), "crowd-ids")
+    sets = sets_of(docs, ids)
+
+    def run(block: pa.Table) -> pa.Table:
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("s").combine_chunks()]
+        pairs = forest(*(block.column(c).to_numpy() for c in ("id", "comp", "side")), shingles)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.join(sets, "id").groupBy("region", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, s``: the full shingle sets of the documents in ``ids`` (doc_id), written."""
     texts = may_be_in(texts_of(docs), "doc_id", ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +284,13 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "s"])
 
+    return written(texts.mapInArrow(to_sets, "id long, s binary"), "sets")[0]
+
+
+def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets overlap enough."""
+    ids, _ = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -231,7 +305,7 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    sets, _ = written(texts.mapInArrow(to_sets, "id long, s binary"), "sets")
+    sets = sets_of(docs, ids)
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(overlap, "a long, b long")
 
@@ -247,32 +321,22 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     classes, _ = written(sketches.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "set-classes")
     members, _ = written(hot_lookup(sketches.drop("signature"), "digest", classes, "rep").select("doc_id", "n_shingles", "rep"), "set-members")
     own = sketches.filter("doc_id is not null and digest is not null").join(classes.select(F.col("digest").alias("_d"), F.col("rep").alias("_r")), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("_r")))
-    reps, reps_path = written(own.select(F.col("doc_id").alias("id"), "signature").dropDuplicates(["id"]).withColumn("comp", F.col("id")), "set-reps")
+    reps, reps_path = written(own.select(F.col("doc_id").alias("id"), "signature", F.col("n_shingles").alias("n")).dropDuplicates(["id"]).withColumn("comp", F.col("id")), "set-reps")
     drop_path(docs.sparkSession, sketches_path)
-    links = tested = labels = None
-    # copies first meet their nearest neighbours in a few orders, so that a crowd is one component before all orders are scanned
-    plans = [(range(4), 1), (range(TREES), WINDOW)]
-    while True:
-        trees, window = plans.pop(0) if len(plans) > 1 else plans[0]
-        pairs = candidates(reps, trees, window)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs, _ = written(pairs, "pairs")
-        new, _ = written(confirm(docs, pairs), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    links = labels = None
+    # copies first meet their nearest neighbours in a few orders, so that a crowd is few components before it is dealt
+    for trees, window in [(range(4), 1), *((t, None) for t in CROWD_TREES), (range(TREES), WINDOW)]:
+        if window is None:
+            new, _ = written(crowd_links(docs, reps, trees), "links")
+        else:
+            new, _ = written(confirm(docs, written(candidates(reps, trees, window), "pairs")[0]), "links")
+        if new.isEmpty():
+            continue
         links = new if links is None else links.unionByName(new)
-        found = not new.isEmpty()
-        if found:
-            labels = components(links)
-            joined = hot_lookup(reps.drop("comp"), "id", labels, "component").withColumn("comp", F.coalesce("component", "id")).drop("component")
-            if trees == range(TREES):  # whoever has no neighbour so far gets none later
-                active = tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-                joined = joined.join(active, "id", "left_semi")
-            fresh, fresh_path = written(joined, "set-reps")
-            drop_path(docs.sparkSession, reps_path)
-            reps, reps_path = fresh, fresh_path
-        elif trees == range(TREES):
-            break
+        labels = components(links)
+        fresh, fresh_path = written(hot_lookup(reps.drop("comp"), "id", labels, "component").withColumn("comp", F.coalesce("component", "id")).drop("component"), "set-reps")
+        drop_path(docs.sparkSession, reps_path)
+        reps, reps_path = fresh, fresh_path
     out = members.withColumn("component", F.lit(None).cast("long")) if labels is None else hot_lookup(members, "rep", labels.withColumnRenamed("id", "rep"), "component")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
