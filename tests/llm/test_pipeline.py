@@ -3,6 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline as P
+from test_dedup import brute_shingles, group, star
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +30,35 @@ def test_odd_rows(spark):
     assert cut[2].text is None and cut[1].n_chars == len(cut[1].text) < 300
     for stage in (P.drop_copies, P.drop_near_copies, P.cut_repeats, P.pack):
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_run_against_brute_force(spark, tmp_path, monkeypatch):
+    texts = star()
+    other = [f"text {i} " + " ".join(f"y{i}z{k}" for k in range(40)) for i in range(20)]
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, t) for i, t in enumerate([*texts[1:], *other, *other[:5], *(f"{o} {passage}" for o in other[10:14])])] + [(9000, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    paths, new_path = [], P.new_path
+    monkeypatch.setattr(P, "new_path", lambda *a: paths.append(new_path(*a)) or paths[-1])
+    packed = P.run(spark, str(tmp_path)).collect()
+    stages = [{r.doc_id: r.text for r in spark.read.parquet(p).collect()} for p in paths[:4]]
+    assert stages[0] == dict(rows)
+    last = {t: i for i, t in sorted(rows)}
+    left = {i: t for t, i in last.items()}
+    assert stages[1] == left
+    sets = {i: brute_shingles(t) for i, t in left.items()}
+    whole = group([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])], sets)
+    left = {i: t for i, t in left.items() if whole[i] == i}
+    assert stages[2] == left and sum(i < 450 or i == 9000 for i in left) == 1
+    seen, cut = set(), {}
+    for i, t in sorted(left.items()):
+        gone = [False] * len(t)
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = [True] * 100
+            seen.add(t[k : k + 100])
+        cut[i] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    assert stages[3] == cut and cut != left
+    assert {r.doc_id for r in packed} == set(cut)
