@@ -45,6 +45,19 @@ def test_clause_methods_agree_on_candidates(spark, index):
     assert gates[0]["rue hau"] == {"s:1"}
 
 
+def test_clause_methods_score_differently(spark, index):
+    q = parse_queries(spark.createDataFrame([("x", "rue hau"), ("y", "kerkstraat gen")], "query_id string, query string")).persist()
+    pairs = M.gate(q, index).persist()
+    scores = lambda m, **k: {(r.query_id, r.id): r.relevance for r in M.clause_scores(q, pairs, index, m, **k).collect()}
+    got = {m: scores(m) for m in ("prefixes", "sayt", "bool_prefix")}
+    assert len({frozenset(g) for g in got.values()}) == 1 and len(got["sayt"]) == 3
+    for a, b in (("prefixes", "sayt"), ("prefixes", "bool_prefix"), ("sayt", "bool_prefix")):
+        assert any(got[a][k] != got[b][k] for k in got[a])
+    assert all(got["sayt"][k] >= got["prefixes"][k] for k in got["sayt"])
+    bare = scores("prefixes", fuzzy=False)
+    assert all(got["prefixes"][k] > bare[k] for k in bare if k[0] == "y")
+
+
 def test_recovery(spark, index):
     got = ask(spark, index, "prefixes", "kerkstraat 99 gent", "kerkstraat antwrepen")
     assert set(got["kerkstraat 99 gent"]) == {"s:1", "a:12"}

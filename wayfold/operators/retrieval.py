@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import text as X
 from wayfold.operators.fuzzy import fuzzy_terms
 from wayfold.operators.ranking import FUZZY_PENALTY, additive_score, bm25, idf, merge_candidates, popularity_factor, top_k
-from wayfold.plans.index import LONGEST_GRAM, completion_entries, edge_grams, field_stats, postings, term_stats
+from wayfold.plans.index import LONGEST_GRAM, completion_entries, edge_grams, field_stats, postings, shingles, term_stats
 from wayfold.plans.parse import with_gate, without_numbers
 
 #: Shorter tokens never reach the full-text index.
@@ -146,6 +146,8 @@ EXACT_NAME, NAME_PHRASE, NAME_WORDS, POSTCODE_EXACT, POSTCODE_PARTIAL = 12.0, 8.
 MUNICIPALITY, POST_NAME, DETAIL, ALIAS, FUZZY = 1.5, 1.2, 4.0, 1.8, 0.4
 #: How the name clause of a method reads the query's tokens: every token as prefix, or the last one only.
 METHODS = {"edge_ngram": "all", "prefixes": "last", "sayt": "last", "bool_prefix": "last"}
+#: Methods whose haystack field has a length norm; those that also score runs of two and three words.
+NORMED, SHINGLED = {"prefixes", "sayt"}, {"sayt"}
 
 
 def _clause(pairs: DataFrame, tokens: DataFrame, index: Index, field: str, boost: float, norms: bool = False) -> DataFrame:
@@ -156,16 +158,45 @@ def _clause(pairs: DataFrame, tokens: DataFrame, index: Index, field: str, boost
     return hits.join(pairs, ["query_id", "id"], "left_semi").select("query_id", "id", part.alias("part"))
 
 
-def clause_scores(queries: DataFrame, pairs: DataFrame, index: Index, mode: str) -> DataFrame:
+def _shingle_clauses(queries: DataFrame, pairs: DataFrame, index: Index, tokens: Column, field: str, boost: float) -> list[DataFrame]:
+    """``query_id, id, part`` of the runs of two and of three tokens: BM25 of the whole ones, the last one a prefix that
+    counts its boost once. A document that holds all runs holds all words, so runs admit nobody the words do not."""
+    parts = []
+    for size in (2, 3):
+        asked = queries.select("query_id", shingles(tokens, size).alias("runs")).filter("size(runs) > 0")
+        held = index.docs.select("id", shingles(X.words(F.col(field)), size).alias("held")).filter("size(held) > 0").withColumn("dl", F.size("held"))
+        stats = held.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+        tf = held.select("id", "dl", F.explode("held").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        whole = asked.select("query_id", F.explode(F.array_distinct(F.slice("runs", 1, F.size("runs") - 1))).alias("term"))
+        hits = whole.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats)).join(pairs, ["query_id", "id"], "left_semi")
+        parts.append(hits.select("query_id", "id", bm25(boost, F.col("docs"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("part")))
+        last = asked.select("query_id", F.element_at("runs", -1).alias("last"))
+        opened = pairs.join(last, "query_id").join(held, "id").filter(F.exists("held", lambda h: F.startswith(h, F.col("last"))))
+        parts.append(opened.select("query_id", "id", F.lit(boost).alias("part")))
+    return parts
+
+
+def _fuzzy_clause(pairs: DataFrame, tokens: DataFrame, index: Index, norms: bool) -> DataFrame:
+    """``query_id, id, part``: BM25 of the terms within each token's edits, less the share of the token that was edited."""
+    field = F.col("field") == "search_text"
+    near = fuzzy_terms(tokens.select("token").distinct(), index.terms.filter(field).select("term"))
+    stats = index.terms.filter(field).select("term", "df").crossJoin(F.broadcast(index.fields.filter(field).select("docs", "avgdl")))
+    hits = tokens.join(near, "token").join(stats, "term").join(index.postings.filter(field).select("term", "id", "tf", "dl"), "term").join(pairs, ["query_id", "id"], "left_semi")
+    part = bm25(FUZZY, F.col("docs"), F.col("df"), F.col("tf"), F.col("dl") if norms else None, F.col("avgdl"))
+    return hits.select("query_id", "id", (part * (F.lit(1.0) - F.col("distance") / F.length("token"))).alias("part"))
+
+
+def clause_scores(queries: DataFrame, pairs: DataFrame, index: Index, method: str, fuzzy: bool = True) -> DataFrame:
     """``query_id, id, relevance``: the sum of all clauses for the gated pairs.
 
     Each clause is BM25 with its boost; a typed prefix counts its boost once; a phrase at the start of the name and an
     exact name count their boost times the rarity of the first token and of the name.
     """
-    q = queries
+    q, mode, norms = queries, METHODS[method], method in NORMED
     each = lambda c: q.select("query_id", F.explode(F.array_distinct(c)).alias("token"))
     parts = [
-        _clause(pairs, each(F.col("needed")), index, "search_text", 1.0),
+        _clause(pairs, each(F.col("needed")), index, "search_text", 1.0, norms=norms),
         _clause(pairs, each(F.col("tokens")), index, "primary_name", NAME_WORDS, norms=mode == "last"),
         _clause(pairs, each(F.filter("tokens", X.is_postcode)), index, "postcode", POSTCODE_EXACT),
         _clause(pairs, each(F.col("tokens")), index, "municipality_name", MUNICIPALITY, norms=True),
@@ -173,6 +204,11 @@ def clause_scores(queries: DataFrame, pairs: DataFrame, index: Index, mode: str)
         _clause(pairs, each(F.filter(F.concat("detail", "number_tokens"), lambda t: ~X.is_box_marker(t) & (t != "b"))), index, "search_text", DETAIL),
         _clause(pairs, each(F.col("tokens")), index, "aliases", ALIAS, norms=True),
     ]
+    if method in SHINGLED:
+        parts += _shingle_clauses(q.filter("prefix is not null"), pairs, index, F.concat("needed", F.array("prefix")), "search_text", 1.0)
+        parts += _shingle_clauses(q, pairs, index, F.col("tokens"), "primary_name_norm", NAME_WORDS)
+    if fuzzy:
+        parts.append(_fuzzy_clause(pairs, each(F.col("tokens")), index, norms))
     named = pairs.join(index.docs.select("id", "primary_name_norm", "postcode"), "id").join(q.select("query_id", "normalized", "tokens", "prefix", "bare_numeric", "last_token"), "query_id")
     opened = F.col("tokens") if mode == "all" else F.filter(F.array("last_token"), lambda t: t != "")
     heads = F.size(F.filter(opened, lambda t: F.exists(X.words(F.col("primary_name_norm")), lambda w: F.startswith(w, t))))
@@ -190,8 +226,8 @@ def clause_scores(queries: DataFrame, pairs: DataFrame, index: Index, mode: str)
     return every.groupBy("query_id", "id").agg(F.sum("part").alias("relevance"))
 
 
-def _clause_pass(queries: DataFrame, pairs: DataFrame, index: Index, mode: str, types: list[str] | None, name: str) -> DataFrame:
-    rows = _restrict(clause_scores(queries, pairs, index, mode), index, types)
+def _clause_pass(queries: DataFrame, pairs: DataFrame, index: Index, method: str, types: list[str] | None, name: str, fuzzy: bool) -> DataFrame:
+    rows = _restrict(clause_scores(queries, pairs, index, method, fuzzy), index, types)
     return rows.withColumn("score", F.col("relevance") * popularity_factor()).withColumn("pass", F.lit(name))
 
 
@@ -206,15 +242,14 @@ def fuzzy_gate(queries: DataFrame, index: Index) -> DataFrame:
 
 def suggest_clauses(queries: DataFrame, index: Index, method: str, limit: int = 10, types: list[str] | None = None, fuzzy: bool = True, tier_sort: bool = True) -> DataFrame:
     """A clause-scored method: strict; for queries without any hit, numbers left out; for those still without, misspellings."""
-    mode = METHODS[method]
-    strict = _clause_pass(queries, gate(queries, index), index, mode, types, "strict").persist()
+    strict = _clause_pass(queries, gate(queries, index), index, method, types, "strict", fuzzy).persist()
     unanswered = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
     fewer = with_gate(unanswered.filter("size(number_tokens) > 0 and not bare_numeric").withColumn("fewer", without_numbers(F.col("locative"))), "fewer").drop("fewer")
-    relaxed = _clause_pass(fewer, gate(fewer, index), index, mode, types, "no_number").persist()
+    relaxed = _clause_pass(fewer, gate(fewer, index), index, method, types, "no_number", fuzzy).persist()
     found = strict.unionByName(relaxed)
     if fuzzy:
         rest = unanswered.join(relaxed.select("query_id").distinct(), "query_id", "left_anti")
-        found = found.unionByName(_clause_pass(rest, fuzzy_gate(rest, index), index, mode, types, "fuzzy"))
+        found = found.unionByName(_clause_pass(rest, fuzzy_gate(rest, index), index, method, types, "fuzzy", False))
     return top_k(found, limit, tier_sort)
 
 
