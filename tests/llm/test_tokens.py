@@ -39,6 +39,18 @@ def test_word_encoder_is_the_library():
     assert decoded == [library.decode(x, skip_special_tokens=False) for x in expected]
 
 
+@pytest.mark.parametrize("texts", [[""], ["", ""], [None]])
+def test_batches_without_bytes(texts):
+    offsets, ids, _ = chunk_encoder(WORD).encode(pa.array(texts, pa.string()))
+    assert offsets.tolist() == [0] * (len(texts) + 1) and not len(ids)
+    assert encoder(WORD).decode(offsets, ids).to_pylist() == [""] * len(texts)
+
+
+def test_empty_document_alone(spark):
+    docs = spark.createDataFrame([(1, "")], "doc_id long, text string").repartition(1)
+    assert [(r.n_tokens, bytes(r.ids), r.decoded) for r in encode_decode(docs, WORD).collect()] == [(0, b"", "")]
+
+
 def test_transducer_is_the_library():
     texts, library = ODD + noise(1500, 2), Tokenizer.from_file(BYTE)
     assert counting_tokenizer(BYTE).count(pa.array(texts)).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
@@ -121,24 +133,34 @@ def test_cross_entropy(spark):
     target = spark.createDataFrame([(i,) for i in range(1, 40, 2)] + [(None,)], "doc_id long")
     got = {r.doc_id: r for r in score_documents(docs, target, WORD, block_tokens=50).collect()}
     assert len(got) == 44 and got[100].score < 0 < got[101].score and got[102].score == 0.0
-    # brute force of one document that the target saw
+    # brute force of every document
     library, size = Tokenizer.from_file(WORD), encoder(WORD).size
     def pairs(t):
         ids = library.encode(t or "", add_special_tokens=False).ids
         return list(zip([size, *ids], ids))
-    def loss(corpus, own):
+    def loss(corpus, own, weight=1.0):
         every = [p for t in corpus for p in pairs(t)]
         left = every[:]
         for p in own:
-            if p in left: left.remove(p)
+            if p in left:
+                left.remove(p)
         out = []
         for a, b in own:
-            uni = (sum(w == b for _, w in left) + 1) / (len(left) + size + 1)
-            out.append(-np.log((left.count((a, b)) + 20.0 * uni) / (sum(v == a for v, _ in left) + 20.0)))
+            uni = (weight * sum(w == b for _, w in left) + 1) / (weight * len(left) + size + 1)
+            out.append(-np.log((weight * left.count((a, b)) + 20.0 * uni) / (weight * sum(v == a for v, _ in left) + 20.0)))
         return float(np.mean(out))
-    own = pairs(rows[1][1])
-    assert abs(got[1].ce_background - loss([r[1] for r in rows], own)) < 1e-9
-    assert abs(got[1].ce_target - loss([r[1] for r in rows if r[0] in range(1, 40, 2)], own)) < 1e-9
+
+    seen = [r[1] for r in rows if r[0] in range(1, 40, 2)]
+    weight = sum(len(pairs(t)) for t in seen) / sum(len(pairs(r[1])) for r in rows)
+    for doc_id, text, _ in rows:
+        if text is None:
+            continue
+        own = pairs(text)
+        background = loss([r[1] for r in rows], own, weight)
+        foreground = loss(seen, own) if text in seen and doc_id in range(1, 40, 2) else loss([*seen, text], own)
+        assert abs(got[doc_id].ce_background - background) < 1e-9 and abs(got[doc_id].ce_target - foreground) < 1e-9
+        assert abs(got[doc_id].score - (foreground - background)) < 1e-9 and got[doc_id].n_tokens == len(own)
     assert score_documents(docs.limit(0), target, WORD).count() == 0
+    assert {r.score for r in score_documents(docs, target.limit(0), WORD).collect()} == {0.0}
 
 

@@ -2,12 +2,14 @@
 
 Two bigram models over one vocabulary (the tokenizer's), one of a target part of the corpus and one of all of it, give
 every token of every document a loss; a document's score is the mean of the per-token differences (target minus
-background: the lower, the more like the target). A document's own counts are taken out of the models that saw it.
+background: the lower, the more like the target). A document's own counts are taken out of the models that saw it. The
+models are matched: same vocabulary, same smoothing, and the background's counts weigh as many tokens as the target has
+(what a sample of the target's size would hold on average), so that neither is smoother than the other.
 
 Counts cover all documents and grow with them. No model is broadcast: documents are encoded in blocks, each block asks
-for its own distinct bigrams, the corpus-wide sums come back to the block by a shuffle, and a frequent bigram is one row
-for each block however often it occurs. Only the vocabulary's own counts (one pair of numbers for each token id) are
-gathered.
+for its own distinct bigrams, and the corpus-wide sums come back to the block by a join. However often a bigram occurs,
+it is one row for each block, and sums are taken before they are shuffled. Only the vocabulary's own counts (one pair of
+numbers for each token id) are gathered.
 """
 
 from __future__ import annotations
@@ -17,10 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import may_be_in, slices, texts_of, written
+from wayfold.llm.common import may_be_in, slices, texts_of, tidy, written
 from wayfold.llm.encoder import encoder
 
 #: Tokens of a block: documents are gathered until it is full.
@@ -44,7 +45,7 @@ def encode_blocks(docs: DataFrame, tokenizer: str, block_tokens: int = BLOCK_TOK
             raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids.astype("<u4").tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column("doc_id"), raw.cast(pa.binary())], ["block", "doc_id", "ids"])
 
-    return texts_of(docs).mapInArrow(run, "block long, doc_id long, ids binary")
+    return texts_of(docs).mapInArrow(tidy(run), "block long, doc_id long, ids binary")
 
 
 def bigrams(blobs: list, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +80,32 @@ def count_blocks(tokens: DataFrame, start: int) -> DataFrame:
         if held:
             yield flush()
 
-    return tokens.select("block", "ids").mapInArrow(run, "block long, key long, c long")
+    return tokens.select("block", "ids").mapInArrow(tidy(run), "block long, key long, c long")
+
+
+def count_runs(tokens: DataFrame, start: int, run_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``key, t``: the distinct bigrams of every ``run_tokens`` tokens that a task meets, whatever blocks they are from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def flush() -> pa.RecordBatch:
+            keys, c = np.unique(bigrams(held, start)[0], return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], ["key", "t"])
+
+        size = 0
+        for batch in batches:
+            for x in batch.column("ids").to_pylist():
+                held.append(x)
+                size += len(x) // 4
+                if size >= run_tokens:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return tokens.select("ids").mapInArrow(tidy(run), "key long, t long")
 
 
 def _vocabulary(counts: DataFrame, column: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,23 +129,26 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, tokenizer: str, bloc
     """``doc_id, n_tokens, ce_target, ce_background, score`` (nats a token) of every document; ``target_ids`` names the target's doc_ids.
 
     Null texts are empty; documents without tokens score 0 throughout. Null doc_ids are background only. Rows that share
-    a doc_id are scored each for itself. An empty target leaves its model uniform; an empty table gives no rows.
+    a doc_id are scored each for itself. An empty target leaves both models uniform, all scores 0; an empty table gives no rows.
     """
     spark = docs.sparkSession
     size = encoder(tokenizer).size
     tokens, _ = written(encode_blocks(docs, tokenizer, block_tokens), "tokens")
     target = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     flags, _ = written(tokens.select("doc_id", "block").join(target, "doc_id", "left_semi").distinct(), "target-docs")
-    of_target = count_blocks(may_be_in(tokens, "doc_id", target).join(target, "doc_id", "left_semi").sortWithinPartitions("block"), size).groupBy("key").agg(F.sum("c").alias("t"))
+    of_target = count_runs(may_be_in(tokens, "doc_id", target).join(target, "doc_id", "left_semi"), size, block_tokens)
     zero = F.lit(0).cast("long")
-    rows = count_blocks(tokens, size).withColumn("t", zero).unionByName(of_target.select(F.lit(None).cast("long").alias("block"), "key", zero.alias("c"), "t"))
-    counts, _ = written(rows, "bigrams")
-    words_b, before_b = _vocabulary(counts, "c", size)
-    words_t, before_t = _vocabulary(counts, "t", size)
+    counts, _ = written(count_blocks(tokens, size), "bigrams")
+    both = counts.select("key", F.col("c").alias("b"), zero.alias("t")).unionByName(of_target.select("key", zero.alias("b"), "t"))
+    totals, _ = written(both.groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "bigram-sums")
+    words_b, before_b = _vocabulary(totals, "b", size)
+    words_t, before_t = _vocabulary(totals, "t", size)
+    matched = float(words_t.sum() / max(1.0, words_b.sum()))
     model = spark.sparkContext.broadcast((words_b, before_b, words_t, before_t))
-    over = W.partitionBy("key")
-    sums = counts.select("block", "key", F.sum("c").over(over).alias("b"), F.sum("t").over(over).alias("t")).filter("block is not null").distinct()
+    # a key's rows on the left are its blocks, at most; a block that came in several runs asks once
+    sums = counts.select("block", "key").distinct().join(totals, "key").select("block", "key", "b", "t")
     sums = sums.unionByName(flags.select("block", (-1 - F.col("doc_id")).alias("key"), F.lit(-1).cast("long").alias("b"), zero.alias("t")))
+    parts = max(1, tokens.select("block").distinct().count())
 
     def score(blocks: pa.Table, known: pa.Table) -> pa.Table:
         words_b, before_b, words_t, before_t = model.value
@@ -144,10 +173,10 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, tokenizer: str, bloc
             own_first, own_second = (np.unique(x, return_inverse=True, return_counts=True) for x in (first, second))
             own_first, own_second = own_first[2][own_first[1]], own_second[2][own_second[1]]
             less = 1 if doc in in_target else 0
-            bg = losses(b[at] - own, before_b[first] - own_first, words_b[second] - own_second, total_b - (hi - lo), size)
+            bg = losses(*(matched * x for x in (b[at] - own, before_b[first] - own_first, words_b[second] - own_second, total_b - (hi - lo))), size)
             tg = losses(t[at] - less * own, before_t[first] - less * own_first, words_t[second] - less * own_second, total_t - less * (hi - lo), size)
             out.append((int(hi - lo), float(tg.mean()), float(bg.mean()), float((tg - bg).mean())))
         n, ct, cb, s = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ce_target": pa.array(ct, pa.float64()), "ce_background": pa.array(cb, pa.float64()), "score": pa.array(s, pa.float64())})
 
-    return tokens.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
+    return tokens.repartition(parts, "block").groupBy("block").cogroup(sums.repartition(parts, "block").groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
