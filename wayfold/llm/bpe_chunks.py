@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wayfold.llm.common import compact, slices, string_buffer, texts_of
+from wayfold.llm.common import compact, slices, string_buffer, texts_of, tidy
 from wayfold.llm.encoder import WordEncoder, encoder
 
 #: A cut where the low bits of the hash are zero: chunks of 1 KiB on average.
@@ -68,7 +68,9 @@ class ChunkEncoder:
         """Offsets and ids as WordEncoder.encode gives them for whole texts, and counts of chunks met and encoded."""
         texts = compact(texts)
         data, offsets = string_buffer(texts)
-        ends = chunk_cuts(data, offsets) if len(data) else np.zeros(0, np.int64)
+        if not len(data):
+            return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32), {"chunks": 0, "encoded": 0}
+        ends = chunk_cuts(data, offsets)
         ends = ends[ends > 0]
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         space = np.flatnonzero(_SPACE[data])
@@ -147,4 +149,4 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
             decoded = chunks.words.decode(offsets, ids).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), binary, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return texts_of(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary, decoded string")
