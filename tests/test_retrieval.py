@@ -17,11 +17,11 @@ def index(spark):
     ]
     docs = spark.createDataFrame(rows, "id string, doc_type string, label string, street_name string, house_number string, postcode string, municipality_name string, popularity long, aliases array<string>")
     docs = finish(docs.withColumn("post_name", F.col("municipality_name")))
-    return M.Index.of(docs.persist())
+    return M.Index.of(docs)
 
 
 def ask(spark, index, method, *queries, **more):
-    q = parse_queries(spark.createDataFrame([(x, x) for x in queries], "query_id string, query string")).persist()
+    q = parse_queries(spark.createDataFrame([(x, x) for x in queries], "query_id string, query string"))
     out = {}
     for r in M.REGISTRY[method](q, index, **more).orderBy("query_id", "rank").collect():
         out.setdefault(r.query_id, []).append(r.id)
@@ -29,11 +29,12 @@ def ask(spark, index, method, *queries, **more):
 
 
 def test_fulltext(spark, index):
-    got = ask(spark, index, "fulltext", "gent", "kerkstraat gent", "kerkstraat 12 bus 5 gent", "kerkstrat antwerpen", "nowhere")
+    got = ask(spark, index, "fulltext", "gent", "kerkstraat gent", "kerkstraat 12 bus 5 gent", "kerkstrat gent", "kerkstrat antwerpen", "nowhere")
     assert got["gent"][:2] == ["m:gent", "m:gentb"]
     assert got["kerkstraat gent"][0] == "s:1"
     assert set(got["kerkstraat 12 bus 5 gent"]) == {"s:1", "a:12"}
-    assert "s:2" in got["kerkstrat antwerpen"]
+    assert got["kerkstrat gent"] == ["s:1", "s:2", "a:12"]  # the relaxed name alone admits both streets
+    assert "kerkstrat antwerpen" not in got  # of equally long tokens the last one is relaxed
     assert "nowhere" not in got
 
 
@@ -46,8 +47,8 @@ def test_clause_methods_agree_on_candidates(spark, index):
 
 
 def test_clause_methods_score_differently(spark, index):
-    q = parse_queries(spark.createDataFrame([("x", "rue hau"), ("y", "kerkstraat gen")], "query_id string, query string")).persist()
-    pairs = M.gate(q, index).persist()
+    q = parse_queries(spark.createDataFrame([("x", "rue hau"), ("y", "kerkstraat gen")], "query_id string, query string"))
+    pairs = M.gate(q, index)
     scores = lambda m, **k: {(r.query_id, r.id): r.relevance for r in M.clause_scores(q, pairs, index, m, **k).collect()}
     got = {m: scores(m) for m in ("prefixes", "sayt", "bool_prefix")}
     assert len({frozenset(g) for g in got.values()}) == 1 and len(got["sayt"]) == 3

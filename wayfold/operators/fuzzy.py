@@ -21,11 +21,13 @@ def swaps(token: Column) -> Column:
 def swap_distance(a: Column, b: Column) -> Column:
     """Edit distance in which an exchange of neighbours is one edit; exact up to two.
 
-    One edit: a plain edit or an exchange. Two: two plain edits, or an exchange in ``a`` next to one edit of the result.
+    One edit: a plain edit or an exchange. Two: two plain edits, an exchange in ``a`` and one edit of the result, or an
+    exchange in each text that makes them equal.
     """
     plain = F.levenshtein(a, b)
     swapped = F.array_min(F.transform(swaps(a), lambda s: F.levenshtein(s, b))) + 1
-    return F.least(plain, F.coalesce(swapped, plain))
+    both = F.when(F.arrays_overlap(swaps(a), swaps(b)), 2)
+    return F.least(plain, F.coalesce(swapped, plain), F.coalesce(both, plain))
 
 
 def fuzzy_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
@@ -36,5 +38,6 @@ def fuzzy_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     t = tokens.withColumn("edits", allowed_edits(F.col("token"))).withColumn("initial", F.left("token", F.lit(1)))
     t = t.withColumn("size", F.explode(F.sequence(F.length("token") - F.col("edits"), F.length("token") + F.col("edits"))))
     v = terms.distinct().select("term", F.left("term", F.lit(1)).alias("initial"), F.length("term").alias("size"))
-    found = t.join(v, ["initial", "size"]).withColumn("distance", swap_distance(F.col("token"), F.col("term")))
+    # an exchange is two plain edits, so twice the edits bound the plain distance, which is cheap to bound
+    found = t.join(v, ["initial", "size"]).filter(F.levenshtein("token", "term", 4) >= 0).withColumn("distance", swap_distance(F.col("token"), F.col("term")))
     return found.filter("distance <= edits").select("token", "term", "distance")

@@ -78,11 +78,14 @@ def idf(docs: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (docs - df + 0.5) / (df + 0.5))
 
 
-def bm25(boost: float | Column, docs: Column, df: Column, tf: Column, dl: Column | None = None, avgdl: Column | None = None) -> Column:
-    """One term's contribution; without lengths the field has no length norm."""
-    norm = F.lit(1.0) if dl is None else (F.lit(1 - B) + F.lit(B) * dl / avgdl)
+def length_norm(dl: Column, avgdl: Column) -> Column:
+    return F.lit(1 - B) + F.lit(B) * dl / avgdl
+
+
+def bm25(boost: float | Column, rarity: Column, tf: Column, norm: Column | None = None) -> Column:
+    """One term's contribution (or a phrase's); without ``norm`` its field has no length norm."""
     boost = F.lit(boost) if isinstance(boost, float) else boost
-    return boost * (K1 + 1) * idf(docs, df) * tf / (tf + F.lit(K1) * norm)
+    return boost * (K1 + 1) * rarity * tf / (tf + F.lit(K1) * (F.lit(1.0) if norm is None else norm))
 
 
 def top_k(rows: DataFrame, limit: int, tier_sort: bool = True, by: str = "query_id") -> DataFrame:

@@ -1,120 +1,164 @@
 """Who may appear for a query, how the appearing are scored, and what is tried when nobody appears.
 
-All methods take a batch of parsed queries. Gates are joins of query tokens with postings; a typed prefix is first
-turned into whole terms through the vocabulary's edge n-grams, so there is no theta join however large the corpus is.
-The query side is broadcast only by the optimizer, which knows its size.
+All methods take a batch of parsed queries. What a batch asks of the index is a table of *units*: a text to be met in a
+field, as a whole word or as the start of one. Each distinct unit is looked up once for the whole batch; starts become
+whole terms through the vocabulary's prefixes, so there is no theta join however large the corpus is. A gate opens with
+the rarest unit of each query and probes the others. Hits, gated pairs and answered queries are stored tables: no pass
+carries the plan of the passes before it.
 """
 
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import text as X
 from wayfold.operators.fuzzy import fuzzy_terms
-from wayfold.operators.ranking import FUZZY_PENALTY, additive_score, bm25, idf, merge_candidates, popularity_factor, top_k
-from wayfold.plans.index import LONGEST_GRAM, completion_entries, edge_grams, field_stats, postings, shingles, term_stats
+from wayfold.operators.ranking import FUZZY_PENALTY, additive_score, bm25, idf, length_norm, popularity_factor, top_k
+from wayfold.plans.index import COMPLETION_LENGTH, LONGEST_GRAM, SHINGLES, Index, heads, shingles
 from wayfold.plans.parse import with_gate, without_numbers
+from wayfold.schema import TYPES
+from wayfold.sources.scratch import stored
 
 #: Shorter tokens never reach the full-text index.
 LEAST_FULLTEXT = 3
+#: How many hits are counted for a query.
+MOST_TOTAL = 1000
+#: Places to which a score counts in an order: the order in which its parts were added does not.
+PLACES = 6
+UNIT = ("field", "open", "text")
 
 
-@dataclasses.dataclass
-class Index:
-    """A corpus and its index tables; ``of`` keeps what several plans read, a large corpus's tables are better written."""
+# ------------------------------------------------------------------ lookups
 
-    docs: DataFrame
-    postings: DataFrame
-    terms: DataFrame
-    fields: DataFrame
-    grams: DataFrame
-    completions: DataFrame
 
-    @classmethod
-    def of(cls, docs: DataFrame) -> Index:
-        p = postings(docs).persist()
-        terms = term_stats(p).persist()
-        return cls(docs, p, terms, field_stats(p), edge_grams(terms), completion_entries(docs))
+def unit_terms(units: DataFrame, index: Index) -> DataFrame:
+    """``units`` by the terms they mean, as ``term``: the text itself, or all terms of the field that start with it."""
+    whole = units.filter("not open").withColumn("term", F.col("text"))
+    opened = units.filter("open").withColumn("gram", F.left("text", F.lit(LONGEST_GRAM)))
+    return whole.unionByName(opened.join(index.prefixes(), ["field", "gram"]).filter(F.startswith("term", "text")).drop("gram"))
+
+
+def unit_hits(units: DataFrame, index: Index) -> DataFrame:
+    """``field, open, text, id, tf, dl`` of every document that holds a term of a unit; ``tf`` counts all of its terms."""
+    terms = unit_terms(units.select(*UNIT).distinct(), index)
+    rows = terms.join(index.postings, ["field", "term"])
+    return rows.groupBy(*UNIT, "id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+
+
+def unit_df(hits: DataFrame) -> DataFrame:
+    return hits.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("df"))
+
 
+def meet(slots: DataFrame, hits: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """``query_id, id``: documents met by every unit among a query's ``slots`` (query_id and units).
+
+    The rarest unit of a query gives its candidates, so a common word costs no more than the rarest one beside it.
+    ``allowed`` (ids) restricts the candidates before anything is probed.
+    """
+    slots = slots.select("query_id", *UNIT).distinct()
+    unit = F.struct(*UNIT)
+    known = slots.join(unit_df(hits), list(UNIT), "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    ask = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"), F.min(F.struct("df", unit.alias("u"))).alias("rarest")).filter("rarest.df > 0")
+    first = ask.select("query_id", "asked", *(F.col(f"rarest.u.{c}").alias(c) for c in UNIT)).join(hits.select(*UNIT, "id"), list(UNIT))
+    if allowed is not None:
+        first = first.join(allowed, "id", "left_semi")
+    others = slots.join(ask.select("query_id", *(F.col(f"rarest.u.{c}").alias(c) for c in UNIT)), ["query_id", *UNIT], "left_anti")
+    alone = first.filter("asked = 1").select("query_id", "id")
+    probed = first.filter("asked > 1").select("query_id", "id", "asked").join(others, "query_id").join(hits.select(*UNIT, "id"), [*UNIT, "id"])
+    met = probed.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("met"), F.first("asked").alias("asked")).filter("met = asked - 1")
+    return alone.unionByName(met.select("query_id", "id"))
+
+
+def _unit(field: str, opened: bool, text: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), F.lit(opened).alias("open"), text.alias("text"))
 
-def expand_prefixes(wanted: DataFrame, index: Index) -> DataFrame:
-    """``wanted`` (with ``token``) by the whole terms that start with it, as ``term``."""
-    head = F.left("token", F.lit(LONGEST_GRAM))
-    found = wanted.withColumn("gram", head).join(index.grams, "gram").filter(F.startswith("term", "token"))
-    return found.drop("gram")
 
+def word_slots(queries: DataFrame, field: str = "search_text") -> DataFrame:
+    """The units of a gate: every needed word, and the typed prefix."""
+    prefix = F.when(F.col("prefix").isNotNull(), F.array(_unit(field, True, F.col("prefix")))).otherwise(F.array().cast("array<struct<field:string,open:boolean,text:string>>"))
+    return queries.select("query_id", F.explode(F.concat(F.transform("needed", lambda t: _unit(field, False, t)), prefix)).alias("u")).select("query_id", "u.*")
 
-def gate(queries: DataFrame, index: Index, field: str = "search_text") -> DataFrame:
+
+def gate(queries: DataFrame, index: Index, field: str = "search_text", types: list[str] | None = None) -> DataFrame:
     """``query_id, id``: documents that hold every needed word and a word of the typed prefix."""
-    slots = queries.select("query_id", F.explode(F.concat(F.transform("needed", lambda t: F.struct(t.alias("token"), F.lit(False).alias("open"))), F.when(F.col("prefix").isNotNull(), F.array(F.struct(F.col("prefix").alias("token"), F.lit(True).alias("open")))).otherwise(F.array().cast("array<struct<token:string,open:boolean>>")))).alias("s")).select("query_id", "s.*")
-    whole = slots.filter("not open").withColumn("term", F.col("token"))
-    terms = whole.unionByName(expand_prefixes(slots.filter("open"), index))
-    hits = terms.join(index.postings.filter(F.col("field") == field).select("term", "id"), "term")
-    met = hits.groupBy("query_id", "id").agg(F.count_distinct("token", "open").alias("met"))
-    asked = queries.select("query_id", (F.size("needed") + F.col("prefix").isNotNull().cast("int")).alias("asked"))
-    return met.join(asked, "query_id").filter("met = asked").select("query_id", "id")
+    slots = word_slots(queries, field)
+    return meet(slots, unit_hits(slots, index), allowed_ids(index, types))
+
+
+def allowed_ids(index: Index, types: list[str] | None) -> DataFrame | None:
+    """Ids of the documents of some types; nothing where all are asked for."""
+    if not types or set(types) == set(TYPES):
+        return None
+    return index.docs.filter(F.col("doc_type").isin(*types)).select("id")
 
 
-def fulltext_gate(queries: DataFrame, index: Index) -> DataFrame:
+# ------------------------------------------------------------------ the additive method
+
+
+def fulltext_gate(queries: DataFrame, index: Index, types: list[str] | None = None) -> DataFrame:
     """``query_id, id, ft_score``: every token a word's prefix, numbers whole words unless the query is all numbers; short
     tokens filter but do not score. The score is the sum of tf times squared log10(N / df) over the words met."""
-    tokens = queries.select("query_id", "bare_numeric", F.explode(F.array_distinct("locative")).alias("token"))
-    exact = tokens.filter(~F.col("bare_numeric") & X.is_numeric(F.col("token"))).withColumn("term", F.col("token"))
-    terms = exact.unionByName(expand_prefixes(tokens.filter(F.col("bare_numeric") | ~X.is_numeric(F.col("token"))), index))
-    stats = index.terms.filter("field = 'search_text'").select("term", "df").crossJoin(F.broadcast(index.fields.filter("field = 'search_text'").select("docs")))
-    weighed = terms.join(stats, "term").withColumn("w", F.when(F.length("token") >= LEAST_FULLTEXT, F.pow(F.log10(F.col("docs") / F.col("df")), F.lit(2.0))).otherwise(0.0))
-    hits = weighed.join(index.postings.filter("field = 'search_text'").select("term", "id", "tf"), "term")
-    met = hits.groupBy("query_id", "id").agg(F.count_distinct("token").alias("met"), F.sum(F.col("w") * F.col("tf")).alias("ft_score"))
-    asked = queries.select("query_id", F.size(F.array_distinct("locative")).alias("asked"))
-    return met.join(asked, "query_id").filter("met = asked").select("query_id", "id", "ft_score")
-
-
-def name_prefix_gate(queries: DataFrame, index: Index) -> DataFrame:
+    tokens = queries.select("query_id", "bare_numeric", F.explode(F.array_distinct("locative")).alias("text"))
+    opened = F.col("bare_numeric") | ~X.is_numeric(F.col("text"))
+    slots = stored(tokens.select("query_id", F.lit("search_text").alias("field"), opened.alias("open"), "text"), "slots")
+    total = index.fields.filter("field = 'search_text'").select("docs")
+    weights = index.terms.filter("field = 'search_text'").crossJoin(F.broadcast(total)).select("field", "term", F.pow(F.log10(F.col("docs") / F.col("df")), F.lit(2.0)).alias("w"))
+    rows = unit_terms(slots.select(*UNIT).distinct(), index).join(weights, ["field", "term"]).join(index.postings.filter("field = 'search_text'"), ["field", "term"])
+    score = F.when(F.length("text") >= LEAST_FULLTEXT, F.sum(F.col("w") * F.col("tf"))).otherwise(0.0)
+    hits = stored(rows.groupBy(*UNIT, "id").agg(score.alias("ft")), "fulltext-hits")
+    pairs = meet(slots, hits, allowed_ids(index, types))
+    return pairs.join(slots, "query_id").join(hits, [*UNIT, "id"]).groupBy("query_id", "id").agg(F.sum("ft").alias("ft_score"))
+
+
+def name_prefix_gate(queries: DataFrame, index: Index, types: list[str] | None = None) -> DataFrame:
     """``query_id, id``: documents other than addresses whose folded name starts with the joined tokens.
 
     Names meet queries on their first typed token, a word of the name or the head of one, before they are compared.
     """
     typed = queries.select("query_id", F.array_join("locative", " ").alias("joined"), F.element_at("locative", 1).alias("token"), F.size("locative").alias("n")).filter("joined <> ''")
-    several = typed.filter("n > 1").withColumn("term", F.col("token"))
-    starts = several.unionByName(expand_prefixes(typed.filter("n = 1"), index))
-    names = index.docs.filter("doc_type <> 'address'").select("id", "primary_name_norm", F.substring_index("primary_name_norm", " ", 1).alias("term"))
+    docs = index.docs.filter("doc_type <> 'address'")
+    if types:
+        docs = docs.filter(F.col("doc_type").isin(*types))
+    names = docs.select("id", "primary_name_norm", F.substring_index("primary_name_norm", " ", 1).alias("term"))
+    firsts = names.select("term").distinct().select("term", F.explode(heads(F.col("term"))).alias("gram"))
+    opened = typed.filter("n = 1").withColumn("gram", F.left("token", F.lit(LONGEST_GRAM))).join(firsts, "gram").filter(F.startswith("term", "token")).drop("gram")
+    starts = typed.filter("n > 1").withColumn("term", F.col("token")).unionByName(opened)
     return starts.join(names, "term").filter(F.startswith("primary_name_norm", "joined")).select("query_id", "id")
 
 
-def _restrict(candidates: DataFrame, index: Index, types: list[str] | None) -> DataFrame:
-    docs = index.docs.filter(F.col("doc_type").isin(*types)) if types else index.docs
-    return candidates.join(docs, "id")
-
-
 _QUERY = ("query_id", "tokens", "locative", "bare_numeric", "number_tokens", "typing_locative", "detail", "normalized")
 
 
-def _fulltext_pass(queries: DataFrame, index: Index, types: list[str] | None, debug: bool = False) -> DataFrame:
-    full = fulltext_gate(queries, index)
-    named = name_prefix_gate(queries, index).withColumn("ft_score", F.lit(0.0))
-    passes = [additive_score(_restrict(c, index, types).join(queries.select(*_QUERY), "query_id"), debug) for c in (full, named)]
-    return merge_candidates(passes)
+def _fulltext_pass(queries: DataFrame, index: Index, types: list[str] | None, debug: bool = False, gates: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
+    """Scored documents of both exact gates. A document in both has the better score of the two, the full-text one, since
+    the name gate gives no full-text score; so the gates are united before they are scored."""
+    full = fulltext_gate(queries if gates is None else gates, index, types)
+    by_name = name_prefix_gate(queries if named is None else named, index, types).withColumn("ft_score", F.lit(0.0))
+    pairs = full.unionByName(by_name).groupBy("query_id", "id").agg(F.max("ft_score").alias("ft_score"))
+    more = ["target"] if "target" in queries.columns else []
+    return additive_score(pairs.join(index.docs, "id").join(queries.select(*_QUERY, *more), "query_id"), debug)
 
 
-def suggest_fulltext(queries: DataFrame, index: Index, limit: int = 10, types: list[str] | None = None, fuzzy: bool = True, debug: bool = False) -> DataFrame:
-    """The additive-score method: exact passes; without numbers where these found nothing; misspelt names where there is room.
-
-    A pass is kept, since the next ones ask which queries it answered.
-    """
-    exact = _fulltext_pass(queries, index, types, debug).withColumn("pass", F.lit("exact")).persist()
+def suggest_fulltext(queries: DataFrame, index: Index, limit: int = 10, types: list[str] | None = None, fuzzy: bool = True, tier_sort: bool = True, debug: bool = False) -> DataFrame:
+    """The additive-score method: exact passes; without numbers where these found nothing; misspelt names where there is room."""
+    queries = stored(queries, "queries")
+    exact = stored(_fulltext_pass(queries, index, types, debug).withColumn("pass", F.lit("exact")), "exact")
     unanswered = queries.filter("size(number_tokens) > 0 and not bare_numeric").join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    fewer = unanswered.withColumn("locative", without_numbers(F.col("locative")))
-    relaxed = _fulltext_pass(fewer, index, types, debug).withColumn("pass", F.lit("no_number")).persist()
-    found = exact.unionByName(relaxed)
+    fewer = stored(unanswered.withColumn("locative", without_numbers(F.col("locative"))), "queries")
+    found = exact
+    if not fewer.isEmpty():
+        found = exact.unionByName(stored(_fulltext_pass(fewer, index, types, debug).withColumn("pass", F.lit("no_number")), "no-number"))
     if fuzzy:
         counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_contains("number_tokens", F.col("house_number"))).alias("exact_number"))
         short = queries.join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < limit).filter(~F.coalesce("exact_number", F.lit(False))).drop("n", "exact_number")
-        more = fuzzy_pass(short, index, types, debug).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        more = fuzzy_pass(stored(short, "queries"), index, types, debug).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
         found = found.unionByName(more.withColumn("pass", F.lit("fuzzy")))
-    return top_k(found, limit)
+    return top_k(found.withColumn("score", F.round("score", PLACES)), limit, tier_sort)
 
 
 def relax(queries: DataFrame) -> DataFrame:
@@ -130,13 +174,10 @@ def fuzzy_pass(queries: DataFrame, index: Index, types: list[str] | None, debug:
     q = relax(queries)
     # the original tokens score; the relaxed ones gate
     gates = q.withColumn("locative", F.concat(F.filter("locative", lambda t: t != F.col("target")), F.array("relaxed")))
-    full = fulltext_gate(gates, index)
-    named = name_prefix_gate(gates.withColumn("locative", F.array("relaxed")), index).withColumn("ft_score", F.lit(0.0))
-    passes = [additive_score(_restrict(c, index, types).join(q.select(*_QUERY, "target"), "query_id"), debug) for c in (full, named)]
-    rows = merge_candidates(passes)
-    distance = X.name_distance(F.col("target"), F.col("primary_name_norm"))
+    rows = _fulltext_pass(q, index, types, debug, gates, q.withColumn("locative", F.array("relaxed")))
     similar = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance") / F.length("target"))
-    return rows.withColumn("distance", distance).filter(F.col("distance") <= X.max_distance(F.col("target"))).withColumn("score", F.col("score") * similar - FUZZY_PENALTY).drop("distance", "target")
+    rows = rows.withColumn("distance", X.name_distance(F.col("target"), F.col("primary_name_norm")))
+    return rows.filter(F.col("distance") <= X.max_distance(F.col("target"))).withColumn("score", F.col("score") * similar - FUZZY_PENALTY).drop("distance", "target")
 
 
 # ------------------------------------------------------------------ clause methods
@@ -144,165 +185,280 @@ def fuzzy_pass(queries: DataFrame, index: Index, types: list[str] | None, debug:
 # Boosts of the scoring clauses.
 EXACT_NAME, NAME_PHRASE, NAME_WORDS, POSTCODE_EXACT, POSTCODE_PARTIAL = 12.0, 8.0, 3.0, 6.0, 3.0
 MUNICIPALITY, POST_NAME, DETAIL, ALIAS, FUZZY = 1.5, 1.2, 4.0, 1.8, 0.4
-#: How the name clause of a method reads the query's tokens: every token as prefix, or the last one only.
-METHODS = {"edge_ngram": "all", "prefixes": "last", "sayt": "last", "bool_prefix": "last"}
-#: Methods whose haystack field has a length norm; those that also score runs of two and three words.
-NORMED, SHINGLED = {"prefixes", "sayt"}, {"sayt"}
-
-
-def _clause(pairs: DataFrame, tokens: DataFrame, index: Index, field: str, boost: float, norms: bool = False) -> DataFrame:
-    """``query_id, id, part``: BM25 of the tokens' whole terms in one field, for the gated pairs."""
-    stats = index.terms.filter(F.col("field") == field).select("term", "df").crossJoin(F.broadcast(index.fields.filter(F.col("field") == field).select("docs", "avgdl")))
-    hits = tokens.withColumnRenamed("token", "term").join(stats, "term").join(index.postings.filter(F.col("field") == field).select("term", "id", "tf", "dl"), "term")
-    part = bm25(boost, F.col("docs"), F.col("df"), F.col("tf"), F.col("dl") if norms else None, F.col("avgdl"))
-    return hits.join(pairs, ["query_id", "id"], "left_semi").select("query_id", "id", part.alias("part"))
-
-
-def _shingle_clauses(queries: DataFrame, pairs: DataFrame, index: Index, tokens: Column, field: str, boost: float) -> list[DataFrame]:
-    """``query_id, id, part`` of the runs of two and of three tokens: BM25 of the whole ones, the last one a prefix that
-    counts its boost once. A document that holds all runs holds all words, so runs admit nobody the words do not."""
-    parts = []
-    for size in (2, 3):
-        asked = queries.select("query_id", shingles(tokens, size).alias("runs")).filter("size(runs) > 0")
-        held = index.docs.select("id", shingles(X.words(F.col(field)), size).alias("held")).filter("size(held) > 0").withColumn("dl", F.size("held"))
-        stats = held.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
-        tf = held.select("id", "dl", F.explode("held").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        whole = asked.select("query_id", F.explode(F.array_distinct(F.slice("runs", 1, F.size("runs") - 1))).alias("term"))
-        hits = whole.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats)).join(pairs, ["query_id", "id"], "left_semi")
-        parts.append(hits.select("query_id", "id", bm25(boost, F.col("docs"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("part")))
-        last = asked.select("query_id", F.element_at("runs", -1).alias("last"))
-        opened = pairs.join(last, "query_id").join(held, "id").filter(F.exists("held", lambda h: F.startswith(h, F.col("last"))))
-        parts.append(opened.select("query_id", "id", F.lit(boost).alias("part")))
-    return parts
-
-
-def _fuzzy_clause(pairs: DataFrame, tokens: DataFrame, index: Index, norms: bool) -> DataFrame:
-    """``query_id, id, part``: BM25 of the terms within each token's edits, less the share of the token that was edited."""
-    field = F.col("field") == "search_text"
-    near = fuzzy_terms(tokens.select("token").distinct(), index.terms.filter(field).select("term"))
-    stats = index.terms.filter(field).select("term", "df").crossJoin(F.broadcast(index.fields.filter(field).select("docs", "avgdl")))
-    hits = tokens.join(near, "token").join(stats, "term").join(index.postings.filter(field).select("term", "id", "tf", "dl"), "term").join(pairs, ["query_id", "id"], "left_semi")
-    part = bm25(FUZZY, F.col("docs"), F.col("df"), F.col("tf"), F.col("dl") if norms else None, F.col("avgdl"))
-    return hits.select("query_id", "id", (part * (F.lit(1.0) - F.col("distance") / F.length("token"))).alias("part"))
+# Terms that a misspelt token, and a phrase's last word, expand to at most.
+FUZZY_EXPANSIONS, PHRASE_EXPANSIONS = 30, 20
 
 
-def clause_scores(queries: DataFrame, pairs: DataFrame, index: Index, method: str, fuzzy: bool = True) -> DataFrame:
-    """``query_id, id, relevance``: the sum of all clauses for the gated pairs.
+@dataclasses.dataclass(frozen=True)
+class Method:
+    """How a clause method reads its fields. ``grams``: prefixes are terms of a field like others, scored by their rarity,
+    and misspellings are sought among them; otherwise a typed prefix counts its boost once. ``norms``: the haystack's
+    length counts. ``shingled``: runs of two and three words score beside the words."""
 
-    Each clause is BM25 with its boost; a typed prefix counts its boost once; a phrase at the start of the name and an
-    exact name count their boost times the rarity of the first token and of the name.
-    """
-    q, mode, norms = queries, METHODS[method], method in NORMED
-    each = lambda c: q.select("query_id", F.explode(F.array_distinct(c)).alias("token"))
-    parts = [
-        _clause(pairs, each(F.col("needed")), index, "search_text", 1.0, norms=norms),
-        _clause(pairs, each(F.col("tokens")), index, "primary_name", NAME_WORDS, norms=mode == "last"),
-        _clause(pairs, each(F.filter("tokens", X.is_postcode)), index, "postcode", POSTCODE_EXACT),
-        _clause(pairs, each(F.col("tokens")), index, "municipality_name", MUNICIPALITY, norms=True),
-        _clause(pairs, each(F.col("tokens")), index, "post_name", POST_NAME, norms=True),
-        _clause(pairs, each(F.filter(F.concat("detail", "number_tokens"), lambda t: ~X.is_box_marker(t) & (t != "b"))), index, "search_text", DETAIL),
-        _clause(pairs, each(F.col("tokens")), index, "aliases", ALIAS, norms=True),
+    label: str
+    grams: bool = False
+    norms: bool = False
+    shingled: bool = False
+
+
+METHODS = {
+    "edge_ngram": Method("edge n-grams of every word", grams=True),
+    "prefixes": Method("words with a prefix index", norms=True),
+    "sayt": Method("search as you type: words and their runs", norms=True, shingled=True),
+    "bool_prefix": Method("words, the last one a prefix"),
+}
+
+_CLAUSE = "array<struct<clause:string,field:string,open:boolean,text:string,boost:double,norms:boolean,flat:boolean>>"
+
+
+def _clauses(name: str, field: str, tokens: Column, boost: float, opened: bool = False, norms: bool = False, flat: bool = False) -> Column:
+    """Clauses for the distinct ``tokens``: BM25 of what they meet in ``field``, or its boost once where ``flat``."""
+    one = lambda t: F.struct(F.lit(name).alias("clause"), F.lit(field).alias("field"), F.lit(opened).alias("open"), t.alias("text"), F.lit(boost).alias("boost"), F.lit(norms).alias("norms"), F.lit(flat).alias("flat"))
+    return F.transform(F.array_distinct(tokens), one).cast(_CLAUSE)
+
+
+def _last(tokens: Column) -> Column:
+    return F.slice(tokens, F.greatest(F.size(tokens), F.lit(1)), F.lit(1))
+
+
+def _but_last(tokens: Column) -> Column:
+    return F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
+
+
+def _bool_prefix(name: str, field: str, tokens: Column, boost: float, norms: bool) -> list[Column]:
+    """All tokens but the last as words, the last one as a prefix."""
+    return [_clauses(name, field, _but_last(tokens), boost, norms=norms), _clauses(name, field, _last(tokens), boost, opened=True, norms=norms, flat=True)]
+
+
+def clauses(queries: DataFrame, method: str) -> DataFrame:
+    """``query_id, clause, field, open, text, boost, norms, flat``: what scores the gated documents of each query, but
+    for the phrase and the misspelt words."""
+    m, tokens = METHODS[method], F.col("tokens")
+    prefix = F.when(F.col("prefix").isNotNull(), F.array("prefix")).otherwise(F.array().cast("array<string>"))
+    made = [
+        _clauses("gate", "search_text", F.col("needed"), 1.0, norms=m.norms),
+        _clauses("gate", "search_text", prefix, 1.0, opened=True, flat=not m.grams),
+        _clauses("exact_name", "name", F.filter(F.array("normalized"), lambda t: t != ""), EXACT_NAME),
+        _clauses("postcode", "postcode", F.filter(tokens, X.is_postcode), POSTCODE_EXACT),
+        _clauses("postcode", "postcode", F.filter(F.array("last_token"), lambda t: F.col("bare_numeric") & t.rlike("^[1-9][0-9]{0,2}$")), POSTCODE_PARTIAL, opened=True),
+        _clauses("municipality", "municipality_name", tokens, MUNICIPALITY, norms=True),
+        _clauses("post_name", "post_name", tokens, POST_NAME, norms=True),
+        _clauses("detail", "search_text", F.filter(F.concat("detail", "number_tokens"), lambda t: ~X.is_box_marker(t) & (t != "b")), DETAIL),
+        _clauses("alias", "aliases", tokens, ALIAS, opened=True),
     ]
-    if method in SHINGLED:
-        parts += _shingle_clauses(q.filter("prefix is not null"), pairs, index, F.concat("needed", F.array("prefix")), "search_text", 1.0)
-        parts += _shingle_clauses(q, pairs, index, F.col("tokens"), "primary_name_norm", NAME_WORDS)
-    if fuzzy:
-        parts.append(_fuzzy_clause(pairs, each(F.col("tokens")), index, norms))
-    named = pairs.join(index.docs.select("id", "primary_name_norm", "postcode"), "id").join(q.select("query_id", "normalized", "tokens", "prefix", "bare_numeric", "last_token"), "query_id")
-    opened = F.col("tokens") if mode == "all" else F.filter(F.array("last_token"), lambda t: t != "")
-    heads = F.size(F.filter(opened, lambda t: F.exists(X.words(F.col("primary_name_norm")), lambda w: F.startswith(w, t))))
-    one = lambda c, boost: F.when(F.coalesce(c, F.lit(False)), boost).otherwise(0.0)
-    partial = F.col("bare_numeric") & F.col("last_token").rlike("^[1-9][0-9]{0,2}$") & F.startswith(F.coalesce("postcode", F.lit("")), "last_token")
-    flat = F.when(F.col("prefix").isNotNull(), 1.0).otherwise(0.0) + one(F.startswith("primary_name_norm", "normalized") & (F.col("normalized") != ""), NAME_PHRASE) + heads * F.lit(NAME_WORDS) + one(partial, POSTCODE_PARTIAL)
-    parts.append(named.select("query_id", "id", flat.alias("part")))
-    names = index.docs.groupBy("primary_name_norm").agg(F.count(F.lit(1)).alias("df"))
-    total = index.docs.agg(F.count(F.lit(1)).alias("docs"))
-    exact = named.filter("primary_name_norm = normalized").join(names, "primary_name_norm").crossJoin(F.broadcast(total))
-    parts.append(exact.select("query_id", "id", (F.lit(EXACT_NAME) * idf(F.col("docs"), F.col("df"))).alias("part")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("query_id", "id").agg(F.sum("part").alias("relevance"))
-
-
-def _clause_pass(queries: DataFrame, pairs: DataFrame, index: Index, method: str, types: list[str] | None, name: str, fuzzy: bool) -> DataFrame:
-    rows = _restrict(clause_scores(queries, pairs, index, method, fuzzy), index, types)
-    return rows.withColumn("score", F.col("relevance") * popularity_factor()).withColumn("pass", F.lit(name))
-
-
-def fuzzy_gate(queries: DataFrame, index: Index) -> DataFrame:
-    """Documents that hold, for every token that is no number, a word within the token's edits."""
-    tokens = queries.select("query_id", F.explode(F.array_distinct(without_numbers(F.col("locative")))).alias("token"))
-    near = fuzzy_terms(tokens.select("token").distinct(), index.terms.filter("field = 'search_text'").select("term"))
-    hits = tokens.join(near, "token").join(index.postings.filter("field = 'search_text'").select("term", "id"), "term")
-    met = hits.groupBy("query_id", "id").agg(F.count_distinct("token").alias("met"))
-    return met.join(tokens.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked")), "query_id").filter("met = asked").select("query_id", "id")
-
-
-def suggest_clauses(queries: DataFrame, index: Index, method: str, limit: int = 10, types: list[str] | None = None, fuzzy: bool = True, tier_sort: bool = True) -> DataFrame:
-    """A clause-scored method: strict; for queries without any hit, numbers left out; for those still without, misspellings."""
-    strict = _clause_pass(queries, gate(queries, index), index, method, types, "strict", fuzzy).persist()
-    unanswered = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    fewer = with_gate(unanswered.filter("size(number_tokens) > 0 and not bare_numeric").withColumn("fewer", without_numbers(F.col("locative"))), "fewer").drop("fewer")
-    relaxed = _clause_pass(fewer, gate(fewer, index), index, method, types, "no_number", fuzzy).persist()
-    found = strict.unionByName(relaxed)
-    if fuzzy:
-        rest = unanswered.join(relaxed.select("query_id").distinct(), "query_id", "left_anti")
-        found = found.unionByName(_clause_pass(rest, fuzzy_gate(rest, index), index, method, types, "fuzzy", False))
-    return top_k(found, limit, tier_sort)
+    if m.grams:
+        made.append(_clauses("name", "primary_name", tokens, NAME_WORDS, opened=True))
+    else:
+        made += _bool_prefix("name", "primary_name", tokens, NAME_WORDS, True)
+    if m.shingled:
+        for field, (_, size) in SHINGLES.items():
+            if field.startswith("primary_name"):
+                made += _bool_prefix("name", field, shingles(tokens, size), NAME_WORDS, True)
+            else:  # counts only where every run is met, as a gate over the field alone would have it
+                runs = F.when(F.col("prefix").isNotNull(), shingles(F.col("gated"), size)).otherwise(F.array().cast("array<string>"))
+                made += _bool_prefix(f"gate {field}", field, runs, 1.0, True)
+    return queries.select("query_id", F.explode(F.concat(*made)).alias("c")).select("query_id", "c.*")
+
+
+def near_texts(tokens: DataFrame, index: Index, method: str) -> DataFrame:
+    """``token, field, open, text, distance``: the words of the haystack (their heads, where these are terms) within each
+    token's edits; the closest FUZZY_EXPANSIONS, then in order of the alphabet."""
+    words = index.terms.filter("field = 'search_text'").select("term")
+    grams = METHODS[method].grams
+    if grams:
+        words = words.select(F.explode(heads(F.col("term"))).alias("term")).unionByName(words)
+    near = fuzzy_terms(tokens.select("token").distinct(), words)
+    few = near.withColumn("n", F.row_number().over(W.partitionBy("token").orderBy("distance", "term"))).filter(F.col("n") <= FUZZY_EXPANSIONS)
+    return few.select("token", F.lit("search_text").alias("field"), F.lit(grams).alias("open"), F.col("term").alias("text"), "distance")
+
+
+def _weight() -> Column:
+    """What a misspelling's share of edited characters leaves of it."""
+    return F.lit(1.0) - F.col("distance") / F.length("token")
+
+
+def fuzzy_clauses(tokens: DataFrame, near: DataFrame, method: str, boost: float) -> DataFrame:
+    rows = tokens.join(near, "token")
+    return rows.select("query_id", F.lit("fuzzy").alias("clause"), *UNIT, (F.lit(boost) * _weight()).alias("boost"), F.lit(METHODS[method].norms).alias("norms"), F.lit(False).alias("flat"))
+
+
+def phrase_scores(queries: DataFrame, pairs: DataFrame, index: Index) -> DataFrame:
+    """``query_id, id, clause, part``: the name holds the tokens in order, the last one as the start of a word.
+
+    BM25 with the phrase's frequency; its rarity is that of all words before the last and of the first
+    PHRASE_EXPANSIONS words that the last one opens.
+    """
+    name = F.col("field") == "primary_name"
+    asked = queries.filter("size(tokens) > 0").select("query_id", "normalized", _but_last(F.col("tokens")).alias("words"), F.element_at("tokens", -1).alias("token"))
+    stats = index.fields.filter(name).select("docs", "avgdl")
+    terms = index.terms.filter(name).select("term", "df")
+    whole = asked.select("query_id", F.posexplode("words").alias("k", "term")).join(terms, "term").select("query_id", "df")
+    lasts = asked.select(F.lit("primary_name").alias("field"), F.lit(True).alias("open"), F.col("token").alias("text")).distinct()
+    opened = unit_terms(lasts, index).select(F.col("text").alias("token"), "term").join(terms, "term")
+    opened = opened.withColumn("n", F.row_number().over(W.partitionBy("token").orderBy("term"))).filter(F.col("n") <= PHRASE_EXPANSIONS)
+    rare = whole.unionByName(asked.select("query_id", "token").join(opened, "token").select("query_id", "df"))
+    rarity = rare.crossJoin(F.broadcast(stats)).groupBy("query_id").agg(F.sum(idf(F.col("docs"), F.col("df"))).alias("rarity"))
+    named = pairs.join(index.docs.select("id", "primary_name_norm"), "id").join(asked.select("query_id", "normalized"), "query_id")
+    held, phrase = F.concat(F.lit(" "), "primary_name_norm"), F.concat(F.lit(" "), "normalized")
+    met = named.filter(F.contains(held, phrase)).withColumn("tf", (F.length(held) - F.length(F.replace(held, phrase, F.lit("")))) / F.length(phrase))
+    scored = met.join(rarity, "query_id").crossJoin(F.broadcast(stats))
+    part = bm25(NAME_PHRASE, F.col("rarity"), F.col("tf"), length_norm(F.size(X.words(F.col("primary_name_norm"))), F.col("avgdl")))
+    return scored.select("query_id", "id", F.lit("phrase").alias("clause"), part.alias("part"))
+
 
+@dataclasses.dataclass
+class Batch:
+    """A batch of queries with everything a clause method has looked up for it."""
 
-def suggest_completion(queries: DataFrame, index: Index, limit: int = 10, types: list[str] | None = None) -> DataFrame:
+    queries: DataFrame
+    index: Index
+    method: str
+    hits: DataFrame
+    clauses: DataFrame
+    near: DataFrame | None
+
+    @classmethod
+    def of(cls, queries: DataFrame, index: Index, method: str, fuzzy: bool) -> Batch:
+        """``queries`` carry ``pass`` and the gate's columns of that pass; one lookup serves all passes."""
+        asked = stored(clauses(queries, method), "clauses")
+        near = None
+        if fuzzy:
+            tokens = queries.select(F.explode("tokens").alias("token"))
+            near = stored(near_texts(tokens, index, method), "near")
+            asked = asked.unionByName(fuzzy_clauses(queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")), near, method, FUZZY))
+        units = asked.select(*UNIT).unionByName(word_slots(_reduced(queries)).select(*UNIT))
+        return cls(queries, index, method, stored(unit_hits(units, index), "hits"), asked, near)
+
+    def scores(self, queries: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``query_id, id, clause, part``. Every gated pair asks for its query's clauses, so nothing outside is scored."""
+        stats = self.index.fields.join(unit_df(self.hits), "field")
+        rows = pairs.join(asked.join(stats, list(UNIT)), "query_id").join(self.hits, [*UNIT, "id"])
+        norm = F.when(F.col("norms"), length_norm(F.col("dl"), F.col("avgdl"))).otherwise(1.0)
+        part = F.when(F.col("flat"), F.col("boost")).otherwise(bm25(F.col("boost"), idf(F.col("docs"), F.col("df")), F.col("tf"), norm))
+        rows = rows.select("query_id", "id", "clause", part.alias("part"))
+        if METHODS[self.method].shingled:
+            whole = F.startswith("clause", F.lit("gate "))
+            asked_n = asked.filter(whole).groupBy("query_id", "clause").agg(F.count(F.lit(1)).alias("asked"))
+            runs = rows.filter(whole).groupBy("query_id", "id", "clause").agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("met"))
+            runs = runs.join(asked_n, ["query_id", "clause"]).filter("met = asked").select("query_id", "id", F.lit("gate").alias("clause"), "part")
+            rows = rows.filter(~whole).unionByName(runs)
+        return rows.unionByName(phrase_scores(queries, pairs, self.index))
+
+
+def _reduced(queries: DataFrame) -> DataFrame:
+    """The queries of the second pass: their gate without the numbers."""
+    fewer = queries.filter("size(number_tokens) > 0 and not bare_numeric").withColumn("fewer", without_numbers(F.col("locative")))
+    return with_gate(fewer, "fewer").drop("fewer")
+
+
+def clause_scores(queries: DataFrame, pairs: DataFrame, index: Index, method: str, fuzzy: bool = True) -> DataFrame:
+    """``query_id, id, relevance``: the sum of all clauses for gated ``pairs`` of the strict pass."""
+    batch = Batch.of(queries, index, method, fuzzy)
+    return batch.scores(queries, batch.clauses, pairs).groupBy("query_id", "id").agg(F.sum("part").alias("relevance"))
+
+
+def fuzzy_gate(queries: DataFrame, index: Index, near: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """Documents that hold, for every token that is no number, a text within the token's edits."""
+    tokens = queries.select("query_id", F.explode(F.array_distinct(without_numbers(F.col("locative")))).alias("token")).distinct()
+    hits = unit_hits(near, index)
+    by_token = near.join(hits, list(UNIT)).select(F.lit("").alias("field"), F.lit(False).alias("open"), F.col("token").alias("text"), "id").distinct()
+    slots = tokens.select("query_id", F.lit("").alias("field"), F.lit(False).alias("open"), F.col("token").alias("text"))
+    return meet(slots, by_token, allowed_ids(index, types))
+
+
+def suggest_clauses(queries: DataFrame, index: Index, method: str, limit: int = 10, types: list[str] | None = None, fuzzy: bool = True, tier_sort: bool = True, explain: bool = False) -> DataFrame:
+    """A clause-scored method: strict; for queries without any hit, numbers left out; for those still without, misspellings.
+
+    With ``explain``, ``parts`` maps each clause to what it gave.
+    """
+    q = stored(queries, "queries")
+    batch, allowed = Batch.of(q, index, method, fuzzy), allowed_ids(index, types)
+    pairs = [("strict", stored(meet(word_slots(q), batch.hits, allowed), "pairs"))]
+    left = stored(q.join(pairs[0][1].select("query_id").distinct(), "query_id", "left_anti"), "queries")
+    asked, reread = batch.clauses, q
+    if not left.isEmpty():
+        fewer = _reduced(left)
+        pairs.append(("no_number", stored(meet(word_slots(fewer), batch.hits, allowed), "pairs")))
+        answered = pairs[1][1].select("query_id").distinct()
+        again = stored(clauses(fewer.join(answered, "query_id", "left_semi"), method).filter("clause like 'gate%'"), "clauses")
+        # a query's gate scores as it stands in the pass that answers it
+        asked = asked.join(left.select("query_id"), "query_id", "left_anti").unionByName(asked.join(left.select("query_id"), "query_id", "left_semi").filter("not clause like 'gate%'")).unionByName(again)
+        if fuzzy:
+            rest = stored(left.join(answered, "query_id", "left_anti"), "queries")
+            near = batch.near
+            pairs.append(("fuzzy", stored(fuzzy_gate(rest, index, near, types), "pairs")))
+            tokens = rest.select("query_id", F.explode(F.array_distinct(without_numbers(F.col("locative")))).alias("token"))
+            asked = asked.join(rest.select("query_id"), "query_id", "left_anti").unionByName(asked.join(rest.select("query_id"), "query_id", "left_semi").filter("clause <> 'fuzzy'")).unionByName(fuzzy_clauses(tokens, near, method, 1.0))
+    every = None
+    for name, p in pairs:
+        p = p.withColumn("pass", F.lit(name))
+        every = p if every is None else every.unionByName(p)
+    parts = batch.scores(reread, stored(asked, "clauses"), every.select("query_id", "id"))
+    parts = parts.groupBy("query_id", "id", "clause").agg(F.sum("part").alias("part"))
+    more = [F.map_from_entries(F.array_sort(F.collect_list(F.struct("clause", "part")))).alias("parts")] if explain else []
+    relevance = parts.groupBy("query_id", "id").agg(F.sum("part").alias("relevance"), *more)
+    rows = every.join(relevance, ["query_id", "id"]).join(index.docs, "id")
+    return top_k(rows.withColumn("score", F.round(F.col("relevance") * popularity_factor(), PLACES)), limit, tier_sort)
+
+
+# ------------------------------------------------------------------ completion
+
+
+def suggest_completion(queries: DataFrame, index: Index, limit: int = 10, types: list[str] | None = None, fuzzy: bool = True) -> DataFrame:
     """Documents one of whose inputs starts with the joined tokens, heaviest input first.
 
+    With ``fuzzy``, a text of three characters or more also meets inputs one of whose heads lies within its edits and
+    shares its first character; an input then weighs as many times as it has leading characters in common with the text.
     The ``limit`` heaviest inputs are taken before a document's further inputs are dropped, so fewer may be returned.
     """
     typed = queries.select("query_id", F.array_join("locative", " ").alias("joined")).filter("joined <> ''")
-    head = F.lit(LONGEST_GRAM)
     entries = index.completions.filter(F.col("doc_type").isin(*types)) if types else index.completions
-    grams = entries.select("input", "weight", "id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("input"), head)), lambda i: F.left("input", i))).alias("gram"))
-    hits = typed.withColumn("gram", F.left("joined", head)).join(grams, "gram").filter(F.startswith("input", "joined"))
-    options = hits.join(index.docs.select("id", "rank_tier", "popularity", "label", "doc_type"), "id").withColumn("score", F.col("weight").cast("double"))
-    best = options.withColumn("option", F.row_number().over(_options())).filter(F.col("option") <= limit)
-    once = best.groupBy("query_id", "id").agg(F.min("option").alias("option"), F.max("score").alias("score"), F.first("label").alias("label"), F.first("doc_type").alias("doc_type"))
-    return once.withColumn("rank", F.row_number().over(_ranked()))
-
-
-def _options():
-    from pyspark.sql import Window as W
+    entries = entries.select("input", "weight", "id")
+    met_heads = entries.select("input").distinct().select("input", F.explode(heads(F.col("input"), COMPLETION_LENGTH)).alias("head"))
+    texts = typed.select(F.col("joined").alias("token")).distinct()
+    near = fuzzy_terms(texts, met_heads.select(F.col("head").alias("term"))) if fuzzy else texts.withColumn("term", F.col("token"))
+    inputs = near.join(met_heads, F.col("term") == F.col("head")).select(F.col("token").alias("joined"), "input").distinct()
+    factor = common_head(F.col("joined"), F.col("input")) if fuzzy else F.lit(1)
+    options = typed.join(inputs, "joined").join(entries, "input").withColumn("score", (F.col("weight") * factor).cast("double"))
+    best = options.withColumn("option", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"), F.asc("input")))).filter(F.col("option") <= limit)
+    once = best.groupBy("query_id", "id").agg(F.min("option").alias("option"), F.max("score").alias("score"))
+    once = once.join(index.docs, "id")
+    return once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("option")))
 
-    return W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"), F.asc("input"))
 
+def common_head(a: Column, b: Column) -> Column:
+    """How many leading characters two texts share."""
+    return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.when(F.left(a, i) == F.left(b, i), i).otherwise(0))), F.lit(0))
 
-def _ranked():
-    from pyspark.sql import Window as W
 
-    return W.partitionBy("query_id").orderBy("option")
+# ------------------------------------------------------------------ answers
 
 
-def totals(candidates: DataFrame, most: int = 1000) -> DataFrame:
+def totals(candidates: DataFrame, most: int = MOST_TOTAL) -> DataFrame:
     """``query_id, total, relation``: how many candidates, counted up to ``most``."""
     n = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return n.select("query_id", F.least("n", F.lit(most)).alias("total"), F.when(F.col("n") > most, "gte").otherwise("eq").alias("relation"))
 
 
 #: The registry of methods, in order; the first one selected is the baseline of comparisons.
-REGISTRY = {
+REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "fulltext": suggest_fulltext,
     **{m: (lambda q, i, _m=m, **k: suggest_clauses(q, i, _m, **k)) for m in METHODS},
     "completion": suggest_completion,
 }
+#: What a method is called, and the group it is compared in.
+LABELS = {"fulltext": ("additive score over full text", "fulltext"), **{k: (m.label, "clauses") for k, m in METHODS.items()}, "completion": ("completion of whole inputs", "completion")}
 
 
 def choose_methods(names: str | None) -> list[str]:
-    """Registry order; unknown or no names mean all."""
+    """Registry order; a group's name stands for its methods; unknown or no names mean all."""
     wanted = {n.strip() for n in (names or "").split(",")}
-    return [m for m in REGISTRY if m in wanted] or list(REGISTRY)
+    return [m for m in REGISTRY if m in wanted or LABELS[m][1] in wanted] or list(REGISTRY)
 
 
 def response(hits: DataFrame) -> DataFrame:
     """A hit's outward shape as JSON: scores to four places, coordinates only where both are known."""
     coordinates: Column = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon"))
-    body = F.struct("id", F.col("doc_type").alias("type"), "label", "place_name", "street_name", "house_number", "postcode", "post_name", "municipality_name", "nis_code", coordinates.alias("coordinates"), F.round("score", 4).alias("score"), "popularity")
+    known = F.when(F.col("doc_type").isin(*TYPES), F.col("doc_type")).otherwise(F.raise_error(F.concat(F.lit("unknown document type "), "doc_type")).cast("string"))
+    body = F.struct("id", known.alias("type"), "label", "place_name", "street_name", "house_number", "postcode", "post_name", "municipality_name", "nis_code", coordinates.alias("coordinates"), F.round("score", 4).alias("score"), "popularity")
     return hits.select("query_id", "rank", F.to_json(body).alias("suggestion"))

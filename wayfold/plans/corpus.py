@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import text as X
 from wayfold.schema import DOCUMENT, TYPES, ImportOptions
+from wayfold.sources.scratch import stored
 
 #: Popularity of a venue: it stands for no number of addresses.
 PLACE_POPULARITY = 24
@@ -70,7 +71,18 @@ def _locality() -> tuple[Column, Column, Column]:
 
 
 def street_documents(rows: DataFrame) -> DataFrame:
-    s = aggregate(rows, "street_id", "postcode")
+    return _streets(aggregate(rows, "street_id", "postcode"))
+
+
+def municipality_documents(rows: DataFrame) -> DataFrame:
+    return _municipalities(aggregate(rows, "municipality_id"))
+
+
+def postcode_documents(rows: DataFrame) -> DataFrame:
+    return _postcodes(aggregate(rows, "postcode"))
+
+
+def _streets(s: DataFrame) -> DataFrame:
     municipality, post_name, parts = _locality()
     name = X.pick_name(*(F.col(f"streetname_{x}") for x in ("nl", "fr", "de")))
     s = s.withColumns({"name": name, "municipality_name": municipality, "post_name": post_name, "parts": parts}).filter("name <> ''")
@@ -79,16 +91,14 @@ def street_documents(rows: DataFrame) -> DataFrame:
     return finish(s.select(F.concat(F.lit("street:"), "street_id", F.lit("|"), "postcode").alias("id"), F.lit("street").alias("doc_type"), label.alias("label"), F.col("name").alias("street_name"), "postcode", "post_name", "municipality_name", F.col("municipality_id").alias("nis_code"), "lat", "lon", "popularity", other.alias("aliases")))
 
 
-def municipality_documents(rows: DataFrame) -> DataFrame:
-    m = aggregate(rows, "municipality_id")
+def _municipalities(m: DataFrame) -> DataFrame:
     name = X.title_case(X.pick_name(*(F.col(f"municipality_name_{x}") for x in ("nl", "fr", "de"))))
     m = m.withColumn("municipality_name", name).filter("municipality_name <> ''")
     other = F.filter(F.array(*(X.title_case(F.col(f"municipality_name_{x}")) for x in ("fr", "de"))), lambda a: (a != "") & (a != F.col("municipality_name")))
     return finish(m.select(F.concat(F.lit("municipality:"), "municipality_id").alias("id"), F.lit("municipality").alias("doc_type"), F.col("municipality_name").alias("label"), "municipality_name", F.col("municipality_id").alias("nis_code"), "lat", "lon", "popularity", other.alias("aliases")))
 
 
-def postcode_documents(rows: DataFrame) -> DataFrame:
-    p = aggregate(rows, "postcode")
+def _postcodes(p: DataFrame) -> DataFrame:
     municipality, post_name, parts = _locality()
     p = p.withColumns({"municipality_name": municipality, "post_name": post_name, "parts": parts})
     other = X.aliases([], F.col("parts"), F.col("municipality_name"), [F.col("municipality_name_fr"), F.col("municipality_name_de")])
@@ -112,13 +122,18 @@ def address_documents(rows: DataFrame) -> DataFrame:
 
 
 def build_corpus(rows: DataFrame, options: ImportOptions = ImportOptions()) -> DataFrame:
-    """The documents of the families that ``options`` names."""
+    """The documents of the families that ``options`` names. Streets, municipalities and postcodes come out of one pass
+    over the rows, whose groups are stored."""
     rows = clean_cells(rows)
     parts = []
-    if options.streets:
-        parts.append(street_documents(rows))
-    if options.regions:
-        parts += [municipality_documents(rows), postcode_documents(rows)]
+    if options.streets or options.regions:
+        groups = stored(aggregate_all(rows), "groups")
+        level = lambda name: groups.filter(F.col("level") == name)
+        if options.streets:
+            parts.append(_streets(level("street").withColumnsRenamed({"k_street": "street_id", "k_postcode": "postcode"})))
+        if options.regions:
+            parts.append(_municipalities(level("municipality").drop("municipality_id").withColumnRenamed("k_nis", "municipality_id")))
+            parts.append(_postcodes(level("postcode").withColumnRenamed("k_postcode", "postcode")))
     if options.addresses:
         parts.append(address_documents(rows))
     out = parts[0]
@@ -131,8 +146,10 @@ def build_corpus(rows: DataFrame, options: ImportOptions = ImportOptions()) -> D
 
 
 def json_object(c: Column) -> Column:
-    """A JSON object's members as strings, in document order; empty for anything else."""
-    return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """A JSON object's members that are strings, in document order; empty for anything else."""
+    members = F.from_json(c, "map<string,variant>")
+    texts = F.map_filter(members, lambda _, v: F.schema_of_variant(v) == "STRING")
+    return F.coalesce(F.transform_values(texts, lambda _, v: v.cast("string")), F.create_map().cast("map<string,string>"))
 
 
 def json_name(names: Column) -> Column:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import dataclasses
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import text as X
+from wayfold.sources.scratch import fresh_path, stored
 
 #: Longest edge n-gram; a longer typed prefix is looked up by its head and compared in full.
 LONGEST_GRAM = 20
-#: Characters of a completion input that count.
-COMPLETION_LENGTH = 50
+# Characters of a completion input that count, longest name that is kept whole.
+COMPLETION_LENGTH, LONGEST_NAME = 50, 256
+#: Fields that only the shingle method reads: runs of two and of three words.
+SHINGLES = {"search_text_2": ("search_text", 2), "search_text_3": ("search_text", 3), "primary_name_2": ("primary_name", 2), "primary_name_3": ("primary_name", 3)}
+#: Fields whose words are also looked up by what they start with.
+OPENED = ("search_text", "primary_name", "aliases", "postcode", *SHINGLES)
 
 
 def fields() -> dict[str, Column]:
@@ -25,12 +32,28 @@ def fields() -> dict[str, Column]:
     }
 
 
+def shingles(tokens: Column, size: int) -> Column:
+    """All runs of ``size`` tokens."""
+    starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1)))
+    return F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " ")), F.array().cast("array<string>"))
+
+
+def field_terms() -> dict[str, Column]:
+    """The terms of every field: words, whole names (``name``: one term), and runs of words."""
+    terms = {k: X.words(v) for k, v in fields().items()}
+    name = F.col("primary_name_norm")
+    terms["name"] = F.when(F.length(name).between(1, LONGEST_NAME), F.array(name)).otherwise(F.array().cast("array<string>"))
+    return terms | {k: shingles(terms[f], n) for k, (f, n) in SHINGLES.items()}
+
+
 def postings(docs: DataFrame, *names: str) -> DataFrame:
     """``field, term, id, tf, dl``: how often each term stands in each field of each document, and the field's length."""
-    chosen = {k: v for k, v in fields().items() if not names or k in names}
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), X.words(v).alias("terms")) for k, v in chosen.items()))).alias("f")
-    rows = docs.select("id", each).select("id", "f.field", F.size("f.terms").alias("dl"), F.explode("f.terms").alias("term"))
-    return rows.groupBy("field", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").cast("bigint").alias("dl"))
+    every = field_terms()
+    chosen = {k: every[k] for k in names or fields()}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("terms")) for k, v in chosen.items()))).alias("f")
+    rows = docs.select("id", each).select("id", "f.field", F.size("f.terms").cast("bigint").alias("dl"), F.explode("f.terms").alias("term"))
+    # a document's terms lie in one row, so its counts are complete before anything is shuffled
+    return rows.groupBy("field", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -44,16 +67,14 @@ def field_stats(posted: DataFrame) -> DataFrame:
     return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
 
 
-def edge_grams(terms: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
-    """``gram, term``: every prefix of every distinct term; the vocabulary is expanded, not the postings."""
-    size = F.least(F.length("term"), F.lit(longest))
-    return terms.select("term").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.left("term", i))).alias("gram"), "term")
+def heads(term: Column, longest: int = LONGEST_GRAM) -> Column:
+    """Every prefix of a term, up to ``longest`` characters."""
+    return F.transform(F.sequence(F.lit(1), F.least(F.length(term), F.lit(longest))), lambda i: F.left(term, i))
 
 
-def shingles(tokens: Column, size: int) -> Column:
-    """All runs of ``size`` tokens."""
-    starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1)))
-    return F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " ")), F.array().cast("array<string>"))
+def edge_grams(terms: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
+    """``gram, term``: every prefix of every distinct term; the vocabulary is expanded, not the postings."""
+    return terms.select("term").distinct().select(F.explode(heads(F.col("term"), longest)).alias("gram"), "term")
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
@@ -68,3 +89,35 @@ def completion_entries(docs: DataFrame) -> DataFrame:
     inputs = F.explode(X.completion_inputs(F.col("primary_name"), F.col("aliases")))
     rows = docs.select("id", "doc_type", X.completion_weight(F.col("popularity")).alias("weight"), inputs.alias("raw"))
     return rows.select("doc_type", F.left(X.normalize(F.col("raw")), F.lit(COMPLETION_LENGTH)).alias("input"), "weight", "id").filter("input <> ''").distinct()
+
+
+@dataclasses.dataclass
+class Index:
+    """A corpus and its index tables, stored: postings by field, sorted by term, with statistics taken after the load."""
+
+    docs: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    fields: DataFrame
+    completions: DataFrame
+
+    @classmethod
+    def of(cls, docs: DataFrame, names: tuple[str, ...] = (), folder: str | None = None) -> Index:
+        """Builds and stores the tables of the fields in ``names`` (all by default) below ``folder`` (a fresh one by default)."""
+        spark, names = docs.sparkSession, names or tuple(field_terms())
+        folder = folder or fresh_path(spark, "index")
+        docs = stored(docs, "", f"{folder}/docs")
+        laid = postings(docs, *names).repartition("field", "term").sortWithinPartitions("field", "term", "id")
+        posted = stored(laid, "", f"{folder}/postings", by="field")
+        stored(term_stats(posted), "", f"{folder}/terms")
+        stored(field_stats(posted).coalesce(1), "", f"{folder}/fields")
+        stored(completion_entries(docs), "", f"{folder}/completions")
+        return cls.open(spark, folder)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        return cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("docs", "postings", "terms", "fields", "completions")))
+
+    def prefixes(self) -> DataFrame:
+        """``field, gram, term``: the heads of the terms of the fields that are looked up by prefix."""
+        return self.terms.filter(F.col("field").isin(*OPENED)).select("field", F.explode(heads(F.col("term"))).alias("gram"), "term")

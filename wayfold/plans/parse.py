@@ -43,9 +43,9 @@ def parse_queries(queries: DataFrame, raw: str = "query", house_numbers_indexed:
 
 
 def with_gate(q: DataFrame, tokens: str) -> DataFrame:
-    """``needed`` and ``prefix`` out of the tokens that narrow the search."""
+    """``needed`` and ``prefix`` out of the tokens that narrow the search, and these tokens in order as ``gated``."""
     whole = F.when(F.col("typing_locative"), F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(F.col(tokens))
-    return q.withColumns({"needed": F.array_distinct(whole), "prefix": F.when(F.col("typing_locative"), F.try_element_at(F.col(tokens), F.lit(-1)))})
+    return q.withColumns({"gated": F.col(tokens), "needed": F.array_distinct(whole), "prefix": F.when(F.col("typing_locative"), F.try_element_at(F.col(tokens), F.lit(-1)))})
 
 
 def without_numbers(tokens: Column) -> Column:

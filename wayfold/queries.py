@@ -19,6 +19,7 @@ from wayfold.schema import ImportOptions
 from wayfold.sources import store as S
 from wayfold.sources import tables as T
 from wayfold.sources.exports import usable
+from wayfold.sources.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,13 +33,13 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return C.build_corpus(usable(T.register_rows(spark, sf)), ImportOptions.level("street"))
 
 
-def index(spark: SparkSession, sf: str) -> M.Index:
-    """The street-level index, its documents built once for all of its tables."""
-    return M.Index.of(corpus(spark, sf).persist())
+def index(spark: SparkSession, sf: str, *names: str) -> M.Index:
+    """The street-level index of some fields (all by default), stored."""
+    return M.Index.of(corpus(spark, sf), names)
 
 
 def queries_df(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_queries(T.typed_queries(spark, sf)).persist()
+    return stored(parse_queries(T.typed_queries(spark, sf)), "queries")
 
 
 def flat(docs: DataFrame) -> DataFrame:
@@ -167,10 +168,10 @@ def completion_inputs(spark, sf):
 
 def bm25_scores(spark, sf):
     """Whole-word BM25 over haystacks for the tokens of every query, length norm included."""
-    posted = I.postings(corpus(spark, sf), "search_text").persist()
+    posted = stored(I.postings(corpus(spark, sf), "search_text"), "postings")
     tokens = queries_df(spark, sf).select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
     hits = tokens.join(posted, "term").join(I.term_stats(posted), ["field", "term"]).join(I.field_stats(posted), "field")
-    part = R.bm25(1.0, F.col("docs"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
+    part = R.bm25(1.0, R.idf(F.col("docs"), F.col("df")), F.col("tf"), R.length_norm(F.col("dl"), F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score"))
 
 
@@ -179,20 +180,20 @@ def _gate_counts(pairs: DataFrame) -> DataFrame:
 
 
 def gate_fulltext(spark, sf):
-    return M.fulltext_gate(queries_df(spark, sf), index(spark, sf)).withColumn("ft_score", F.round("ft_score", 4))
+    return M.fulltext_gate(queries_df(spark, sf), index(spark, sf, "search_text")).withColumn("ft_score", F.round("ft_score", 4))
 
 
 def gate_name_prefix(spark, sf):
-    return _gate_counts(M.name_prefix_gate(queries_df(spark, sf), index(spark, sf)))
+    return _gate_counts(M.name_prefix_gate(queries_df(spark, sf), index(spark, sf, "search_text")))
 
 
 def gate_words(spark, sf):
     """The gate that the clause methods share."""
-    return _gate_counts(M.gate(queries_df(spark, sf), index(spark, sf)))
+    return _gate_counts(M.gate(queries_df(spark, sf), index(spark, sf, "search_text")))
 
 
 def gate_totals(spark, sf):
-    return M.totals(M.gate(queries_df(spark, sf), index(spark, sf)), 100).withColumn("total", F.col("total").cast("bigint"))
+    return M.totals(M.gate(queries_df(spark, sf), index(spark, sf, "search_text"))).withColumn("total", F.col("total").cast("bigint"))
 
 
 def _hits(hits: DataFrame) -> DataFrame:
@@ -200,19 +201,19 @@ def _hits(hits: DataFrame) -> DataFrame:
 
 
 def suggest_fulltext(spark, sf):
-    return _hits(M.suggest_fulltext(queries_df(spark, sf), index(spark, sf)))
+    return _hits(M.suggest_fulltext(queries_df(spark, sf), index(spark, sf, "search_text")))
 
 
 def suggest_fulltext_exact(spark, sf):
     """The exact passes alone."""
     q = queries_df(spark, sf)
-    found = M._fulltext_pass(q, index(spark, sf), None)
-    return _hits(R.top_k(found, 10))
+    found = M._fulltext_pass(q, index(spark, sf, "search_text"), None)
+    return _hits(R.top_k(found.withColumn("score", F.round("score", M.PLACES)), 10))
 
 
 def score_parts(spark, sf):
     """What each part of the additive score gives each candidate of the name-prefix pass."""
-    i = index(spark, sf)
+    i = index(spark, sf, "search_text")
     q = queries_df(spark, sf)
     rows = M.name_prefix_gate(q, i).join(i.docs, "id").join(q.select(*M._QUERY), "query_id").withColumn("ft_score", F.lit(0.0))
     scored = R.additive_score(rows, debug=True)
@@ -221,7 +222,8 @@ def score_parts(spark, sf):
 
 def _suggest(method: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _hits(M.REGISTRY[method](queries_df(spark, sf), index(spark, sf)))
+        names = ("search_text",) if method == "completion" else ()
+        return _hits(M.REGISTRY[method](queries_df(spark, sf), index(spark, sf, *names)))
 
     return run
 
@@ -238,10 +240,10 @@ def fuzzy_relaxed(spark, sf):
 
 
 def fuzzy_vocabulary(spark, sf):
-    """Vocabulary terms one edit (exchanges included) from the tokens of the queries."""
+    """Vocabulary terms within the edits (exchanges included) of the tokens of the queries."""
     terms = I.postings(corpus(spark, sf), "search_text").select("term").distinct()
     tokens = queries_df(spark, sf).select(F.explode("tokens").alias("token")).distinct()
-    return fuzzy_terms(tokens, terms).filter("distance <= 1").withColumn("distance", F.col("distance").cast("bigint"))
+    return fuzzy_terms(tokens, terms).withColumn("distance", F.col("distance").cast("bigint"))
 
 
 def candidate_merge(spark, sf):
@@ -266,7 +268,8 @@ def latency_summary(spark, sf):
 
 def latency_by_query(spark, sf):
     s = E.latency_summary(T.latency_samples(spark, sf), "engine", "query")
-    return s.select("engine", "query", "n", *(F.round(c, 4).alias(c) for c in s.columns[3:]))
+    # by way of decimals: interpolated values lie on rounding ties
+    return s.select("engine", "query", "n", *(F.round(F.col(c).cast("decimal(30,8)"), 4).cast("double").alias(c) for c in s.columns[3:]))
 
 
 def latency_windows(spark, sf):
@@ -335,8 +338,11 @@ def import_summary(spark, sf):
 
 
 def suggestion_json(spark, sf):
-    i = index(spark, sf)
-    return M.response(M.suggest_fulltext(queries_df(spark, sf), i, limit=1))
+    """The first suggestion of each query as JSON, and what a reader finds in it."""
+    out = M.response(M.suggest_fulltext(queries_df(spark, sf), index(spark, sf, "search_text"), limit=1))
+    inside = F.from_json("suggestion", "id string, type string, label string, place_name string, street_name string, house_number string, postcode string, post_name string, municipality_name string, nis_code string, coordinates struct<lat:double,lon:double>, score double, popularity bigint")
+    flat_ = out.select("query_id", inside.alias("s")).select("query_id", "s.*")
+    return flat_.select("query_id", "id", "type", "label", "street_name", "postcode", "post_name", "municipality_name", "nis_code", F.round("coordinates.lat", 6).alias("lat"), F.round("coordinates.lon", 6).alias("lon"), "score", "popularity")
 
 
 REGISTERED: dict[str, Query] = {

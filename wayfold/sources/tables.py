@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.schema import REGISTER
@@ -51,12 +52,20 @@ def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, query``: what people might type: parts and nations whole and half, with postcodes, numbers and slips."""
+    """``query_id, query``: what people might type: parts and nations whole and half, with postcodes, numbers and slips,
+    and each part with the nation it occurs in most, each nation with its most frequent part."""
     parts = table(spark, sf_dir, "part").select("p_name").distinct()
     nations = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
     half = F.left("p_name", F.length("p_name") - 2)
     slip = F.concat(F.left("p_name", F.lit(1)), F.substr("p_name", F.lit(3), F.lit(1)), F.substr("p_name", F.lit(2), F.lit(1)), F.substr("p_name", F.lit(4)))
-    near = nations.filter("n_nationkey < 3")
+    t = lambda n: table(spark, sf_dir, n)
+    met = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    met = met.groupBy("p_name", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    by_part = met.groupBy("p_name").agg(F.max_by("c_nationkey", F.struct("n", -F.col("c_nationkey"))).alias("n_nationkey"))
+    # of equally frequent parts the first in the alphabet
+    most = met.withColumn("most", F.max("n").over(W.partitionBy("c_nationkey"))).filter("n = most")
+    by_nation = most.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("p_name").alias("p_name"))
+    pairs = by_part.unionByName(by_nation).distinct().join(nations, "n_nationkey")
     postcode = (1000 + F.col("n_nationkey") * 100).cast("string")
     made = [
         parts.select(F.col("p_name").alias("query")),
@@ -65,8 +74,8 @@ def typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         nations.select(F.col("n_name").alias("query")),
         nations.select(postcode.alias("query")),
         nations.select(F.left(postcode, F.lit(2)).alias("query")),
-        parts.crossJoin(F.broadcast(near)).select(F.concat_ws(" ", "p_name", F.lit("12 bus 5"), "n_name").alias("query")),
-        parts.crossJoin(F.broadcast(near)).select(F.concat_ws(" ", postcode, half).alias("query")),
+        pairs.select(F.concat_ws(" ", "p_name", F.lit("12 bus 5"), "n_name").alias("query")),
+        pairs.select(F.concat_ws(" ", postcode, half).alias("query")),
     ]
     out = made[0]
     for m in made[1:]:
@@ -81,8 +90,6 @@ def latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as answers: for each type and user, the ten kinds of value met most, ranked."""
-    from pyspark.sql import Window as W
-
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), F.col("user_id").cast("string").alias("query"), F.floor("value").cast("bigint").cast("string").alias("id"))
     n = e.groupBy("engine", "query", "id").agg(F.count(F.lit(1)).alias("n"))
     ranked = n.withColumn("rank", F.row_number().over(W.partitionBy("engine", "query").orderBy(F.desc("n"), "id")).cast("bigint"))

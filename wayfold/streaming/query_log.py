@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators.retrieval import Index, suggest_fulltext
+from wayfold.operators.retrieval import suggest_fulltext
+from wayfold.plans.index import Index
 from wayfold.plans.parse import parse_queries
 
 
