@@ -17,6 +17,14 @@ def latency_summary(samples: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, "n", "min_ms", *(F.col("p")[i].alias(a) for i, a in enumerate(("p50", "p90", "p95", "p99"))), "max_ms", "mean_ms", "stddev_ms")
 
 
+def latency_rollup(samples: DataFrame) -> DataFrame:
+    """The summary of every engine and query, and of every engine over all queries (``query`` null), in one pass."""
+    p = F.percentile("took_ms", F.array(*(F.lit(x) for x in (0.5, 0.9, 0.95, 0.99))))
+    deviation = F.coalesce(F.stddev_samp("took_ms"), F.lit(0.0))
+    out = samples.rollup("engine", "query").agg(F.grouping_id().alias("g"), F.count("took_ms").alias("n"), F.min("took_ms").alias("min_ms"), p.alias("p"), F.max("took_ms").alias("max_ms"), F.avg("took_ms").alias("mean_ms"), deviation.alias("stddev_ms")).filter("g < 3")
+    return out.select("engine", "query", "n", "min_ms", *(F.col("p")[i].alias(a) for i, a in enumerate(("p50", "p90", "p95", "p99"))), "max_ms", "mean_ms", "stddev_ms")
+
+
 def agreement(hits: DataFrame, baseline: str) -> DataFrame:
     """For each engine and query against the baseline: overlap, Jaccard, Spearman on shared ids (null below two), same first hit.
 

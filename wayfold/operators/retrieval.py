@@ -103,7 +103,7 @@ def allowed_ids(index: Index, types: list[str] | None) -> DataFrame | None:
 def fulltext_gate(queries: DataFrame, index: Index, types: list[str] | None = None) -> DataFrame:
     """``query_id, id, ft_score``: every token a word's prefix, numbers whole words unless the query is all numbers; short
     tokens filter but do not score. The score is the sum of tf times squared log10(N / df) over the words met."""
-    tokens = queries.select("query_id", "bare_numeric", F.explode(F.array_distinct("locative")).alias("text"))
+    tokens = queries.select("query_id", "bare_numeric", F.explode(F.array_distinct(X.sanitize_tokens(F.col("locative")))).alias("text"))
     opened = F.col("bare_numeric") | ~X.is_numeric(F.col("text"))
     slots = stored(tokens.select("query_id", F.lit("search_text").alias("field"), opened.alias("open"), "text"), "slots")
     total = index.fields.filter("field = 'search_text'").select("docs")

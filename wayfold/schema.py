@@ -60,3 +60,4 @@ class EngineConfig:
     tier_sort: bool = True
     fuzzy: bool = True
     limit: int = 10
+    fulltext_enabled: bool = True

@@ -6,7 +6,6 @@ import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import text as X
@@ -38,8 +37,9 @@ def distinct_paths(paths: list[str]) -> list[str]:
     return list(seen.values())
 
 
-def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    rows = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True, enforceSchema=True)
+def _csv(spark: SparkSession, path: str, schema, line_breaks: bool = False) -> DataFrame:
+    """``line_breaks``: quoted cells may hold some, so a file cannot be split."""
+    rows = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=line_breaks, enforceSchema=True)
     return rows.withColumns({"file": F.col("_metadata.file_path"), "ord": F.monotonically_increasing_id()})
 
 
@@ -50,10 +50,8 @@ def usable(rows: DataFrame, postcodes: tuple[str, ...] = ()) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, limit: int | None) -> DataFrame:
-    """The first ``limit`` rows of every file."""
-    if limit is None:
-        return rows
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy("file").orderBy("ord"))).filter(F.col("_n") <= limit).drop("_n")
+    """The first ``limit`` rows of a file; every task keeps its own first ones, so no task sees the whole file."""
+    return rows if limit is None else rows.orderBy("ord").limit(limit)
 
 
 def read_register(spark: SparkSession, paths: list[str], options: ImportOptions = ImportOptions()) -> DataFrame:
@@ -71,7 +69,7 @@ def read_register(spark: SparkSession, paths: list[str], options: ImportOptions
 def read_places(spark: SparkSession, path: str, options: ImportOptions = ImportOptions()) -> DataFrame:
     """Raw place rows with ``file`` and ``ord``; a limit counts raw rows. Blank lines are no rows."""
     check_header(spark, path, PLACE_COLUMNS)
-    return first_rows(_csv(spark, path, PLACES), options.limit)
+    return first_rows(_csv(spark, path, PLACES, line_breaks=True), options.limit)
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayfold.functions import text as X
+from wayfold.schema import TYPES
+from wayfold.sources.scratch import remove_path
 
 def merge_by_id(existing: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """``existing`` with ``new`` put over it by id; of several new rows of an id the last by ``order`` counts."""
@@ -21,6 +25,17 @@ def reset_types(existing: DataFrame, types: list[str]) -> DataFrame:
     return existing.filter(~F.col("doc_type").isin(*types))
 
 
+class BulkError(ValueError):
+    """Rows that cannot be stored; the message quotes the first of them."""
+
+
+def refuse_bad(new: DataFrame, quoted: int = 5) -> None:
+    bad = new.filter(F.col("id").isNull() | (F.col("id") == "") | F.col("doc_type").isNull() | ~F.col("doc_type").isin(*TYPES))
+    found = bad.select("id", X.clip(F.col("doc_type"), 40).alias("doc_type")).limit(quoted).collect()
+    if found:
+        raise BulkError("; ".join(f"id {r.id!r} of type {r.doc_type!r}" for r in found))
+
+
 class DocumentStore:
     """Documents below one path, a folder for each type, so a type is replaced without touching the others."""
 
@@ -34,21 +49,48 @@ class DocumentStore:
         """Replaces the types that ``docs`` holds."""
         docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_type").parquet(self.path)
 
+    def types(self) -> list[str]:
+        """The types that are stored, by their folders."""
+        path = self._hadoop(self.path)
+        store = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [t for t in TYPES if store.exists(self._hadoop(f"{self.path}/doc_type={t}"))]
+
+    def reset(self, types: tuple[str, ...]) -> None:
+        """Deletes all documents of some types; others are not touched."""
+        for t in types:
+            remove_path(self.spark, f"{self.path}/doc_type={t}")
+
     def upsert(self, new: DataFrame, order: str | None = None) -> None:
-        """Merges by id. The merged types go to a new version beside the old, which is read until the swap."""
-        types = [r[0] for r in new.select("doc_type").distinct().collect()]  # five at most
-        staged = f"{self.path}__staged"
-        merge_by_id(self.read().filter(F.col("doc_type").isin(*types)), new, order).write.mode("overwrite").parquet(staged)
-        self.replace(self.spark.read.parquet(staged))
-        jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-        jvm_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        """Merges by id, whatever type an id had before. All rows are refused where one cannot be stored.
+
+        The merged types go to a version of their own beside the old, which is read until the swap.
+        """
+        refuse_bad(new)
+        if not self.types():
+            return self.replace(merge_by_id(new.limit(0), new, order))
+        old = self.read()
+        named = new.select("doc_type").union(old.join(new.select("id"), "id", "left_semi").select("doc_type"))
+        types = [r[0] for r in named.distinct().collect()]  # five at most
+        staged = f"{self.path}__staged-{uuid.uuid4().hex}"
+        merge_by_id(old.filter(F.col("doc_type").isin(*types)), new, order).write.parquet(staged)
+        merged = self.spark.read.parquet(staged)
+        left = {r[0] for r in merged.select("doc_type").distinct().collect()}
+        self.replace(merged)
+        self.reset(tuple(t for t in types if t not in left))
+        remove_path(self.spark, staged)
+
+    def _hadoop(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
     def count(self) -> int:
-        return self.read().count()
+        return self.read().count() if self.types() else 0
 
     def health(self) -> dict:
         """Whether the store can be read, and how many documents it has."""
         try:
+            path = self._hadoop(self.path)
+            if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+                return {"ok": False, "detail": f"no store at {self.path}", "documents": 0}
             return {"ok": True, "detail": "", "documents": self.count()}
         except Exception as problem:  # any failure is the answer here
             return {"ok": False, "detail": str(problem)[:200], "documents": 0}
