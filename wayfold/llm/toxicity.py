@@ -16,15 +16,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import compact, slices, spans, string_buffer, texts_of
+from wayfold.llm.common import compact, slices, spans, string_buffer, texts_of, tidy
 
 BUCKET_BITS, DIMENSIONS, SIZES = 18, 4, (3, 4, 5)
 #: Words of a passage; a shorter one counts as LEAST words at least.
 PASSAGE, LEAST = 16, 8
-#: The most labelled rows that the fit takes of each class (the classifier is fitted on a bounded sample).
-TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
+#: The most labelled rows that the fit takes of each class, and bytes of text of both (the classifier is fitted on a bounded sample).
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 2000, 4000, 32 << 20
+#: Bytes of text scored at once: some fifty bytes of arrays stand for each.
+PART_BYTES = 2 << 20
 ROUNDS, RATE, FLOOR = 100, 0.5, 0.2
 
 
@@ -53,8 +56,9 @@ def ngrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     found, owners = [], []
     word = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(starts + lengths, lengths) - np.arange(len(marked))  # bytes from here to the word's end
+    padded = np.concatenate([marked, np.zeros(max(SIZES), np.uint8)])
     for n in range(1, max(SIZES) + 1):
-        shifted = np.append(marked[n - 1 :], np.zeros(n - 1, np.uint8))
+        shifted = padded[n - 1 : n - 1 + len(marked)]
         h = (h * np.uint64(0x100000001B3)) ^ (shifted.astype(np.uint64) + np.uint64(n))
         if n in SIZES:
             ok = left >= n
@@ -112,22 +116,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(texts) + self.shift, -30, 30)))
 
 
+def _both(toxic: np.ndarray) -> bool:
+    return bool(len(toxic)) and toxic.min() != toxic.max()
+
+
 def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     """Embeddings and softmax weights by full-batch Adam on four rows of five, then a scale for document scores fitted on the rest.
 
-    Rows of one class only, or none, give a model that says that class (clean without rows) of every text.
+    Rows of one class only, or none, give a model that says that class (clean without rows) of every text; rows of both
+    classes without any word give one that says their share of toxic rows. Rows too few to be split serve for both fits.
     """
     toxic = np.asarray(toxic, float)
-    if not len(toxic) or toxic.min() == toxic.max():
+    if not _both(toxic):
         return Model(np.zeros(1 << BUCKET_BITS), 4.0 if len(toxic) and toxic[0] else -4.0)
     rng = np.random.default_rng(seed)
     apart = np.arange(len(toxic)) % 5 == 4
-    if toxic[apart].min(initial=1) != toxic[apart].max(initial=0) and toxic[~apart].min() != toxic[~apart].max():
+    if _both(toxic[apart]) and _both(toxic[~apart]):
         fitted, scaled = texts.filter(pa.array(~apart)), texts.filter(pa.array(apart))
         known, toxic = toxic[apart], toxic[~apart]
     else:
         fitted, scaled, known = texts, texts, toxic
     at, words, index = words_of(fitted)
+    if not len(index):
+        return Model(np.zeros(1 << BUCKET_BITS), float(np.log(toxic.mean() / (1 - toxic.mean()))))
     goff, grams = ngrams(words)
     size = np.diff(goff)
     member, occurrence, text, share = bags(at, index, len(words))
@@ -172,16 +183,20 @@ def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
-    """A model fitted on at most ``toxic_rows`` and ``clean_rows`` labelled documents that are not held out, taken in hash order.
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model fitted on at most ``toxic_rows`` and ``clean_rows`` labelled documents that are not held out, taken in hash
+    order, whole, as long as their texts hold ``sample_bytes`` in all.
 
-    The ids come from ``labels`` alone; only the texts of those few documents are gathered, in one task. Null labels are left out; a
-    doc_id labelled twice counts as toxic if any label says so.
+    The ids come from ``labels`` alone; only the texts of those few documents are gathered, in one task. Null labels are
+    left out; a doc_id labelled twice counts as toxic if any label says so; of a doc_id's several texts the least is taken.
     """
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     some = [ids.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((1, toxic_rows), (0, clean_rows))]
     wanted = some[0].unionByName(some[1])
-    rows = texts_of(docs).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+    rows = texts_of(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    # at most toxic_rows + clean_rows rows: one task may order them
+    so_far = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(so_far)).filter(F.col("_bytes") <= sample_bytes)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int64())])).sort_by("doc_id")
@@ -190,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
 
     # one task holds the bounded sample; the driver gets the model alone
     sample = rows.select("doc_id", F.col("text"), F.col("toxic").cast("long").alias("toxic"))
-    got = sample.repartition(1).mapInArrow(learn, "bucket binary, bias double, slope double, shift double").first()
+    got = sample.repartition(1).mapInArrow(tidy(learn), "bucket binary, bias double, slope double, shift double").first()
     if got is None:
         return train(pa.array([], pa.large_string()), np.zeros(0))
     return Model(np.frombuffer(got.bucket, np.float32), got.bias, got.slope, got.shift)
@@ -203,7 +218,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", name:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, PART_BYTES):
             yield batch.append_column(name, pa.array(sent.value.scores(batch.column(text_col)), pa.float64()))
 
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
+    return docs.mapInArrow(tidy(run), docs.withColumn(name, F.lit(0.0)).schema)
