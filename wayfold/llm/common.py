@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds and processes at once.
 SLICE_BYTES = 8 << 20
-#: A table of so few narrow rows fits any task, so no key of it needs special care.
-SMALL_ROWS = 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,11 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only in local mode, where that may be unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,6 +55,32 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@functools.cache
+def _return_at_once() -> Callable[[], None]:
+    """From now on this process maps arrays of a megabyte and more one by one, so freeing one hands it back; gives what hands back the rest."""
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "mallopt"):
+        return pa.default_memory_pool().release_unused
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    return lambda: libc.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a Python worker that hands free memory back to the system, as it goes and when its partition ends:
+    workers outlive their tasks and share an executor's memory with the JVM."""
+
+    @functools.wraps(run)
+    def through(batches: Iterator) -> Iterator:
+        trim = _return_at_once()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return through
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
@@ -95,15 +123,15 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def hot_lookup(left: DataFrame, key: str, right: DataFrame, value: str, share: int = 5000) -> DataFrame:
     """``left`` with ``value`` from ``right`` (unique in ``key``) by a left join that no key can skew.
 
-    A key that holds over 1/share of the rows of ``left`` is hot: there are at most ``share`` of those, so they are
-    broadcast; the other keys are joined by a shuffle. ``left`` is read three times and should be a written table.
-    Where all of ``left`` is at most SMALL_ROWS rows, one join does.
+    A key that holds over 1/share of the rows of ``left``, and over a thousand, is hot: there are at most ``share`` of
+    those, so they are broadcast; the other keys are joined by a shuffle. ``left`` is read four times and should be a
+    written table. Where no key is hot, one join does.
     """
     rows = left.count()
-    if rows <= SMALL_ROWS:
-        return left.join(right.select(key, value), key, "left").select(*left.columns, value)
     least = max(1000, rows // share)
     hot = left.groupBy(key).count().filter(F.col("count") > least).select(key)
+    if rows <= least or hot.isEmpty():  # so few rows have no hot key
+        return left.join(right.select(key, value), key, "left").select(*left.columns, value)
     hot = hot.join(right.select(key, value), key, "left").select(F.col(key).alias("_wf_key"), F.col(value).alias("_wf_value"), F.lit(True).alias("_wf_hot"))
     marked = left.join(F.broadcast(hot), left[key].eqNullSafe(F.col("_wf_key")), "left")
     warm = marked.filter("_wf_hot").select(*left.columns, F.col("_wf_value").alias(value))

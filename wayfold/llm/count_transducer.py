@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from wayfold.llm.common import compact, slices, string_buffer, texts_of
+from wayfold.llm.common import compact, slices, string_buffer, texts_of, tidy
 
 #: Characters of a chunk whose state map is composed with the others'.
 CHUNK = 64
@@ -243,4 +243,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
             size = np.diff(string_buffer(text)[1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return texts_of(docs).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import components, drop_path, hot_lookup, may_be_in, slices, spans, string_buffer, texts_of, written
+from wayfold.llm.common import components, drop_path, hot_lookup, may_be_in, slices, spans, string_buffer, texts_of, tidy, written
 
 WORDS, PERCENT = 5, 75
 SIGNATURE, TREES, DEPTH, LEAST_DEPTH, WINDOW = 64, 24, 8, 3, 8
@@ -124,7 +124,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "digest", "signature"],
             )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return texts_of(docs).mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, signature binary")
 
 
 def tree_rows(reps: DataFrame, trees: range) -> DataFrame:
@@ -141,7 +141,7 @@ def tree_rows(reps: DataFrame, trees: range) -> DataFrame:
                 step = 2 * DEPTH
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), tree, np.int32)), pa.array([keys[i : i + step] for i in range(0, len(keys), step)], pa.binary()), batch.column("id"), batch.column("comp"), batch.column("n")], ["tree", "key", "id", "comp", "n"])
 
-    return reps.select("signature", "id", "comp", "n").mapInArrow(run, "tree int, key binary, id long, comp long, n long")
+    return reps.select("signature", "id", "comp", "n").mapInArrow(tidy(run), "tree int, key binary, id long, comp long, n long")
 
 
 def neighbours(tree: np.ndarray, key: np.ndarray, ids: np.ndarray, comp: np.ndarray, window: int) -> np.ndarray:
@@ -284,7 +284,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "s"])
 
-    return written(texts.mapInArrow(to_sets, "id long, s binary"), "sets")[0]
+    return written(texts.mapInArrow(tidy(to_sets), "id long, s binary"), "sets")[0]
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     sets = sets_of(docs, ids)
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(overlap, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidy(overlap), "a long, b long")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wayfold.llm.common import slices, texts_of
+from wayfold.llm.common import slices, texts_of, tidy
 from wayfold.llm.encoder import encoder
 
 CAPACITY = 2048
@@ -105,7 +105,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
         if ids:
             yield flush()
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return texts_of(docs).mapInArrow(tidy(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import may_be_in, slices, spans, string_buffer, written
+from wayfold.llm.common import may_be_in, slices, spans, string_buffer, tidy, written
 
 LENGTH, GRAM = 100, 32
 #: Regions of one gram from which its windows are dealt one by one.
@@ -143,15 +143,12 @@ class Hasher:
     """Hashes of any spans of a byte array: prefix sums of byte values times powers, brought to one origin."""
 
     values = np.random.default_rng(31).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    powers = np.ones(1, np.uint64)
-    inverse = np.ones(1, np.uint64)
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
-        if len(Hasher.powers) < n:
-            Hasher.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _R, np.uint64)]))
-            Hasher.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, pow(_R, -1, 1 << 64), np.uint64)]))
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.values[data] * self.powers[: n - 1])])
+        power = lambda base: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]))
+        self.inverse = power(pow(_R, -1, 1 << 64))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.values[data] * power(_R)[: n - 1])])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
@@ -285,7 +282,7 @@ def deal_anchors(docs: DataFrame, parts: int, length: int, gram: int) -> DataFra
                 yield _blobs(np.arange(len(d)) % parts if len(d) > parts else np.full(len(d), len(data) % parts), [(d, 8), (t, 8), (a, 4), (b, 4)], 1)
             yield _blobs(part[kept], [(h[kept], 6), (region[kept], 6), (doc[kept], 8), (tie[kept], 8), (q[kept], 4), ((p - lo)[kept], 1), ((hi - lo)[kept], 1)], 0)
 
-    return docs.mapInArrow(run, "part int, kind int, blob binary")
+    return docs.mapInArrow(tidy(run), "part int, kind int, blob binary")
 
 
 def match_anchors(dealt: DataFrame, length: int, crowd: int) -> DataFrame:
@@ -316,7 +313,7 @@ def match_anchors(dealt: DataFrame, length: int, crowd: int) -> DataFrame:
         at = o[open_]
         yield _emit(doc[at], tie[at], kind, _signed(h[at]), p[at], p[at] - back[at], p[at] - back[at] + more[at])
 
-    return dealt.mapInArrow(run, _ROWS)
+    return dealt.mapInArrow(tidy(run), _ROWS)
 
 
 def deal_windows(joined: DataFrame, parts: int, length: int) -> DataFrame:
@@ -359,7 +356,7 @@ def deal_windows(joined: DataFrame, parts: int, length: int) -> DataFrame:
                     yield _blobs(np.arange(len(gd)) % parts, [(gd, 8), (gt, 8), (ga, 4), (gb, 4)], 2)
                 yield _blobs((w[kept] % np.uint64(parts)).astype(np.int64), [(w[kept], 8), (d[kept], 8), (t[kept], 8), (s[kept], 4)], 1)
 
-    return joined.mapInArrow(run, "part int, kind int, blob binary")
+    return joined.mapInArrow(tidy(run), "part int, kind int, blob binary")
 
 
 def match_windows(dealt: DataFrame, length: int) -> DataFrame:
@@ -396,7 +393,7 @@ def match_windows(dealt: DataFrame, length: int) -> DataFrame:
         d, t, a, b = _runs(doc[gone], tie[gone], s[gone], s[gone] + length)
         yield _emit(d, t, 0, 0, 0, a, b)
 
-    return dealt.mapInArrow(run, _ROWS)
+    return dealt.mapInArrow(tidy(run), _ROWS)
 
 
 def cut_out(docs: DataFrame) -> DataFrame:
@@ -431,7 +428,7 @@ def cut_out(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([None if d == NO_ID else d for d in doc], pa.int64()), pa.array(n, pa.int64()), pa.array(n - np.diff(left), pa.int64()), lists, kept, batch.column("rest")], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "rest"])
 
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
-    return docs.select("doc", "text", "cuts", "rest").mapInArrow(run, schema.add("rest", docs.schema["rest"].dataType))
+    return docs.select("doc", "text", "cuts", "rest").mapInArrow(tidy(run), schema.add("rest", docs.schema["rest"].dataType))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, carry: list[str] | None = None) -> DataFrame:

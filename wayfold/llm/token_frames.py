@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import new_path, slices, texts_of, written
+from wayfold.llm.common import new_path, slices, texts_of, tidy, written
 from wayfold.llm.encoder import encoder
 
 FRAME_IDS = 1 << 16
@@ -138,7 +138,7 @@ def encode_frames(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: l
                 shards.append(0 if doc_id is None else int(np.searchsorted(cuts, doc_id, "right")))
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), pa.array(tables, pa.binary()), pa.array([width] * len(doc_ids), pa.int32())], ["shard", "doc_id", "n_tokens", "frames", "table", "width"])
 
-    return texts_of(docs).mapInArrow(encode, "shard int, doc_id long, n_tokens long, frames binary, table binary, width int")
+    return texts_of(docs).mapInArrow(tidy(encode), "shard int, doc_id long, n_tokens long, frames binary, table binary, width int")
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int | None = 1, shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, str]:
