@@ -20,7 +20,8 @@ from wayfold.llm.toxicity import fit, score_documents
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity below 0.5."""
+    """Documents with a toxicity below 0.5, row by row: null and empty texts, null and repeated doc_ids included. Without
+    labels nothing is toxic; an empty table gives no rows."""
     name = fresh_name(docs, "toxicity")
     scored = score_documents(docs, fit(docs, read_table(spark, sf_dir, "labels")), name=name)
     return scored.filter(F.col(name) < 0.5).drop(name)
@@ -53,13 +54,21 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*columns)
 
 
+#: A replacement character, and a noncharacter that escapes it and itself.
+_REPLACED, _ESCAPE = "\ufffd", "\ufdd0"
+
+
 def _text(kept):
-    """The whole characters among ``kept`` bytes: what a cut left of others became replacement characters, which go."""
-    return F.regexp_replace(F.make_valid_utf8(kept.cast("string")), "�", "")
+    """The whole characters among ``kept`` bytes. What a cut left of others becomes replacement characters, which go;
+    the text's own ones are written in escapes meanwhile."""
+    own = F.replace(F.replace(kept.cast("string"), F.lit(_ESCAPE), F.lit(_ESCAPE + "0")), F.lit(_REPLACED), F.lit(_ESCAPE + "1"))
+    left = F.replace(F.make_valid_utf8(own), F.lit(_REPLACED), F.lit(""))
+    return F.replace(F.replace(left, F.lit(_ESCAPE + "1"), F.lit(_REPLACED)), F.lit(_ESCAPE + "0"), F.lit(_ESCAPE))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences: a null or empty text is its end id alone, rows that share a doc_id are packed
+    each for itself, an empty table gives no rows."""
     pieces = pack_documents(docs, tokenizer_path(WORD_BPE))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
