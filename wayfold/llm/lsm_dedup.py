@@ -1,10 +1,12 @@
 """Exact deduplication through a log-structured merge index of text digests, in DataFrame operations only.
 
 Memtables: documents are dealt to runs by a hash of their id, so a text that fills a third of the table is spread over
-all runs and becomes one row in each. A flush writes a run as a Parquet file sorted by digest, with a Bloom filter on the digest. Compaction merges the runs into one row
-for each digest with its smallest and largest identifier and its count. Digests met more than once are hits; a bitmap of
-them filters the second read of the texts, and the bytes of the texts that pass are compared by grouping on them, so
-equal digests of different texts do not merge.
+all runs and becomes one row in each. A flush writes a run as a Parquet file sorted by digest: each digest with its
+smallest and largest identifier and its count. A run's filter is a column of its own, the 64-bit fingerprints of its
+digests, which is read without them. Probing lays the filters of all runs over each other; a digest whose fingerprint no
+other run holds is settled inside its run. Compaction merges the other rows alone and keeps the smallest and largest
+identifiers, which are the result's. Every hit's bytes are verified: the texts of a digest are compared by grouping on
+them, and where one digest has several texts, these decide in its stead.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ def sha256(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Sorted runs of (digest, smallest, largest, n) below one folder."""
+    """Sorted runs of (digest, fingerprint, smallest, largest, n) below one folder."""
+
+    ROWS = "run long, digest binary, fingerprint long, smallest long, largest long, n long"
 
     def __init__(self, spark: SparkSession, folder: str | None = None, digest: Callable[[Column], Column] = sha256):
         self.spark, self.folder, self.digest = spark, folder or new_path(spark, "digests"), digest
@@ -30,17 +34,27 @@ class DigestIndex:
     def digests(self, docs: DataFrame) -> DataFrame:
         return texts_of(docs).select("doc_id", self.digest(F.col("text")).alias("digest"))
 
-    def flush(self, digests: DataFrame, runs: int, rows: int) -> None:
-        """Adds ``runs`` sorted runs, a file each, made of ``doc_id, digest`` rows (``rows`` of them: the filters' size)."""
+    def flush(self, digests: DataFrame, runs: int) -> None:
+        """Adds ``runs`` sorted runs, a file each, made of ``doc_id, digest`` rows."""
         dealt = digests.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs))).repartition(runs, "run")
         memtables = dealt.groupBy("run", "digest").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("n"))
-        filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(max(1, rows // runs))}
-        memtables.sortWithinPartitions("run", "digest").write.mode("append").options(**filters).parquet(self.folder)
+        memtables = memtables.select("run", "digest", F.xxhash64("digest").alias("fingerprint"), "smallest", "largest", "n")
+        memtables.sortWithinPartitions("run", "digest").write.mode("append").parquet(self.folder)
+
+    def runs(self) -> DataFrame:
+        return self.spark.read.schema(self.ROWS).parquet(self.folder)
+
+    def suspects(self) -> DataFrame:
+        """The fingerprints that more than one run's filter holds."""
+        return self.runs().groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
 
-    def compact(self) -> DataFrame:
-        """One row for each digest, over all runs."""
-        runs = self.spark.read.schema("run long, digest binary, smallest long, largest long, n long").parquet(self.folder)
-        return runs.groupBy("digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n").alias("n"))
+    def hits(self) -> DataFrame:
+        """``digest, smallest, largest, n`` of every digest met more than once: merged where filters meet, else as its run has it."""
+        suspects, _ = written(self.suspects(), "suspects")
+        merged = may_be_in(self.runs(), "fingerprint", suspects).join(suspects, "fingerprint", "left_semi")
+        merged = merged.groupBy("digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n").alias("n"))
+        settled = self.runs().filter("n > 1").join(suspects, "fingerprint", "left_anti")
+        return merged.filter("n > 1").unionByName(settled.select("digest", "smallest", "largest", "n"))
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -55,18 +69,16 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column
     spark = docs.sparkSession
     index = DigestIndex(spark, digest=digest)
     digests, _ = written(index.digests(docs), "digest-rows")
-    index.flush(digests, int(spark.conf.get("spark.sql.shuffle.partitions")), digests.count())
-    hits, hits_path = written(index.compact().filter("n > 1").select("digest", "n"), "digest-hits")
+    index.flush(digests, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hits, _ = written(index.hits().select("digest", F.struct(F.col(keep).alias("keep_id"), F.col("n").alias("group_size")).alias("class")), "digest-hits")
     drop_path(spark, index.folder)
     texts = may_be_in(texts_of(docs).withColumn("digest", digest(F.col("text"))), "digest", hits)
     best = F.max if keep == "largest" else F.min
-    # byte verification: hits grouped by digest and text; a false hit of the bitmap makes a group of its own, as large as it is
-    verified = texts.groupBy("digest", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    per_digest = verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max(F.struct("keep_id", "group_size")).alias("class"))
-    classes, _ = written(per_digest, "digest-classes")
-    found = hot_lookup(digests, "digest", classes.filter("texts = 1").select("digest", "class"), "class")
+    # byte verification: equal texts become one row before they are shuffled
+    verified = texts.groupBy("digest", "text").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    shared, _ = written(verified.filter("texts > 1").select("digest"), "shared-digests")
+    found = hot_lookup(digests, "digest", hits, "class")
     plain = found
-    shared = classes.filter("texts > 1").select("digest")
     if not shared.isEmpty():  # one digest, several texts: those documents are matched by their bytes
         plain = found.join(shared, "digest", "left_anti")
         apart = texts.join(shared, "digest")
@@ -76,5 +88,4 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column
         plain = plain.select("doc_id", "digest", "class").unionByName(matched)
     keep_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class.keep_id"))
     out = plain.select("doc_id", keep_id.alias("keep_id"), F.coalesce("class.group_size", F.lit(1).cast("long")).alias("group_size"), "digest")
-    drop_path(spark, hits_path) if shared.isEmpty() else None
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "digest")
