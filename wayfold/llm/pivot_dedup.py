@@ -3,8 +3,9 @@
 Equal vectors of a label are one class. A class is described by its NEAREST nearest pivots (a bounded sample of the
 classes) and filed in inverted lists by pivot. Two classes are candidates when they share at least SHARED pivots; sets
 of NEAREST that share SHARED have a common one among their first NEAREST - SHARED + 1 in any fixed order, so a class is
-filed under these alone. Inside a list the shared pivots are counted and the candidates' cosines taken in double
-precision. A list is dealt in blocks, pairs of blocks are the tasks, and only link counts and one edge for each class
+filed under these alone. Inside a list each class counts, through the inverted lists of its other pivots, how many it
+shares with whom; only those that reach SHARED have their cosine taken, in double precision. Pivots grow with the square
+root of the classes, so lists do no more than that. A list is dealt in blocks, pairs of blocks are the tasks, and only link counts and one edge for each class
 leave a task, so neither a list nor a crowd of links has to fit anywhere.
 """
 
@@ -17,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import components, drop_path, hot_lookup, written
+from wayfold.llm.common import components, drop_path, hot_lookup, spans, tidy, written
 
 NEAREST, SHARED = 10, 4
 THRESHOLD = 0.98
 #: Classes of a list that one block holds.
 BLOCK = 1024
-MOST_PIVOTS = 2048
+#: Bytes of pivots that every task holds: the sample's bound, 131,072 pivots of 64 components.
+PIVOT_BYTES = 64 << 20
+#: Products of vectors and pivots held at once.
+PRODUCTS = 1 << 21
 
 
 def clean(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -51,8 +55,13 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """The permutation prefix: indices of each row's nearest pivots, nearest first (ties: the smaller index)."""
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
-    return order[:, :nearest].astype(np.int32)
+    out = []
+    step = max(1, PRODUCTS // max(1, len(pivots)))
+    for at in range(0, len(x), step):
+        far = -(x[at : at + step] @ pivots.T)
+        some = np.sort(np.argpartition(far, nearest - 1, axis=1)[:, :nearest], axis=1) if nearest < far.shape[1] else np.tile(np.arange(far.shape[1]), (len(far), 1))
+        out.append(np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out).astype(np.int32)
 
 
 def file_lists(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int, shared: int) -> DataFrame:
@@ -74,7 +83,7 @@ def file_lists(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int,
                 types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["list", "rep", "n", "pivot", "x", "near"])
 
-    return classes.select("label", "rep", "n", "v").mapInArrow(run, "list string, rep long, n long, pivot int, x binary, near binary")
+    return classes.select("label", "rep", "n", "v").mapInArrow(tidy(run), "list string, rep long, n long, pivot int, x binary, near binary")
 
 
 def link_lists(rows: DataFrame, shared: int, threshold: float, block: int) -> DataFrame:
@@ -86,32 +95,31 @@ def link_lists(rows: DataFrame, shared: int, threshold: float, block: int) -> Da
 
     def verify(table: pa.Table) -> pa.Table:
         reps, n, own = table["rep"].to_numpy(), table["n"].to_numpy(), table["own"].to_numpy()
-        pivot, cross = table["pivot"][0].as_py(), table["lo"][0].as_py() != table["hi"][0].as_py()
+        pivot, lo, cross = table["pivot"][0].as_py(), table["lo"][0].as_py(), table["lo"][0].as_py() != table["hi"][0].as_py()
         x = np.frombuffer(b"".join(table["x"].to_pylist())).reshape(len(reps), -1)
         near = np.frombuffer(b"".join(table["near"].to_pylist()), np.int32).reshape(len(reps), -1)
         need = min(shared, near.shape[1])
-        _, column = np.unique(near, return_inverse=True)
-        hot = np.zeros((len(reps), column.max() + 1), np.float32)
-        hot[np.repeat(np.arange(len(reps)), near.shape[1]), column.ravel()] = 1
-        link = (hot @ hot.T >= need) & (x @ x.T >= threshold)
-        np.fill_diagonal(link, False)
-        if cross:
-            link &= own[:, None] != own
-        # counted in the first list that both classes are filed in
         filed = near[:, : max(1, near.shape[1] - need + 1)]
-        early = np.zeros_like(hot)
-        row, place = np.nonzero(filed < pivot)
-        early[row, column.reshape(near.shape)[row, place]] = 1
-        counted = link & (early @ early.T == 0)
-        root = np.arange(len(reps))
-        while True:
-            new = np.minimum(root, np.where(link, root, len(reps)).min(axis=1))
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        keep = link.any(axis=1)
-        return pa.table({"id": reps[keep], "links": (counted @ n)[keep].astype(np.int64), "root": reps[root][keep]})
+        column = np.unique(near, return_inverse=True)[1].reshape(near.shape)
+        holders = np.argsort(column.ravel(), kind="stable") // near.shape[1]
+        held = np.bincount(column.ravel())
+        at = np.cumsum(held) - held
+        links, root, keep = np.zeros(len(reps), np.int64), np.arange(len(reps)), np.zeros(len(reps), bool)
+        for u in np.flatnonzero(own == lo) if cross else range(len(reps)):
+            shares = np.bincount(holders[spans(at[column[u]], held[column[u]])], minlength=len(reps)) >= need
+            shares &= own != lo if cross else np.arange(len(reps)) > u
+            v = np.flatnonzero(shares)
+            v = v[x[v] @ x[u] >= threshold]
+            if not len(v):
+                continue
+            # counted in the first list that both classes are filed in
+            first = v[~np.isin(filed[v], filed[u][filed[u] < pivot]).any(axis=1)]
+            links[u] += n[first].sum()
+            links[first] += n[u]
+            keep[u] = keep[v] = True
+            joined = np.append(root[v], root[u])
+            root[np.isin(root, joined)] = joined.min()
+        return pa.table({"id": reps[keep], "links": links[keep], "root": reps[root[keep]]})
 
     return pairs.groupBy("list", "lo", "hi").applyInArrow(verify, "id long, links long, root long")
 
@@ -126,7 +134,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     rows, _ = written(clean(vectors, id_col, vector_col, label_col), "vectors")
     classes, _ = written(rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("label", "v"), F.lit(0)).alias("s")).select("key", "rep", "n", "s.label", "s.v"), "vector-classes")
-    pivots = pick_pivots(classes, int(min(MOST_PIVOTS, max(32, 2 * math.sqrt(classes.count())))))
+    size, widest = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    pivots = pick_pivots(classes, int(min(PIVOT_BYTES // (8 * (widest or 1)), max(32, 2 * math.sqrt(size)))))
     lists, lists_path = written(file_lists(classes.filter("rep is not null"), pivots, nearest, shared), "inverted-lists")
     found, _ = written(link_lists(lists, shared, threshold, block), "vector-links")
     drop_path(vectors.sparkSession, lists_path)
