@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from wayfold.llm import lsh_forest
 from wayfold.llm.common import components, without
 from wayfold.llm.lsh_forest import near_dedup, shingle_sets
-from wayfold.llm.lsm_dedup import exact_dedup
+from wayfold.llm.lsm_dedup import DigestIndex, exact_dedup
 from wayfold.llm.pivot_dedup import near_vectors
 from wayfold.llm.suffix_dedup import remove_repeats, repeats, suffix_array
 from wayfold.llm.toxicity import fit, score_documents, train
@@ -77,6 +78,25 @@ def test_exact_dedup(spark, docs, digest):
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup(odd).collect()) == [(0, 0, 1, False), (0, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True)]
 
 
+def test_runs_filters_and_compaction_decide(spark, docs, monkeypatch):
+    """Results come from the runs: a filter that misses a digest, or ids that compaction loses, show in them."""
+    text = texts_by_id(docs)
+    index = DigestIndex(spark)
+    index.flush(index.digests(docs), 3)
+    runs = index.runs().collect()
+    assert len({r.run for r in runs}) == 3 and len(runs) > len(set(text.values()))
+    several = Counter(r.fingerprint for r in runs)
+    assert {r.fingerprint for r in index.suspects().collect()} == {f for f, n in several.items() if n > 1}
+    hits = {bytes(r.digest): (r.smallest, r.largest, r.n) for r in index.hits().collect()}
+    groups = {}
+    for i, t in text.items():
+        groups.setdefault(hashlib.sha256(t.encode()).digest(), []).append(i)
+    assert hits == {d: (min(g), max(g), len(g)) for d, g in groups.items() if len(g) > 1}
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup(docs, keep="smallest").collect()} == {(i, min(g)) for g in groups.values() for i in g}
+    monkeypatch.setattr(DigestIndex, "suspects", lambda self: self.runs().select("fingerprint").limit(0))
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup(docs).collect()} != {(i, max(g)) for g in groups.values() for i in g}
+
+
 def brute_shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
@@ -203,6 +223,11 @@ def test_toxicity_generalises(spark):
     misspelt, clean = (model.scores(pa.array([" ".join([*plain[:10], *w])]))[0] for w in (["worthlesss", "scumbagg", "idiotics"], plain[20:23]))
     assert misspelt > clean
     assert train(pa.array([], pa.large_string()), np.zeros(0)).scores(pa.array(["x", "", None]))[0] < 0.5
+    odd = pa.array(["", "x", None, "\0", "x" * 200_000, "a b"], pa.large_string())
+    assert ((model.scores(odd) >= 0) & (model.scores(odd) <= 1)).all() and len(model.scores(pa.array([], pa.large_string()))) == 0
+    for few in (["bad", "good"], ["", ""], ["x", None, "y"], ["a", "b", "c", "d", "e"]):
+        p = train(pa.array(few, pa.large_string()), np.arange(len(few)) % 2 == 1).scores(odd)
+        assert np.isfinite(p).all()
     docs = spark.createDataFrame([(1, None, 5), (None, "x", 5)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert score_documents(docs, fit(docs, labels)).count() == 2

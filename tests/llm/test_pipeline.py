@@ -28,10 +28,19 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in P.drop_copies(spark, docs, SF).collect()) == ["1", "3", "None"]
     cut = {r.doc_id: r for r in P.cut_repeats(spark, docs.dropDuplicates(["doc_id"]), SF).collect()}
     assert cut[2].text is None and cut[1].n_chars == len(cut[1].text) < 300
-    for stage in (P.drop_copies, P.drop_near_copies, P.cut_repeats, P.pack):
+    for stage in (P.drop_toxic, P.drop_copies, P.drop_near_copies, P.cut_repeats, P.pack):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_cut_keeps_the_text_s_own_signs(spark):
+    own = "\ufffd and \ufdd0 \ufdd01 é\ufffd "
+    passage = "".join(f"é{k}" for k in range(80))
+    rows = [(1, "a" + passage + "b", 5), (2, own + passage[1:] + "z" + own, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in P.cut_repeats(spark, docs, SF).collect()}
+    assert got == {1: rows[0][1], 2: own + "z" + own}
+
+
 def test_run_against_brute_force(spark, tmp_path, monkeypatch):
     texts = star()
     other = [f"text {i} " + " ".join(f"y{i}z{k}" for k in range(40)) for i in range(20)]
