@@ -356,8 +356,8 @@ ORACLES: dict[str, str] = {
     "haystack": f"select p_partkey, array_to_string({ordered_distinct('tk')}, ' ') as haystack from (select p_partkey, {tokens(chr(39).join(['p_name || ', ' ', ' || p_brand || ', ' ', ' || p_type || ', ' ', ' || p_name']))} as tk from part)",
     "classify_tokens": f"select token, {POSTCODE.format('token')} as postcode, {NUMERIC.format('token')} as numeric, {HOUSE.format('token')} as house_number, {BOX.format('token')} as box_marker from (select distinct unnest({tokens('text')}) as token from documents)",
     "title_case": f"select c_custkey, {titled('shout')} as titled, {titled('c_name')} as untouched from (select *, upper(c_name || '-le-' || c_mktsegment || '-van der aa') as shout from customer)",
-    "name_distances": f"""with n as (select distinct p_name as name from part), t as (select distinct substr(name, 1, 5) as token from n)
-select token, name, cast(list_min(list_transform({tokens('name')}, lambda w: levenshtein(token, substr(w, 1, length(token))))) as bigint) as distance, cast(1 as bigint) as allowed from t cross join n""",
+    "name_distances": f"""with n as (select distinct p_name as name from part), t as (select distinct substr({norm('name')}, 1, cast(4 + length(name) % 8 as int)) as token from n)
+select token, name, cast(list_min(list_transform({tokens('name')}, lambda w: levenshtein(token, substr(w, 1, length(token))))) as bigint) as distance, cast(case when length(token) <= 5 then 1 when length(token) <= 9 then 2 else 3 end as bigint) as allowed from t join n on substr(token, 1, 1) = substr(name, 1, 1)""",
     "register_filter": _with(REG) + " select r_name as region_code, postcode, count(*) as usable from cur group by 1, 2",
     "street_documents": _with(_docs("s")) + _FLAT,
     "municipality_documents": _with(CORPUS) + _FLAT + " where doc_type = 'municipality'",

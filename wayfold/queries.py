@@ -84,8 +84,10 @@ def collapse_whitespace(spark, sf):
 
 def name_distances(spark, sf):
     p = T.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
-    tokens = p.select(F.left("name", F.lit(5)).alias("token")).distinct()
-    return tokens.crossJoin(F.broadcast(p)).select("token", "name", X.name_distance(F.col("token"), X.normalize(F.col("name"))).cast("bigint").alias("distance"), X.max_distance(F.col("token")).cast("bigint").alias("allowed"))
+    # heads of 4 to 11 letters, against the names that start alike
+    tokens = p.select(F.left(X.normalize(F.col("name")), 4 + F.length("name") % 8).alias("token")).distinct()
+    near = tokens.join(p, F.left("token", F.lit(1)) == F.left("name", F.lit(1)))
+    return near.select("token", "name", X.name_distance(F.col("token"), X.normalize(F.col("name"))).cast("bigint").alias("distance"), X.max_distance(F.col("token")).cast("bigint").alias("allowed"))
 
 
 def register_filter(spark, sf):
