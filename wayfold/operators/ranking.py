@@ -33,22 +33,38 @@ def _by_type(values: dict[str, float]) -> Column:
     return out.otherwise(values["address"])
 
 
+def document_side(docs: DataFrame) -> DataFrame:
+    """``docs`` with what the additive score asks of a document alone, made before documents meet queries."""
+    folded = {"doc_municipality": X.normalize(F.col("municipality_name")), "doc_post": X.normalize(F.coalesce("post_name", F.lit("")))}
+    return docs.withColumns(folded | {"doc_words": F.concat(F.lit(" "), "search_text", F.lit(" "))})
+
+
+def query_side(queries: DataFrame) -> DataFrame:
+    """``queries`` with what the additive score asks of a query alone, made before queries meet documents."""
+    tokens = F.col("locative")
+    made = {
+        "asked_joined": F.array_join(tokens, " "),
+        "asked_first": F.when(F.size(tokens) > 1, F.element_at(tokens, 1)),
+        "asked_last": F.try_element_at(tokens, F.lit(-1)),
+        "asked_lands": F.filter(tokens, lambda t: ~t.rlike("^[0-9]+$")),
+        "asked_postcode": F.try_element_at(F.filter("tokens", X.is_postcode), F.lit(1)),
+        "asked_number": F.try_element_at(F.filter("tokens", X.is_house_number), F.lit(1)),
+    }
+    return queries.withColumns(made)
+
+
 def components() -> dict[str, Column]:
-    """The parts of the additive score, by name, over a row that holds a parsed query (``locative`` …) and a document."""
-    tokens, name = F.col("locative"), F.col("primary_name_norm")
-    first, last, joined = F.element_at(tokens, 1), F.element_at(tokens, -1), F.array_join("locative", " ")
-    several = F.size(tokens) > 1
-    municipality, post = X.normalize(F.col("municipality_name")), X.normalize(F.coalesce("post_name", F.lit("")))
-    lands = F.filter(tokens, lambda t: ~t.rlike("^[0-9]+$") & (F.startswith(municipality, t) | F.startswith(post, t)))
-    postcode = F.try_element_at(F.filter("tokens", X.is_postcode), F.lit(1))
-    number = F.try_element_at(F.filter("tokens", X.is_house_number), F.lit(1))
-    in_text = F.array_contains(X.words(F.col("search_text")), number)
+    """The parts of the additive score, by name, over a row of ``query_side`` and ``document_side``."""
+    name, joined, first, last = (F.col(c) for c in ("primary_name_norm", "asked_joined", "asked_first", "asked_last"))
+    postcode, number = F.col("asked_postcode"), F.col("asked_number")
+    lands = F.filter("asked_lands", lambda t: F.startswith(F.col("doc_municipality"), t) | F.startswith(F.col("doc_post"), t))
+    in_text = F.contains("doc_words", F.concat(F.lit(" "), number, F.lit(" ")))
     return {
         "fulltext": F.least(F.coalesce("ft_score", F.lit(0.0)), F.lit(FULLTEXT_CAP)),
         "hit_query_prefix": _one(F.startswith(name, joined), W_QUERY_PREFIX),
         "hit_exact_name": _one(name == joined, W_EXACT_NAME),
-        "hit_last_token": _one(several & F.startswith(name, last), W_LAST_TOKEN),
-        "hit_first_token": _one(several & F.startswith(name, first), W_FIRST_TOKEN),
+        "hit_last_token": _one(first.isNotNull() & F.startswith(name, last), W_LAST_TOKEN),
+        "hit_first_token": _one(F.startswith(name, first), W_FIRST_TOKEN),
         "hit_word_prefix": _one(F.contains(name, F.concat(F.lit(" "), last)), W_WORD_PREFIX),
         "hit_context": F.size(lands) * F.lit(W_CONTEXT),
         "hit_postcode": _one(F.col("postcode") == postcode, W_POSTCODE),
@@ -63,7 +79,7 @@ def additive_score(rows: DataFrame, debug: bool = False) -> DataFrame:
     parts = components()
     total = sum(parts.values(), F.lit(0.0))
     rows = rows.withColumn("debug", F.struct(*(c.alias(k) for k, c in parts.items()))) if debug else rows
-    return rows.withColumn("score", total)
+    return rows.withColumn("score", total).drop(*(c for c in rows.columns if c.startswith(("asked_", "doc_")) and c != "doc_type"))
 
 
 def popularity_factor() -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import text as X
 from wayfold.operators.fuzzy import fuzzy_terms
-from wayfold.operators.ranking import FUZZY_PENALTY, additive_score, bm25, idf, length_norm, popularity_factor, top_k
+from wayfold.operators.ranking import FUZZY_PENALTY, additive_score, bm25, document_side, idf, length_norm, popularity_factor, query_side, top_k
 from wayfold.plans.index import COMPLETION_LENGTH, LONGEST_GRAM, SHINGLES, Index, heads, shingles
 from wayfold.plans.parse import with_gate, without_numbers
 from wayfold.schema import TYPES
@@ -139,9 +139,12 @@ def _fulltext_pass(queries: DataFrame, index: Index, types: list[str] | None, de
     the name gate gives no full-text score; so the gates are united before they are scored."""
     full = fulltext_gate(queries if gates is None else gates, index, types)
     by_name = name_prefix_gate(queries if named is None else named, index, types).withColumn("ft_score", F.lit(0.0))
-    pairs = full.unionByName(by_name).groupBy("query_id", "id").agg(F.max("ft_score").alias("ft_score"))
+    # a number of partitions of its own: so few bytes would become one task, and scoring costs more than reading
+    tasks = int(index.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = full.unionByName(by_name).repartition(tasks, "query_id", "id")
+    pairs = both.groupBy("query_id", "id").agg(F.max("ft_score").alias("ft_score"))
     more = ["target"] if "target" in queries.columns else []
-    return additive_score(pairs.join(index.docs, "id").join(queries.select(*_QUERY, *more), "query_id"), debug)
+    return additive_score(pairs.join(document_side(index.docs), "id").join(query_side(queries.select(*_QUERY, *more)), "query_id"), debug)
 
 
 def suggest_fulltext(queries: DataFrame, index: Index, limit: int = 10, types: list[str] | None = None, fuzzy: bool = True, tier_sort: bool = True, debug: bool = False) -> DataFrame:

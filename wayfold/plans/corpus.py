@@ -107,18 +107,24 @@ def _postcodes(p: DataFrame) -> DataFrame:
 
 
 def address_documents(rows: DataFrame) -> DataFrame:
-    """One document a row; its popularity is the number of addresses in its street."""
+    """One document a row; its popularity is the number of addresses in its street.
+
+    What addresses share is formatted once: the rows are counted by all that names, aliases and localities are made of,
+    and meet the few results again. ``rows`` are cleaned, so no cell of theirs is null.
+    """
+    shared = ["street_id", "postcode", *_FIRST]
     counts = rows.groupBy("street_id", "postcode").agg(F.count(F.lit(1)).alias("popularity"))
-    a = rows.join(counts, ["street_id", "postcode"], "left")
     municipality, post_name, parts = _locality()
     name = X.pick_name(*(F.col(f"streetname_{x}") for x in ("nl", "fr", "de")))
-    a = a.withColumns({"name": name, "municipality_name": municipality, "post_name": post_name, "parts": parts}).filter("name <> ''")
+    named = rows.select(*shared).distinct().withColumns({"name": name, "municipality_name": municipality, "post_name": post_name, "parts": parts}).filter("name <> ''")
     other = X.aliases([F.col("streetname_fr"), F.col("streetname_de")], F.col("parts"), F.col("municipality_name"), [F.col("municipality_name_fr"), F.col("municipality_name_de")])
+    named = named.select(*shared, "name", "municipality_name", "post_name", other.alias("aliases")).join(counts, ["street_id", "postcode"])
+    a = rows.join(named, shared)
     number, box = F.nullif(F.col("house_number"), F.lit("")), F.nullif(F.col("box_number"), F.lit(""))
     street = F.concat(F.col("name"), F.coalesce(F.concat(F.lit(" "), number), F.lit("")), F.coalesce(F.concat(F.lit(" bus "), box), F.lit("")))
     label = X.address_line(street, F.col("postcode"), F.col("post_name"), F.col("municipality_name"))
     ident = F.concat_ws(":", F.lit("address"), F.nullif(F.col("region_code"), F.lit("")), "address_id")
-    return finish(a.select(ident.alias("id"), F.lit("address").alias("doc_type"), label.alias("label"), F.col("name").alias("street_name"), number.alias("house_number"), box.alias("box_number"), "postcode", "post_name", "municipality_name", F.col("municipality_id").alias("nis_code"), "lat", "lon", F.coalesce("popularity", F.lit(1)).alias("popularity"), other.alias("aliases")))
+    return finish(a.select(ident.alias("id"), F.lit("address").alias("doc_type"), label.alias("label"), F.col("name").alias("street_name"), number.alias("house_number"), box.alias("box_number"), "postcode", "post_name", "municipality_name", F.col("municipality_id").alias("nis_code"), "lat", "lon", "popularity", "aliases"))
 
 
 def build_corpus(rows: DataFrame, options: ImportOptions = ImportOptions()) -> DataFrame:
