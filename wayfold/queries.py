@@ -217,7 +217,7 @@ def score_parts(spark, sf):
     """What each part of the additive score gives each candidate of the name-prefix pass."""
     i = index(spark, sf, "search_text")
     q = queries_df(spark, sf)
-    rows = M.name_prefix_gate(q, i).join(i.docs, "id").join(q.select(*M._QUERY), "query_id").withColumn("ft_score", F.lit(0.0))
+    rows = M.name_prefix_gate(q, i).join(R.document_side(i.docs), "id").join(R.query_side(q.select(*M._QUERY)), "query_id").withColumn("ft_score", F.lit(0.0))
     scored = R.additive_score(rows, debug=True)
     return scored.select("query_id", "id", F.round("score", 4).alias("score"), *(F.round(f"debug.{k}", 4).alias(k) for k in R.components()))
 
@@ -341,7 +341,8 @@ def import_summary(spark, sf):
 
 def suggestion_json(spark, sf):
     """The first suggestion of each query as JSON, and what a reader finds in it."""
-    out = M.response(M.suggest_fulltext(queries_df(spark, sf), index(spark, sf, "search_text"), limit=1))
+    # the first of the usual ten: a limit of one would leave out the misspelt names that a limit of ten seeks
+    out = M.response(M.suggest_fulltext(queries_df(spark, sf), index(spark, sf, "search_text")).filter("rank = 1"))
     inside = F.from_json("suggestion", "id string, type string, label string, place_name string, street_name string, house_number string, postcode string, post_name string, municipality_name string, nis_code string, coordinates struct<lat:double,lon:double>, score double, popularity bigint")
     flat_ = out.select("query_id", inside.alias("s")).select("query_id", "s.*")
     return flat_.select("query_id", "id", "type", "label", "street_name", "postcode", "post_name", "municipality_name", "nis_code", F.round("coordinates.lat", 6).alias("lat"), F.round("coordinates.lon", 6).alias("lon"), "score", "popularity")
