@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import fresh_name, new_path, read_table, without
+from wayfold.llm.common import fresh_name, new_path, read_table, without, written
 from wayfold.llm.encoder import tokenizer_path
 from wayfold.llm.lsh_forest import near_dedup
-from wayfold.llm.lsm_dedup import exact_dedup
+from wayfold.llm.lsm_dedup import exact_dedup, sha256
 from wayfold.llm.packing import pack_documents
 from wayfold.llm.queries import WORD_BPE
 from wayfold.llm.suffix_dedup import remove_repeats
@@ -27,18 +27,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col(name) < 0.5).drop(name)
 
 
+def _reused(docs: DataFrame) -> DataFrame:
+    """The doc_ids of more than one row."""
+    return docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, that of the largest doc_id; a row met twice stays once."""
-    left = without(docs, exact_dedup(docs).filter(~F.col("kept")))
-    twice = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """One document of each text, that of the largest doc_id; a row met twice stays once, and rows of one doc_id with
+    different texts are decided each for itself."""
+    gone = exact_dedup(docs).filter(~F.col("kept"))
+    left, twice = without(docs, gone), _reused(docs)
     if twice.isEmpty():
         return left
-    return without(left, twice).unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    digest = fresh_name(docs, "digest")
+    rows = docs.join(twice, "doc_id", "left_semi").withColumn(digest, sha256(F.coalesce("text", F.lit(""))))
+    gone = gone.select(F.col("doc_id").alias("_wf_id"), F.col("digest").alias("_wf_digest"))
+    stay = rows.join(gone, (F.col("doc_id") == F.col("_wf_id")) & (F.col(digest) == F.col("_wf_digest")), "left_anti").dropDuplicates(["doc_id", digest])
+    return without(left, twice).unionByName(stay.drop(digest))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, that of the smallest doc_id."""
-    return without(docs, near_dedup(docs).filter(~F.col("kept")))
+    """One document of each component of near copies, that of the smallest doc_id; rows that share a doc_id are decided
+    each for itself and rank after all others."""
+    twice = _reused(docs)
+    if twice.isEmpty():
+        return without(docs, near_dedup(docs).filter(~F.col("kept")))
+    row = fresh_name(docs, "row_id")
+    after = docs.agg(F.max("doc_id")).first()[0] + 1
+    again = docs.join(twice, "doc_id", "left_semi").withColumn(row, F.lit(after) + F.monotonically_increasing_id())
+    rows, _ = written(without(docs, twice).withColumn(row, F.col("doc_id").cast("long")).unionByName(again), "numbered")
+    gone = near_dedup(rows.select(F.col(row).alias("doc_id"), "text")).filter(~F.col("kept"))
+    return without(rows, gone.select(F.col("doc_id").alias(row)), row).drop(row)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
