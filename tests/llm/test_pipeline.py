@@ -32,6 +32,18 @@ def test_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_a_reused_id_takes_no_other_row_along(spark):
+    words = [f"w{k}" for k in range(60)]
+    near, clean = " ".join(words[:-1]), "a text of its own that nothing else is like"
+    rows = [(1, "copied"), (1, "apart"), (1, "apart"), (1, None), (1, ""), (2, "copied"), (None, "copied")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, r.text or "") for r in P.drop_copies(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(1, "apart"), (1, ""), (2, "copied"), (None, "copied")], key=str)
+    docs = spark.createDataFrame([(0, " ".join(words)), (5, near), (5, clean), (7, None), (7, "")], "doc_id long, text string")
+    left = [tuple(r) for r in P.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(0, " ".join(words)), (5, clean), (7, None), (7, "")], key=str)
+
+
 def test_cut_keeps_the_text_s_own_signs(spark):
     own = "\ufffd and \ufdd0 \ufdd01 é\ufffd "
     passage = "".join(f"é{k}" for k in range(80))
