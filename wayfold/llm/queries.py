@@ -92,6 +92,12 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), good, tokenizer_path(WORD_BPE))
 
 
+def op13_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.posting_lists import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -104,6 +110,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lsh_forest": op8_lsh_forest,
         "op9_packing": op9_packing,
         "op10_cross_entropy": op10_cross_entropy,
+        "op13_posting_lists": op13_posting_lists,
     }
 
 
