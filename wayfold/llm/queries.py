@@ -92,6 +92,32 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), good, tokenizer_path(WORD_BPE))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.divergence import divergence
+
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct k) >= 10),
+v as (select lang, count(*) as v from kept group by lang),
+g as (select distinct d.lang, source, coalesce(v, 0) as v from d left join v using (lang)),
+c as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by all),
+f as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, g.v from g join kept k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select lang, source, term, n, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * v) as p,
+        1 + (1000000000::hugeint * (sum(n) over (partition by lang, term) + 2)) // (sum(n) over (partition by lang) + 2 * v) as q from f),
+pairs as (select g.lang, g.source, 'pair' as part, h.source as item,
+        coalesce((select sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) from p a join p b using (lang, term) where a.lang = g.lang and a.source = g.source and b.source = h.source), 0) as value
+    from g join g h on g.lang = h.lang and g.source <> h.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // (p + q) as value from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from pairs union all from terms))
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def op13_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm.posting_lists import nearest
 
@@ -110,9 +136,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lsh_forest": op8_lsh_forest,
         "op9_packing": op9_packing,
         "op10_cross_entropy": op10_cross_entropy,
+        "op11_divergence": op11_divergence,
         "op13_posting_lists": op13_posting_lists,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op5_lsm_dedup": OP5_SQL}
+    return {"op5_lsm_dedup": OP5_SQL, "op11_divergence": OP11_SQL}
