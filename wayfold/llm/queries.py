@@ -118,6 +118,35 @@ select lang, source, part, item, value::bigint as value, rank::int as rank from
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.spelling import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with recursive tab as (select list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda a, b: case when a & 1 = 1 then xor(3988292384, a >> 1) else a >> 1 end)) as t),
+d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+') as runs from documents),
+r as (select doc_id, run, count(*) as c from (select doc_id, unnest(runs) as run from d) where length(run) >= 7 group by all),
+x as (select run, c, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from r),
+b as (select run, c, list_transform(range(length(x) // 2), lambda i: 16 * (position(substr(x, (2 * i + 1)::int, 1) in '0123456789ABCDEF') - 1) + position(substr(x, (2 * i + 2)::int, 1) in '0123456789ABCDEF') - 1) as bytes from x),
+h as (select run, c, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, bytes), lambda a, b: xor(t[1 + (xor(a, b) & 255)], a >> 8))) as h from b, tab),
+w as (select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run) + 2)::int) else run end as word, c from h),
+v as (select word, sum(c)::bigint as n from w where length(word) >= 7 group by word having sum(c) >= 2),
+hole as (select word, n, left(word, i::int) || '*' || substr(word, (i + 2)::int) as k from (select word, n, unnest(range(length(word))) as i from v)),
+gone as (select distinct word, n, left(word, i::int) || substr(word, (i + 2)::int) as k from (select word, n, unnest(range(length(word))) as i from v)),
+near as (select a.word, a.n, b.word as other, b.n as m from hole a join hole b on a.k = b.k and a.word <> b.word
+    union all select g.word, g.n, v.word, v.n from gone g join v on v.word = g.k
+    union all select v.word, v.n, g.word, g.n from gone g join v on v.word = g.k),
+best as (select word, n, other as form, m from near qualify row_number() over (partition by word order by m desc, other) = 1),
+form as (select word, form, m as form_n from best where m >= 10 * n),
+chain as (select word, form as root, 1 as step from form union all select chain.word, form.form, step + 1 from chain join form on form.word = chain.root),
+ends as (select word, arg_max(root, step) as root from chain group by word)
+select v.word, form.form, coalesce(ends.root, v.word) as root, v.n, coalesce(k.n_near, 0) as n_near, form.form_n
+from v left join (select word, count(*) as n_near from near group by word) k using (word) left join form using (word) left join ends using (word)
+"""
+
+
 def op13_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm.posting_lists import nearest
 
@@ -137,9 +166,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_cross_entropy": op10_cross_entropy,
         "op11_divergence": op11_divergence,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_posting_lists": op13_posting_lists,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op5_lsm_dedup": OP5_SQL, "op11_divergence": OP11_SQL}
+    return {"op5_lsm_dedup": OP5_SQL, "op11_divergence": OP11_SQL, "op12_spelling_variants": OP12_SQL}
