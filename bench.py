@@ -39,7 +39,7 @@ def main() -> None:
         times[name] = round(time.time() - began, 3)
         spark.catalog.clearCache()
     began = time.time()
-    stored_index = index(spark, sf_dir)
+    stored_index = index(spark, sf_dir).complete()
     times["index_build"] = round(time.time() - began, 3)
     typed = queries_df(spark, sf_dir)
     asked, per_query = typed.count(), {}

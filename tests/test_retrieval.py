@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import evaluation as E
 from wayfold.operators import retrieval as M
-from wayfold.operators.fuzzy import fuzzy_terms
+from wayfold.operators.fuzzy import STEM, Neighbours, candidate_terms, fuzzy_terms
 from wayfold.plans.corpus import finish
 from wayfold.plans.parse import parse_queries
 
@@ -73,7 +75,70 @@ def test_completion(spark, index):
 def test_fuzzy_terms(spark):
     tokens = spark.createDataFrame([("antwrepen",), ("gnet",), ("ab",)], "token string")
     terms = spark.createDataFrame([("antwerpen",), ("gent",), ("abc",), ("xntwerpen",)], "term string")
-    assert {(r.token, r.term, r.distance) for r in fuzzy_terms(tokens, terms).collect()} == {("antwrepen", "antwerpen", 1), ("gnet", "gent", 1)}
+    assert {(r.token, r.term, r.distance) for r in fuzzy_terms(tokens, Neighbours.of(terms)).collect()} == {("antwrepen", "antwerpen", 1), ("gnet", "gent", 1)}
+
+
+def osa(a, b):
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_neighbourhood_loses_nothing(spark):
+    """Against every pair, over few letters, so that most texts are near several others; texts shorter and longer than a stem."""
+    rnd = random.Random(4)
+    texts = sorted({"".join(rnd.choice("ab" if n % 2 else "abc") for _ in range(n)) for n in range(1, STEM + 6) for _ in range(14)})
+    df = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = {(r.token, r.term, r.distance) for r in fuzzy_terms(df(texts, "token"), Neighbours.of(df([*texts, *texts, ""], "term"))).collect()}
+    edits = lambda t: 0 if len(t) < 3 else 1 if len(t) <= 5 else 2
+    assert got == {(a, b, osa(a, b)) for a in texts for b in texts if a[0] == b[0] and osa(a, b) <= edits(a)}
+    assert {2, 1, 0} == {d for *_, d in got}
+    measured = candidate_terms(df(texts, "token"), Neighbours.of(df(texts, "term"))).count()
+    assert measured < len(texts) ** 2 / 3
+
+
+def test_an_empty_query_is_answered_with_nothing(spark, index):
+    for method in M.REGISTRY:
+        got = ask(spark, index, method, "", " ,", "gent")
+        assert set(got) == {"gent"}
+    assert ask(spark, index, "fulltext", "") == {}
+
+
+def test_prefixes_are_intervals(spark, index):
+    """A text longer than any stored prefix, one behind the last term, and one that opens everything of a field."""
+    units = spark.createDataFrame([("name_start", True, x) for x in ("kerkstraat", "zz", "g", "kerkstraat x")] + [("search_text", False, "gent"), ("search_text", True, "an")], "field string, open boolean, text string")
+    got = {(r.field, r.text): r.n for r in M.unit_hits(units, index).groupBy("field", "text").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("name_start", "kerkstraat"): 2, ("name_start", "g"): 2, ("search_text", "gent"): 3, ("search_text", "an"): 3}
+    long = finish(spark.createDataFrame([("s:9", "street", "x", "Antwerpsesteenwegdwarsstraat " + "z" * 200, "Gent", 1, [])], "id string, doc_type string, label string, street_name string, municipality_name string, popularity long, aliases array<string>"))
+    of_long = M.Index.of(long, ("name_start", "search_text"))
+    for query, found in (("antwerpsesteenwegdwarsst", True), ("antwerpsesteenwegdwarsstx", False), ("antwerpsesteenwegdwarsstraat zzz", True)):
+        assert bool(ask(spark, of_long, "fulltext", query, fuzzy=False)) == found
+
+
+def test_lookups_move_no_postings(spark, index):
+    """The side of the postings reaches the join from its buckets, whether the other side is broadcast or dealt out."""
+    units = spark.createDataFrame([("search_text", True, "g")], "field string, open boolean, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = M.range_postings(M.unit_ranges(units, index), index)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = plan.index("Bucketed: true")
+    above = plan[:at].splitlines()[-6:]
+    assert "SelectedBucketsCount" in plan and not any("Exchange" in line for line in above[-3:])
+
+
+def test_completion_of_long_and_many(spark, index):
+    """Stored heads, stems and the general way give the same."""
+    texts = ("k", "ke", "kerkstra", "kerkstraat", "kerkstrat", "gen", "gnet", "antwerp", "antwrepen", "rue hau", "me", "20")
+    for fuzzy in (True, False):
+        few, many = (ask(spark, index, "completion", *texts, limit=n, fuzzy=fuzzy) for n in (50, 51))
+        assert few == many and "k" in few
+    assert ask(spark, index, "completion", "kerkstrat")["kerkstrat"] == ["s:2", "a:12", "s:1"]
 
 
 def test_evaluation(spark):

@@ -1,9 +1,9 @@
 """Who may appear for a query, how the appearing are scored, and what is tried when nobody appears.
 
 All methods take a batch of parsed queries. What a batch asks of the index is a table of *units*: a text to be met in a
-field, as a whole word or as the start of one. Each distinct unit is looked up once for the whole batch; starts become
-whole terms through the vocabulary's prefixes, so there is no theta join however large the corpus is. A gate opens with
-the rarest unit of each query and probes the others. Hits, gated pairs and answered queries are stored tables: no pass
+field, as a whole word or as the start of one. Each distinct unit is looked up once for the whole batch, as an interval of
+the sorted dictionary, so there is no theta join however large the corpus is, and postings stay in their buckets. A gate
+opens with the rarest unit of each query and probes the others. Hits, gated pairs and answered queries are stored tables: no pass
 carries the plan of the passes before it.
 """
 
@@ -17,9 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import text as X
-from wayfold.operators.fuzzy import fuzzy_terms
+from wayfold.operators.fuzzy import fuzzy_terms, stem, swap_distance
 from wayfold.operators.ranking import FUZZY_PENALTY, additive_score, bm25, document_side, idf, length_norm, popularity_factor, query_side, top_k
-from wayfold.plans.index import COMPLETION_LENGTH, LONGEST_GRAM, SHINGLES, Index, heads, shingles
+from wayfold.plans.index import HEAVIEST, SHINGLES, SHORT_HEAD, UNIT, Index, range_postings, shingles, unit_ranges
 from wayfold.plans.parse import with_gate, without_numbers
 from wayfold.schema import TYPES
 from wayfold.sources.scratch import stored
@@ -30,48 +30,47 @@ LEAST_FULLTEXT = 3
 MOST_TOTAL = 1000
 #: Places to which a score counts in an order: the order in which its parts were added does not.
 PLACES = 6
-UNIT = ("field", "open", "text")
 
 
 # ------------------------------------------------------------------ lookups
 
 
-def unit_terms(units: DataFrame, index: Index) -> DataFrame:
-    """``units`` by the terms they mean, as ``term``: the text itself, or all terms of the field that start with it."""
-    whole = units.filter("not open").withColumn("term", F.col("text"))
-    opened = units.filter("open").withColumn("gram", F.left("text", F.lit(LONGEST_GRAM)))
-    return whole.unionByName(opened.join(index.prefixes(), ["field", "gram"]).filter(F.startswith("term", "text")).drop("gram"))
+def unit_hits(units: DataFrame, index: Index, weight: Column | None = None) -> DataFrame:
+    """``field, open, text, id, tf, dl`` of every document that holds a term of a unit; ``tf`` counts all of its terms.
 
-
-def unit_hits(units: DataFrame, index: Index) -> DataFrame:
-    """``field, open, text, id, tf, dl`` of every document that holds a term of a unit; ``tf`` counts all of its terms."""
-    terms = unit_terms(units.select(*UNIT).distinct(), index)
-    rows = terms.join(index.postings, ["field", "term"])
-    return rows.groupBy(*UNIT, "id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+    With ``weight`` (of a posting's ``tf``, ``df``) also ``ft``, its sum.
+    """
+    rows = range_postings(unit_ranges(units, index), index)
+    more = [] if weight is None else [F.sum(weight).alias("ft")]
+    return rows.groupBy(*UNIT, "id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"), *more)
 
 
 def unit_df(hits: DataFrame) -> DataFrame:
     return hits.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("df"))
 
 
-def meet(slots: DataFrame, hits: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """``query_id, id``: documents met by every unit among a query's ``slots`` (query_id and units).
+def meet(slots: DataFrame, hits: DataFrame, allowed: DataFrame | None = None, score: str | None = None) -> DataFrame:
+    """``query_id, id``: documents met by every unit among a query's ``slots`` (query_id and units), and the sum of the
+    hits' ``score``, if one is named.
 
     The rarest unit of a query gives its candidates, so a common word costs no more than the rarest one beside it.
     ``allowed`` (ids) restricts the candidates before anything is probed.
     """
     slots = slots.select("query_id", *UNIT).distinct()
     unit = F.struct(*UNIT)
+    given = [(F.lit(0.0) if score is None else F.col(score)).alias("given")]
     known = slots.join(unit_df(hits), list(UNIT), "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ask = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"), F.min(F.struct("df", unit.alias("u"))).alias("rarest")).filter("rarest.df > 0")
-    first = ask.select("query_id", "asked", *(F.col(f"rarest.u.{c}").alias(c) for c in UNIT)).join(hits.select(*UNIT, "id"), list(UNIT))
+    first = ask.select("query_id", "asked", *(F.col(f"rarest.u.{c}").alias(c) for c in UNIT)).join(hits.select(*UNIT, "id", *given), list(UNIT))
     if allowed is not None:
         first = first.join(allowed, "id", "left_semi")
     others = slots.join(ask.select("query_id", *(F.col(f"rarest.u.{c}").alias(c) for c in UNIT)), ["query_id", *UNIT], "left_anti")
-    alone = first.filter("asked = 1").select("query_id", "id")
-    probed = first.filter("asked > 1").select("query_id", "id", "asked").join(others, "query_id").join(hits.select(*UNIT, "id"), [*UNIT, "id"])
-    met = probed.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("met"), F.first("asked").alias("asked")).filter("met = asked - 1")
-    return alone.unionByName(met.select("query_id", "id"))
+    alone = first.filter("asked = 1").select("query_id", "id", "given")
+    opening = first.filter("asked > 1").select("query_id", "id", "asked", F.col("given").alias("begin"))
+    probed = opening.join(others, "query_id").join(hits.select(*UNIT, "id", *given), [*UNIT, "id"])
+    met = probed.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("met"), F.first("asked").alias("asked"), (F.first("begin") + F.sum("given")).alias("given")).filter("met = asked - 1")
+    both = alone.unionByName(met.select("query_id", "id", "given"))
+    return both.select("query_id", "id", *([F.col("given").alias(score)] if score else []))
 
 
 def _unit(field: str, opened: bool, text: Column) -> Column:
@@ -106,29 +105,19 @@ def fulltext_gate(queries: DataFrame, index: Index, types: list[str] | None = No
     tokens = queries.select("query_id", "bare_numeric", F.explode(F.array_distinct(X.sanitize_tokens(F.col("locative")))).alias("text"))
     opened = F.col("bare_numeric") | ~X.is_numeric(F.col("text"))
     slots = stored(tokens.select("query_id", F.lit("search_text").alias("field"), opened.alias("open"), "text"), "slots")
-    total = index.fields.filter("field = 'search_text'").select("docs")
-    weights = index.terms.filter("field = 'search_text'").crossJoin(F.broadcast(total)).select("field", "term", F.pow(F.log10(F.col("docs") / F.col("df")), F.lit(2.0)).alias("w"))
-    rows = unit_terms(slots.select(*UNIT).distinct(), index).join(weights, ["field", "term"]).join(index.postings.filter("field = 'search_text'"), ["field", "term"])
-    score = F.when(F.length("text") >= LEAST_FULLTEXT, F.sum(F.col("w") * F.col("tf"))).otherwise(0.0)
-    hits = stored(rows.groupBy(*UNIT, "id").agg(score.alias("ft")), "fulltext-hits")
-    pairs = meet(slots, hits, allowed_ids(index, types))
-    return pairs.join(slots, "query_id").join(hits, [*UNIT, "id"]).groupBy("query_id", "id").agg(F.sum("ft").alias("ft_score"))
+    total = index.fields.filter("field = 'search_text'").select("docs").first()  # one row
+    rare = F.log10(F.lit(total.docs if total else 1) / F.col("df"))
+    weight = F.when(F.length("text") >= LEAST_FULLTEXT, rare * rare * F.col("tf")).otherwise(0.0)
+    hits = stored(unit_hits(slots, index, weight), "fulltext-hits")
+    return meet(slots, hits, allowed_ids(index, types), "ft").withColumnRenamed("ft", "ft_score")
 
 
 def name_prefix_gate(queries: DataFrame, index: Index, types: list[str] | None = None) -> DataFrame:
-    """``query_id, id``: documents other than addresses whose folded name starts with the joined tokens.
-
-    Names meet queries on their first typed token, a word of the name or the head of one, before they are compared.
-    """
-    typed = queries.select("query_id", F.array_join("locative", " ").alias("joined"), F.element_at("locative", 1).alias("token"), F.size("locative").alias("n")).filter("joined <> ''")
-    docs = index.docs.filter("doc_type <> 'address'")
-    if types:
-        docs = docs.filter(F.col("doc_type").isin(*types))
-    names = docs.select("id", "primary_name_norm", F.substring_index("primary_name_norm", " ", 1).alias("term"))
-    firsts = names.select("term").distinct().select("term", F.explode(heads(F.col("term"))).alias("gram"))
-    opened = typed.filter("n = 1").withColumn("gram", F.left("token", F.lit(LONGEST_GRAM))).join(firsts, "gram").filter(F.startswith("term", "token")).drop("gram")
-    starts = typed.filter("n > 1").withColumn("term", F.col("token")).unionByName(opened)
-    return starts.join(names, "term").filter(F.startswith("primary_name_norm", "joined")).select("query_id", "id")
+    """``query_id, id``: documents other than addresses whose folded name starts with the joined tokens: an interval of names."""
+    typed = queries.select("query_id", F.lit("name_start").alias("field"), F.lit(True).alias("open"), F.array_join("locative", " ").alias("text")).filter("text <> ''")
+    found = typed.join(unit_hits(typed, index), list(UNIT)).select("query_id", "id")
+    allowed = allowed_ids(index, types)
+    return found if allowed is None else found.join(allowed, "id", "left_semi")
 
 
 _QUERY = ("query_id", "tokens", "locative", "bare_numeric", "number_tokens", "typing_locative", "detail", "normalized")
@@ -139,10 +128,7 @@ def _fulltext_pass(queries: DataFrame, index: Index, types: list[str] | None, de
     the name gate gives no full-text score; so the gates are united before they are scored."""
     full = fulltext_gate(queries if gates is None else gates, index, types)
     by_name = name_prefix_gate(queries if named is None else named, index, types).withColumn("ft_score", F.lit(0.0))
-    # a number of partitions of its own: so few bytes would become one task, and scoring costs more than reading
-    tasks = int(index.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = full.unionByName(by_name).repartition(tasks, "query_id", "id")
-    pairs = both.groupBy("query_id", "id").agg(F.max("ft_score").alias("ft_score"))
+    pairs = full.unionByName(by_name).groupBy("query_id", "id").agg(F.max("ft_score").alias("ft_score"))
     more = ["target"] if "target" in queries.columns else []
     return additive_score(pairs.join(document_side(index.docs), "id").join(query_side(queries.select(*_QUERY, *more)), "query_id"), debug)
 
@@ -266,11 +252,8 @@ def clauses(queries: DataFrame, method: str) -> DataFrame:
 def near_texts(tokens: DataFrame, index: Index, method: str) -> DataFrame:
     """``token, field, open, text, distance``: the words of the haystack (their heads, where these are terms) within each
     token's edits; the closest FUZZY_EXPANSIONS, then in order of the alphabet."""
-    words = index.terms.filter("field = 'search_text'").select("term")
     grams = METHODS[method].grams
-    if grams:
-        words = words.select(F.explode(heads(F.col("term"))).alias("term")).unionByName(words)
-    near = fuzzy_terms(tokens.select("token").distinct(), words)
+    near = fuzzy_terms(tokens, index.neighbours("grams" if grams else "words"))
     few = near.withColumn("n", F.row_number().over(W.partitionBy("token").orderBy("distance", "term"))).filter(F.col("n") <= FUZZY_EXPANSIONS)
     return few.select("token", F.lit("search_text").alias("field"), F.lit(grams).alias("open"), F.col("term").alias("text"), "distance")
 
@@ -297,8 +280,9 @@ def phrase_scores(queries: DataFrame, pairs: DataFrame, index: Index) -> DataFra
     terms = index.terms.filter(name).select("term", "df")
     whole = asked.select("query_id", F.posexplode("words").alias("k", "term")).join(terms, "term").select("query_id", "df")
     lasts = asked.select(F.lit("primary_name").alias("field"), F.lit(True).alias("open"), F.col("token").alias("text")).distinct()
-    opened = unit_terms(lasts, index).select(F.col("text").alias("token"), "term").join(terms, "term")
-    opened = opened.withColumn("n", F.row_number().over(W.partitionBy("token").orderBy("term"))).filter(F.col("n") <= PHRASE_EXPANSIONS)
+    # numbers follow the alphabet, so the first terms of an interval are the first in it
+    few = unit_ranges(lasts, index).select(F.col("text").alias("token"), F.explode(F.sequence("lo", F.least(F.col("hi"), F.col("lo") + (PHRASE_EXPANSIONS - 1)))).alias("ord"))
+    opened = few.join(index.terms.select("ord", "df"), "ord").select("token", "df")
     rare = whole.unionByName(asked.select("query_id", "token").join(opened, "token").select("query_id", "df"))
     rarity = rare.crossJoin(F.broadcast(stats)).groupBy("query_id").agg(F.sum(idf(F.col("docs"), F.col("df"))).alias("rarity"))
     named = pairs.join(index.docs.select("id", "primary_name_norm"), "id").join(asked.select("query_id", "normalized"), "query_id")
@@ -410,25 +394,46 @@ def suggest_clauses(queries: DataFrame, index: Index, method: str, limit: int =
 def suggest_completion(queries: DataFrame, index: Index, limit: int = 10, types: list[str] | None = None, fuzzy: bool = True) -> DataFrame:
     """Documents one of whose inputs starts with the joined tokens, heaviest input first.
 
+    Short texts find the heaviest entries stored beside their heads; longer ones the inputs that share a stem with them.
+
     With ``fuzzy``, a text of three characters or more also meets inputs one of whose heads lies within its edits and
     shares its first character; an input then weighs as many times as it has leading characters in common with the text.
     The ``limit`` heaviest inputs are taken before a document's further inputs are dropped, so fewer may be returned.
     """
     typed = queries.select("query_id", F.array_join("locative", " ").alias("joined")).filter("joined <> ''")
-    entries = index.completions.filter(F.col("doc_type").isin(*types)) if types else index.completions
-    entries = entries.select("input", "weight", "id")
-    met_heads = entries.select("input").distinct().select("input", F.explode(heads(F.col("input"), COMPLETION_LENGTH)).alias("head"))
     texts = typed.select(F.col("joined").alias("token")).distinct()
-    near = fuzzy_terms(texts, met_heads.select(F.col("head").alias("term"))) if fuzzy else texts.withColumn("term", F.col("token"))
-    inputs = near.join(met_heads, F.col("term") == F.col("head")).select(F.col("token").alias("joined"), "input").distinct()
     factor = common_head(F.col("joined"), F.col("input")) if fuzzy else F.lit(1)
-    options = typed.join(inputs, "joined").join(entries, "input").withColumn("score", (F.col("weight") * factor).cast("double"))
+    chosen = F.col("doc_type").isin(*types) if types else F.lit(True)
+    # up to SHORT_HEAD - 2 characters: no near head is longer than what the heaviest entries are stored for
+    short = F.length("token") <= SHORT_HEAD - 2
+    near = (fuzzy_terms(texts.filter(short), index.neighbours("heads")) if fuzzy else texts.filter(short).withColumn("term", F.col("token"))).select(F.col("token").alias("joined"), F.col("term").alias("head"))
+    if limit <= HEAVIEST:
+        # under a near head all inputs share as much with the text, or more and then a longer near head has them too
+        few = near.join(index.heaviest().filter(chosen), "head").select("joined", "input", "weight", "id").distinct()
+    else:
+        few = near.join(index.head_inputs(), "head").select("joined", "input").distinct().join(index.entries.filter(chosen), "input").select("joined", "input", "weight", "id")
+    inputs = long_inputs(texts.filter(~short), index, fuzzy)
+    many = inputs.join(index.entries.filter(chosen), "input").select("joined", "input", "weight", "id")
+    options = typed.join(few.unionByName(many), "joined").withColumn("score", (F.col("weight") * factor).cast("double"))
     best = options.withColumn("option", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"), F.asc("input")))).filter(F.col("option") <= limit)
     once = best.groupBy("query_id", "id").agg(F.min("option").alias("option"), F.max("score").alias("score"))
     once = once.join(index.docs, "id")
     return once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("option")))
 
 
+def long_inputs(texts: DataFrame, index: Index, fuzzy: bool) -> DataFrame:
+    """``joined, input``: for texts (``token``) of about a stem's length and more, the inputs with a head within their edits."""
+    near = index.neighbours("inputs")
+    if not fuzzy:
+        met = texts.withColumn("stem", stem(F.col("token"))).join(near.members, "stem").filter(F.startswith("term", "token"))
+        return met.select(F.col("token").alias("joined"), F.col("term").alias("input"))
+    met = near.near_stems(texts).join(near.members, "stem").filter(F.col("size") >= F.length("token") - F.col("edits"))
+    sizes = F.sequence(F.length("token") - F.col("edits"), F.least(F.length("token") + F.col("edits"), F.col("size")))
+    head = F.transform(sizes, lambda n: F.left("term", n))
+    close = F.exists(head, lambda h: (F.levenshtein(F.col("token"), h) <= 2 * F.col("edits")) & (swap_distance(F.col("token"), h) <= F.col("edits")))
+    return met.filter(close).select(F.col("token").alias("joined"), F.col("term").alias("input"))
+
+
 def common_head(a: Column, b: Column) -> Column:
     """How many leading characters two texts share."""
     return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.when(F.left(a, i) == F.left(b, i), i).otherwise(0))), F.lit(0))

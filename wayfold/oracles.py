@@ -70,7 +70,7 @@ _SEARCH = "coalesce(street_name, '') || ' ' || coalesce(house_number, '') || ' '
 def _docs(families: str) -> str:
     parts = {
         "s": """select 'street:' || street || '|' || postcode as id, 'street' as doc_type, street || ', ' || postcode || ' ' || m as label, street as street_name,
-      null as house_number, null as box_number, postcode, m as post_name, m as municipality_name, cast(nis as varchar) as nis_code, avg(lat) as lat, avg(lon) as lon, count(*) as popularity,
+      cast(null as varchar) as house_number, cast(null as varchar) as box_number, postcode, m as post_name, m as municipality_name, cast(nis as varchar) as nis_code, avg(lat) as lat, avg(lon) as lon, count(*) as popularity,
       case when odd then m || '|' || r else m end as aliases from cur group by street, postcode, m, nis, odd, r""",
         "m": """select 'municipality:' || nis, 'municipality', m, null, null, null, null, null, m, cast(nis as varchar), avg(lat), avg(lon), count(*), '' from cur group by nis, m""",
         "p": """select 'postcode:' || postcode, 'postcode', postcode || ' ' || m, null, null, null, postcode, m, m, cast(nis as varchar), avg(lat), avg(lon), count(*), case when odd then m || '|' || r else m end
@@ -92,25 +92,41 @@ docs as (select id, doc_type, label, cast(null as varchar) as place_name, street
 
 CORPUS = _docs("smp")
 
-QUERIES = f"""
+_TOGETHER = """
 occurs as (select p_name, c_nationkey as k, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey group by all),
 together as (
   select p_name, n_nationkey, n_name from (
     select p_name, k from (select *, row_number() over (partition by p_name order by n desc, k) as r from occurs) where r = 1
     union select p_name, k from (select *, row_number() over (partition by k order by n desc, p_name) as r from occurs) where r = 1) join nation on k = n_nationkey),
+"""
+
+_TYPED = """three as (select distinct p_name, n_nationkey, n_name from part join nation on n_nationkey < 3),
 typed as (
   select distinct query from (
     select p_name as query from part union all select substr(p_name, 1, length(p_name) - 2) from part
     union all select substr(p_name, 1, 1) || substr(p_name, 3, 1) || substr(p_name, 2, 1) || substr(p_name, 4) from part
     union all select n_name from nation union all select cast(1000 + n_nationkey * 100 as varchar) from nation
     union all select substr(cast(1000 + n_nationkey * 100 as varchar), 1, 2) from nation
-    union all select p_name || ' 12 bus 5 ' || n_name from together
-    union all select cast(1000 + n_nationkey * 100 as varchar) || ' ' || substr(p_name, 1, length(p_name) - 2) from together)),
+    union all select p_name || ' 12 bus 5 ' || n_name from (from together union from three)
+    union all select cast(1000 + n_nationkey * 100 as varchar) || ' ' || substr(p_name, 1, length(p_name) - 2) from (from together union from three)))
+"""
+
+_NUMBERED = """typed as (
+  select distinct p_name || ' ' || (1 + n_nationkey % 50) || ' ' || n_name as query from together
+  union select p_name || ' 77 ' || n_name from together
+  union select substr(p_name, 1, 1) || substr(p_name, 3, 1) || substr(p_name, 2, 1) || substr(p_name, 4) || ' 88b ' || n_name from together
+  union select p_name || ' ' || (1 + n_nationkey % 50) || ' bus 5 ' || n_name from together)
+"""
+
+
+def _parsed(typed: str, house: str) -> str:
+    """CTEs up to ``q``, the parsed queries of ``typed``; ``house`` says which tokens are detail as house numbers."""
+    return f"""{_TOGETHER.strip()} {typed.strip()},
 split as (select query, {tokens("query")} as tk from typed),
 walk as (
-  select query, 1 as i, tk[1] as token, {HOUSE.format("tk[1]")} or {BOX.format("tk[1]")} as flag from split where len(tk) > 0
+  select query, 1 as i, tk[1] as token, {house.format("tk[1]")} or {BOX.format("tk[1]")} as flag from split where len(tk) > 0
   union all
-  select w.query, w.i + 1, s.tk[w.i + 1], {HOUSE.format("s.tk[w.i + 1]")} or {BOX.format("s.tk[w.i + 1]")}
+  select w.query, w.i + 1, s.tk[w.i + 1], {house.format("s.tk[w.i + 1]")} or {BOX.format("s.tk[w.i + 1]")}
     or (s.tk[w.i + 1] = 'b' and (w.flag or {HOUSE.format("w.token")})) or (w.flag and ({BOX.format("w.token")} or w.token = 'b'))
   from walk w join split s on w.query = s.query where w.i < len(s.tk)),
 flagged as (select query, i, token, flag and not all_flags as flag from walk join (select query as q2, bool_and(flag) as all_flags from walk group by query) on query = q2),
@@ -122,11 +138,16 @@ q as (select *, query as query_id, case when typing_locative then locative[1:len
 """
 
 
+QUERIES = _parsed(_TYPED, HOUSE)
+
+
 def _with(*parts: str, recursive: bool = False) -> str:
     return ("with recursive " if recursive else "with ") + ", ".join(p.strip().rstrip(",") for p in parts)
 
 
 _BOTH = _with(CORPUS, QUERIES, recursive=True)
+#: Numbered queries against all documents, addresses too, so house numbers are no detail.
+_ADDRESSES = _with(_docs("smpa"), _parsed(_NUMBERED, "false"), recursive=True)
 
 _FIELDS = {
     "search_text": "search_text",
@@ -201,7 +222,7 @@ def _passes(name: str, gates: str, named: str, scored: str) -> str:
 _NUMBERS = f"list_distinct(list_filter(tokens, lambda t: {NUMERIC.format('t')} and not {POSTCODE.format('t')}))"
 _UNNUMBERED = f"case when len(list_filter(locative, lambda t: not {NUMERIC.format('t')})) = 0 then locative else list_filter(locative, lambda t: not {NUMERIC.format('t')}) end"
 _NAME_DISTANCE = "list_min(list_transform(list_filter(str_split(primary_name_norm, ' '), lambda w: w <> ''), lambda w: levenshtein(target, substr(w, 1, length(target)))))"
-_ADDITIVE = _BOTH + f""", {_VOCAB},
+_ADDITIVE_STEPS = f""", {_VOCAB},
 {_passes("exact", "q", "q", "q")},
 qn as (select * replace ({_UNNUMBERED} as locative) from q where len({_NUMBERS}) > 0 and not bare_numeric and query_id not in (select query_id from exact)),
 {_passes("fewer", "qn", "qn", "qn")},
@@ -218,13 +239,14 @@ closest as (select query_id, id, l.rank_tier, pop, score * greatest(0.0, 1.0 - d
   where distance <= case when length(target) <= 5 then 1 when length(target) <= 9 then 2 else 3 end),
 ranked as (select *, row_number() over (partition by query_id order by rank_tier, round(score, 6) desc, pop desc, id) as rank from (select * from found union all select * from closest))
 """
+_ADDITIVE = _BOTH + _ADDITIVE_STEPS
 
 
 def _runs(tk: str, size: int) -> str:
     return f"list_transform(range(1, len({tk}) - {size} + 2), lambda i: array_to_string({tk}[cast(i as int):cast(i + {size - 1} as int)], ' '))"
 
 
-def _clause_sql(method: str) -> str:
+def _clause_sql(method: str, both: str = _BOTH) -> str:
     """CTEs up to ``ranked`` (query_id, id, pass, score, rank) of a clause method."""
     m = M.METHODS[method]
     words = lambda v: f"list_filter(str_split({v}, ' '), lambda w: w <> '')"
@@ -263,7 +285,7 @@ def _clause_sql(method: str) -> str:
     near_req = f"select query_id, 'fuzzy', 'search_text', {m.grams}, text, boost * (1.0 - distance / length(token)), {m.norms}, false"
     norm = f"case when norms then {1 - R.B} + {R.B} * dl / avgdl else 1.0 end"
     idf = "ln(1 + (docs - df + 0.5) / (df + 0.5))"
-    return _BOTH + f""",
+    return both + f""",
 fielded as ({fielded}),
 posted as (select field, term, id, count(*) as tf, max(dl) as dl from (select field, id, len(tk) as dl, unnest(tk) as term from fielded) group by all),
 vocab as (select field, term, count(*) as df from posted group by all),
@@ -357,7 +379,7 @@ ORACLES: dict[str, str] = {
     "classify_tokens": f"select token, {POSTCODE.format('token')} as postcode, {NUMERIC.format('token')} as numeric, {HOUSE.format('token')} as house_number, {BOX.format('token')} as box_marker from (select distinct unnest({tokens('text')}) as token from documents)",
     "title_case": f"select c_custkey, {titled('shout')} as titled, {titled('c_name')} as untouched from (select *, upper(c_name || '-le-' || c_mktsegment || '-van der aa') as shout from customer)",
     "name_distances": f"""with n as (select distinct p_name as name from part), t as (select distinct substr({norm('name')}, 1, cast(4 + length(name) % 8 as int)) as token from n)
-select token, name, cast(list_min(list_transform({tokens('name')}, lambda w: levenshtein(token, substr(w, 1, length(token))))) as bigint) as distance, cast(case when length(token) <= 5 then 1 when length(token) <= 9 then 2 else 3 end as bigint) as allowed from t join n on substr(token, 1, 1) = substr(name, 1, 1)""",
+select token, name, cast(list_min(list_transform({tokens('name')}, lambda w: levenshtein(token, substr(w, 1, length(token))))) as bigint) as distance, cast(case when length(token) <= 5 then 1 when length(token) <= 9 then 2 else 3 end as bigint) as allowed from t join n on substr(token, 1, 1) = substr(name, 1, 1) or right(token, 1) = right(name, 1)""",
     "register_filter": _with(REG) + " select r_name as region_code, postcode, count(*) as usable from cur group by 1, 2",
     "street_documents": _with(_docs("s")) + _FLAT,
     "municipality_documents": _with(CORPUS) + _FLAT + " where doc_type = 'municipality'",
@@ -429,6 +451,8 @@ select query_id, least(count(*), 1000) as total, case when count(*) > 1000 then
     "suggest_fulltext": _ADDITIVE + f" select query_id, rank, id, {FOUR} as score, pass from ranked where rank <= 10",
     "suggestion_json": _ADDITIVE + f""" select query_id, id, doc_type as type, label, street_name, postcode, post_name, municipality_name, nis_code, lat, lon, {FOUR} as score, popularity from ranked join docs using (id) where rank = 1""",
     **{f"suggest_{m}": _clause_sql(m) + f" select query_id, rank, id, {FOUR} as score, pass from ranked where rank <= 10" for m in ("edge_ngram", "prefixes", "sayt", "bool_prefix")},
+    "number_ladder_fulltext": _ADDRESSES + _ADDITIVE_STEPS + f" select query_id, rank, id, {FOUR} as score, pass from ranked where rank <= 10",
+    "number_ladder_clauses": _clause_sql("bool_prefix", _ADDRESSES) + f" select query_id, rank, id, {FOUR} as score, pass from ranked where rank <= 10",
     "recovery_ladder": _clause_sql("bool_prefix") + " select query_id, max(pass) as pass, count(*) as hits from ranked where rank <= 10 group by 1",
     "latency_summary": f"select engine, n, {_ROUNDED} from (select event_type as engine, {_STATS} from events group by 1)",
     "latency_by_query": f"select engine, query, n, {_DECIMAL} from (select event_type as engine, cast(user_id as varchar) as query, {_STATS} from events group by 1, 2)",

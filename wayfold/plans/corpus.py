@@ -166,8 +166,12 @@ def json_name(names: Column) -> Column:
 
 
 def json_address(c: Column) -> Column:
-    """The address object in the preferred language, else the first; null where there is none."""
-    by_language = F.from_json(c, "map<string,map<string,string>>")
+    """The address object in the preferred language, else the first; languages that hold anything else are passed over.
+
+    Null where no language holds an object.
+    """
+    objects = F.map_filter(F.from_json(c, "map<string,variant>"), lambda _, v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+    by_language = F.transform_values(objects, lambda _, v: v.cast("map<string,string>"))
     return F.coalesce(*(F.try_element_at(by_language, F.lit(x)) for x in LANGUAGES), F.try_element_at(F.filter(F.map_values(by_language), lambda v: v.isNotNull()), F.lit(1)))
 
 

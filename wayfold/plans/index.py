@@ -1,14 +1,23 @@
-"""Index tables out of documents: words, prefixes, shingles, completion inputs, and the statistics that scoring needs."""
+"""Index tables out of documents: words, prefixes, shingles, completion inputs, and the statistics that scoring needs.
+
+The terms of all fields stand in one sorted dictionary and are numbered in its order, so a prefix is an interval of
+numbers, looked up in a stored table of prefixes. Postings name their term by number and are bucketed and sorted by
+blocks of numbers: what a batch asks is turned into blocks, and no posting moves to meet it. Misspellings meet their
+terms through stored deletions, and each short head of a completion input has its heaviest entries beside it.
+"""
 
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import text as X
-from wayfold.sources.scratch import fresh_path, stored
+from wayfold.operators.fuzzy import STEM, Neighbours
+from wayfold.sources.scratch import exists, fresh_path, stored
 
 #: Longest edge n-gram; a longer typed prefix is looked up by its head and compared in full.
 LONGEST_GRAM = 20
@@ -17,7 +26,15 @@ COMPLETION_LENGTH, LONGEST_NAME = 50, 256
 #: Fields that only the shingle method reads: runs of two and of three words.
 SHINGLES = {"search_text_2": ("search_text", 2), "search_text_3": ("search_text", 3), "primary_name_2": ("primary_name", 2), "primary_name_3": ("primary_name", 3)}
 #: Fields whose words are also looked up by what they start with.
-OPENED = ("search_text", "primary_name", "aliases", "postcode", *SHINGLES)
+OPENED = ("search_text", "primary_name", "aliases", "postcode", "name_start", *SHINGLES)
+#: Characters of a query, so no more of a name is ever asked for.
+LONGEST_QUERY = 120
+#: Terms of a block of the dictionary, as a power of two.
+BLOCK_BITS = 8
+#: Postings of a bucket.
+BUCKET_ROWS = 4_000_000
+#: Heads of completion inputs up to so many characters have their heaviest entries stored, so many of each type.
+SHORT_HEAD, HEAVIEST = STEM + 1, 50
 
 
 def fields() -> dict[str, Column]:
@@ -39,10 +56,13 @@ def shingles(tokens: Column, size: int) -> Column:
 
 
 def field_terms() -> dict[str, Column]:
-    """The terms of every field: words, whole names (``name``: one term), and runs of words."""
+    """The terms of every field: words, whole names (``name``: one term), what names start with, and runs of words."""
     terms = {k: X.words(v) for k, v in fields().items()}
     name = F.col("primary_name_norm")
-    terms["name"] = F.when(F.length(name).between(1, LONGEST_NAME), F.array(name)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    terms["name"] = F.when(F.length(name).between(1, LONGEST_NAME), F.array(name)).otherwise(none)
+    # what names start with; addresses are not sought by it
+    terms["name_start"] = F.when((name != "") & (F.col("doc_type") != "address"), F.array(F.left(name, F.lit(LONGEST_QUERY)))).otherwise(none)
     return terms | {k: shingles(terms[f], n) for k, (f, n) in SHINGLES.items()}
 
 
@@ -91,33 +111,151 @@ def completion_entries(docs: DataFrame) -> DataFrame:
     return rows.select("doc_type", F.left(X.normalize(F.col("raw")), F.lit(COMPLETION_LENGTH)).alias("input"), "weight", "id").filter("input <> ''").distinct()
 
 
+def numbered_terms(stats: DataFrame, folder: str) -> DataFrame:
+    """``field, term, df, ord``: the dictionary in order, numbered through: each task numbers its range of terms, and the
+    ranges' sizes (a row for each task) say where it begins."""
+    ranged = stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").withColumn("m", F.monotonically_increasing_id())
+    ranged = stored(ranged, "", f"{folder}/ranged-terms")
+    part = F.shiftright("m", 33)
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    begins = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    laid = ranged.withColumn("part", part).join(F.broadcast(begins), "part").withColumn("ord", F.col("begin") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
+    return laid.select("field", "term", "df", "ord")
+
+
+def intervals(terms: DataFrame) -> DataFrame:
+    """``field, gram, lo, hi``: the numbers of the first and the last term of every prefix of up to LONGEST_GRAM characters."""
+    opened = terms.filter(F.col("field").isin(*OPENED)).select("field", F.explode(heads(F.col("term"))).alias("gram"), "ord")
+    return opened.groupBy("field", "gram").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+
+
+def block_of(number: Column) -> Column:
+    return F.shiftright(number, BLOCK_BITS)
+
+
+def _bucketed(df: DataFrame, path: str, buckets: int, by: str, *order: str) -> None:
+    """``df`` in ``buckets`` files by the hash of ``by``, each in ``order``."""
+    name = f"wayfold_{uuid.uuid4().hex}"
+    laid = df.repartition(buckets, by).sortWithinPartitions(*order)
+    laid.write.bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # an external table: its files stay
+
+
+def _open_bucketed(spark: SparkSession, path: str, buckets: int, by: str) -> DataFrame:
+    name, columns = f"wayfold_{uuid.uuid4().hex}", spark.read.parquet(path).schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 @dataclasses.dataclass
 class Index:
-    """A corpus and its index tables, stored: postings by field, sorted by term, with statistics taken after the load."""
+    """A corpus and its index tables, stored below ``folder``. Tables that only some methods read are made when they are
+    first asked for, or all at once by ``complete``."""
 
+    folder: str
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
+    prefixes: DataFrame
     fields: DataFrame
-    completions: DataFrame
+    entries: DataFrame
 
     @classmethod
     def of(cls, docs: DataFrame, names: tuple[str, ...] = (), folder: str | None = None) -> Index:
         """Builds and stores the tables of the fields in ``names`` (all by default) below ``folder`` (a fresh one by default)."""
         spark, names = docs.sparkSession, names or tuple(field_terms())
         folder = folder or fresh_path(spark, "index")
-        docs = stored(docs, "", f"{folder}/docs")
-        laid = postings(docs, *names).repartition("field", "term").sortWithinPartitions("field", "term", "id")
-        posted = stored(laid, "", f"{folder}/postings", by="field")
-        stored(term_stats(posted), "", f"{folder}/terms")
+        plain = stored(docs, "", f"{folder}/documents")
+        posted = stored(postings(plain, *names), "", f"{folder}/field-postings")
+        terms = stored(numbered_terms(term_stats(posted), folder), "", f"{folder}/terms")
         stored(field_stats(posted).coalesce(1), "", f"{folder}/fields")
-        stored(completion_entries(docs), "", f"{folder}/completions")
+        stored(intervals(terms).sort("field", "gram"), "", f"{folder}/prefixes")
+        rows = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+        laid = posted.join(terms, ["field", "term"]).select(block_of(F.col("ord")).alias("block"), "ord", "id", "tf", "dl", "df")
+        _bucketed(laid, f"{folder}/postings", buckets, "block", "block", "ord", "id")
+        _bucketed(plain.withColumn("_falling", -F.col("popularity")), f"{folder}/docs", buckets, "id", "doc_type", "_falling", "id")
+        stored(completion_entries(plain), "", f"{folder}/completions")
+        stored(spark.range(1).select(F.lit(buckets).alias("buckets")), "", f"{folder}/layout")
         return cls.open(spark, folder)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Index:
-        return cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("docs", "postings", "terms", "fields", "completions")))
+        buckets = spark.read.parquet(f"{folder}/layout").first().buckets
+        docs = _open_bucketed(spark, f"{folder}/docs", buckets, "id").drop("_falling")
+        posted = _open_bucketed(spark, f"{folder}/postings", buckets, "block")
+        return cls(folder, docs, posted, *(spark.read.parquet(f"{folder}/{t}") for t in ("terms", "prefixes", "fields", "completions")))
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.docs.sparkSession
+
+    def _made(self, name: str, make) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        if not exists(self.spark, path):
+            stored(make(), "", path)
+        return self.spark.read.parquet(path)
+
+    def neighbours(self, kind: str) -> Neighbours:
+        """What misspellings are sought among: ``words`` of the haystack, ``grams`` (these words' heads too), short ``heads``
+        of completion inputs, and whole ``inputs``."""
+        haystack = F.col("field") == "search_text"
+
+        def texts() -> DataFrame:
+            if kind == "words":
+                return self.terms.filter(haystack).select("term")
+            if kind == "grams":
+                return self.prefixes.filter(haystack).select(F.col("gram").alias("term")).union(self.terms.filter(haystack).select("term"))
+            if kind == "heads":
+                return self.head_inputs().select(F.col("head").alias("term"))
+            return self.entries.select(F.col("input").alias("term"))
+
+        made = Neighbours.of(texts())
+        return Neighbours(self._made(f"near-{kind}-variants", lambda: made.variants), self._made(f"near-{kind}-members", lambda: made.members))
+
+    def head_inputs(self) -> DataFrame:
+        """``head, input``: the inputs behind every head of up to SHORT_HEAD characters."""
+        inputs = self.entries.select("input").distinct()
+        return self._made("head-inputs", lambda: inputs.select(F.explode(heads(F.col("input"), SHORT_HEAD)).alias("head"), "input"))
+
+    def heaviest(self) -> DataFrame:
+        """``doc_type, head, input, weight, id``: of each type, the HEAVIEST entries behind every short head."""
+
+        def make() -> DataFrame:
+            each = self.entries.select("doc_type", "input", "weight", "id", F.explode(heads(F.col("input"), SHORT_HEAD)).alias("head"))
+            order = W.partitionBy("doc_type", "head").orderBy(F.desc("weight"), "id", "input")
+            return each.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= HEAVIEST).drop("n").sort("head")
+
+        return self._made("heaviest", make)
+
+    def complete(self) -> Index:
+        """Makes everything that any method reads."""
+        for kind in ("words", "grams", "heads", "inputs"):
+            self.neighbours(kind)
+        self.heaviest()
+        return self
+
+
+# ------------------------------------------------------------------ lookups
+
+UNIT = ("field", "open", "text")
+
+
+def unit_ranges(units: DataFrame, index: Index) -> DataFrame:
+    """Units (a text in a field, as a whole word or as a word's start) with the interval ``lo`` to ``hi`` of the terms they mean."""
+    asked = units.select(*UNIT).distinct()
+    whole = asked.filter("not open").join(index.terms.select("field", F.col("term").alias("text"), F.col("ord").alias("lo")), ["field", "text"]).withColumn("hi", F.col("lo"))
+    opened = asked.filter("open").withColumn("gram", F.left("text", F.lit(LONGEST_GRAM))).join(index.prefixes, ["field", "gram"]).drop("gram")
+    # the few texts longer than any stored prefix are narrowed down among the terms of its interval
+    long = opened.filter(F.length("text") > LONGEST_GRAM).withColumn("block", F.explode(F.sequence(block_of(F.col("lo")), block_of(F.col("hi")))))
+    narrow = long.join(index.terms.select(block_of(F.col("ord")).alias("block"), "ord", "term"), "block").filter(F.col("ord").between(F.col("lo"), F.col("hi")) & F.startswith("term", "text"))
+    narrow = narrow.groupBy(*UNIT).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+    columns = (*UNIT, "lo", "hi")
+    return whole.select(*columns).unionByName(opened.filter(F.length("text") <= LONGEST_GRAM).select(*columns)).unionByName(narrow.select(*columns))
+
 
-    def prefixes(self) -> DataFrame:
-        """``field, gram, term``: the heads of the terms of the fields that are looked up by prefix."""
-        return self.terms.filter(F.col("field").isin(*OPENED)).select("field", F.explode(heads(F.col("term"))).alias("gram"), "term")
+def range_postings(ranges: DataFrame, index: Index) -> DataFrame:
+    """``ranges`` by the postings of their terms: the blocks asked for go to the buckets, postings stay where they are."""
+    asked = ranges.withColumn("block", F.explode(F.sequence(block_of(F.col("lo")), block_of(F.col("hi")))))
+    return asked.join(index.postings, "block").filter(F.col("ord").between(F.col("lo"), F.col("hi")))

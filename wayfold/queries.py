@@ -11,7 +11,7 @@ from wayfold.functions import text as X
 from wayfold.operators import evaluation as E
 from wayfold.operators import ranking as R
 from wayfold.operators import retrieval as M
-from wayfold.operators.fuzzy import fuzzy_terms
+from wayfold.operators.fuzzy import Neighbours, candidate_terms, fuzzy_terms
 from wayfold.plans import corpus as C
 from wayfold.plans import index as I  # noqa: E741
 from wayfold.plans.parse import parse_queries
@@ -86,7 +86,8 @@ def name_distances(spark, sf):
     p = T.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
     # heads of 4 to 11 letters, against the names that start alike
     tokens = p.select(F.left(X.normalize(F.col("name")), 4 + F.length("name") % 8).alias("token")).distinct()
-    near = tokens.join(p, F.left("token", F.lit(1)) == F.left("name", F.lit(1)))
+    # and, so that pairs far apart are measured too, those that end alike
+    near = tokens.join(p, F.left("token", F.lit(1)) == F.left("name", F.lit(1))).union(tokens.join(p, F.right("token", F.lit(1)) == F.right("name", F.lit(1)))).distinct()
     return near.select("token", "name", X.name_distance(F.col("token"), X.normalize(F.col("name"))).cast("bigint").alias("distance"), X.max_distance(F.col("token")).cast("bigint").alias("allowed"))
 
 
@@ -186,7 +187,7 @@ def gate_fulltext(spark, sf):
 
 
 def gate_name_prefix(spark, sf):
-    return _gate_counts(M.name_prefix_gate(queries_df(spark, sf), index(spark, sf, "search_text")))
+    return _gate_counts(M.name_prefix_gate(queries_df(spark, sf), index(spark, sf, "name_start")))
 
 
 def gate_words(spark, sf):
@@ -203,19 +204,19 @@ def _hits(hits: DataFrame) -> DataFrame:
 
 
 def suggest_fulltext(spark, sf):
-    return _hits(M.suggest_fulltext(queries_df(spark, sf), index(spark, sf, "search_text")))
+    return _hits(M.suggest_fulltext(queries_df(spark, sf), index(spark, sf, "search_text", "name_start")))
 
 
 def suggest_fulltext_exact(spark, sf):
     """The exact passes alone."""
     q = queries_df(spark, sf)
-    found = M._fulltext_pass(q, index(spark, sf, "search_text"), None)
+    found = M._fulltext_pass(q, index(spark, sf, "search_text", "name_start"), None)
     return _hits(R.top_k(found.withColumn("score", F.round("score", M.PLACES)), 10))
 
 
 def score_parts(spark, sf):
     """What each part of the additive score gives each candidate of the name-prefix pass."""
-    i = index(spark, sf, "search_text")
+    i = index(spark, sf, "name_start")
     q = queries_df(spark, sf)
     rows = M.name_prefix_gate(q, i).join(R.document_side(i.docs), "id").join(R.query_side(q.select(*M._QUERY)), "query_id").withColumn("ft_score", F.lit(0.0))
     scored = R.additive_score(rows, debug=True)
@@ -236,6 +237,17 @@ def recovery_ladder(spark, sf):
     return hits.groupBy("query_id").agg(F.max("pass").alias("pass"), F.count(F.lit(1)).alias("hits"))
 
 
+def _number_ladder(method: str) -> Query:
+    """Numbered queries against an index of all documents, addresses and their house numbers too."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        asked = stored(parse_queries(T.numbered_queries(spark, sf), house_numbers_indexed=True), "queries")
+        names = ("search_text", "name_start") if method == "fulltext" else ()
+        return _hits(M.REGISTRY[method](asked, M.Index.of(C.build_corpus(usable(T.register_rows(spark, sf)), ImportOptions.level("all")), names)))
+
+    return run
+
+
 def fuzzy_relaxed(spark, sf):
     q = M.relax(queries_df(spark, sf))
     return q.select("query_id", "target", "relaxed", X.max_distance(F.col("target")).cast("bigint").alias("allowed"))
@@ -245,7 +257,7 @@ def fuzzy_vocabulary(spark, sf):
     """Vocabulary terms within the edits (exchanges included) of the tokens of the queries."""
     terms = I.postings(corpus(spark, sf), "search_text").select("term").distinct()
     tokens = queries_df(spark, sf).select(F.explode("tokens").alias("token")).distinct()
-    return fuzzy_terms(tokens, terms).withColumn("distance", F.col("distance").cast("bigint"))
+    return fuzzy_terms(tokens, Neighbours.of(terms)).withColumn("distance", F.col("distance").cast("bigint"))
 
 
 def candidate_merge(spark, sf):
@@ -342,7 +354,7 @@ def import_summary(spark, sf):
 def suggestion_json(spark, sf):
     """The first suggestion of each query as JSON, and what a reader finds in it."""
     # the first of the usual ten: a limit of one would leave out the misspelt names that a limit of ten seeks
-    out = M.response(M.suggest_fulltext(queries_df(spark, sf), index(spark, sf, "search_text")).filter("rank = 1"))
+    out = M.response(M.suggest_fulltext(queries_df(spark, sf), index(spark, sf, "search_text", "name_start")).filter("rank = 1"))
     inside = F.from_json("suggestion", "id string, type string, label string, place_name string, street_name string, house_number string, postcode string, post_name string, municipality_name string, nis_code string, coordinates struct<lat:double,lon:double>, score double, popularity bigint")
     flat_ = out.select("query_id", inside.alias("s")).select("query_id", "s.*")
     return flat_.select("query_id", "id", "type", "label", "street_name", "postcode", "post_name", "municipality_name", "nis_code", F.round("coordinates.lat", 6).alias("lat"), F.round("coordinates.lon", 6).alias("lon"), "score", "popularity")
@@ -359,4 +371,5 @@ REGISTERED: dict[str, Query] = {
         agreement_report, worst_disagreements, golden_report, verdict, rank_comparison, benchmark_long, upsert_merge, type_reset, import_summary, suggestion_json,
     )
 }
+REGISTERED |= {"number_ladder_fulltext": _number_ladder("fulltext"), "number_ladder_clauses": _number_ladder("bool_prefix")}
 REGISTERED |= {f"suggest_{m}": _suggest(m) for m in ("edge_ngram", "prefixes", "sayt", "bool_prefix", "completion")}

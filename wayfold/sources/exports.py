@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import text as X
+from wayfold.sources.quoted import read_quoted
 from wayfold.schema import PLACE_COLUMNS, PLACES, REGISTER, REGISTER_COLUMNS, ImportOptions
 
 
@@ -37,12 +38,6 @@ def distinct_paths(paths: list[str]) -> list[str]:
     return list(seen.values())
 
 
-def _csv(spark: SparkSession, path: str, schema, line_breaks: bool = False) -> DataFrame:
-    """``line_breaks``: quoted cells may hold some, so a file cannot be split."""
-    rows = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=line_breaks, enforceSchema=True)
-    return rows.withColumns({"file": F.col("_metadata.file_path"), "ord": F.monotonically_increasing_id()})
-
-
 def usable(rows: DataFrame, postcodes: tuple[str, ...] = ()) -> DataFrame:
     """Register rows that are current and have a postcode (one of ``postcodes``, if any are given) and coordinates."""
     ok = (X.trimmed(F.col("status")) == "current") & (X.trimmed(F.col("postcode")) != "") & (F.col("lat") != "") & (F.col("lon") != "")
@@ -59,7 +54,7 @@ def read_register(spark: SparkSession, paths: list[str], options: ImportOptions
     paths = distinct_paths(paths)
     for p in paths:
         check_header(spark, p, REGISTER_COLUMNS)
-    parts = [first_rows(usable(_csv(spark, p, REGISTER).fillna(""), options.postcodes), options.limit) for p in paths]
+    parts = [first_rows(usable(read_quoted(spark, p, REGISTER).fillna(""), options.postcodes), options.limit) for p in paths]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -69,7 +64,7 @@ def read_register(spark: SparkSession, paths: list[str], options: ImportOptions
 def read_places(spark: SparkSession, path: str, options: ImportOptions = ImportOptions()) -> DataFrame:
     """Raw place rows with ``file`` and ``ord``; a limit counts raw rows. Blank lines are no rows."""
     check_header(spark, path, PLACE_COLUMNS)
-    return first_rows(_csv(spark, path, PLACES, line_breaks=True), options.limit)
+    return first_rows(read_quoted(spark, path, PLACES), options.limit)
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,33 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` in full."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables stored inside are removed at the end; what is read out of them has to be read before."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            remove_path(spark, path)
+
+
 def stored(df: DataFrame, name: str, path: str | None = None, by: str | None = None) -> DataFrame:
     """``df`` written to ``path`` (a fresh one by default) and read again: what follows neither repeats nor carries its plan."""
-    path = path or fresh_path(df.sparkSession, name)
+    if path is None:
+        path = fresh_path(df.sparkSession, name)
+        if _scopes:
+            _scopes[-1].append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

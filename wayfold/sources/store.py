@@ -15,7 +15,11 @@ from wayfold.schema import TYPES
 from wayfold.sources.scratch import remove_path
 
 def merge_by_id(existing: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
-    """``existing`` with ``new`` put over it by id; of several new rows of an id the last by ``order`` counts."""
+    """``existing`` with ``new`` put over it by id; of several new rows of an id the last by ``order`` counts, or the last
+    in the order in which ``new`` is read."""
+    if order is None:
+        order = "_read"
+        new = new.withColumn(order, F.monotonically_increasing_id())
     if order:
         new = new.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(F.desc(order)))).filter("_n = 1").drop("_n", order)
     return existing.join(new.select("id"), "id", "left_anti").select(*new.columns).unionByName(new)

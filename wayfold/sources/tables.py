@@ -51,13 +51,8 @@ def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.when(k % 19 == 0, " ").otherwise(k.cast("string")).alias("place_cdbid"), name.alias("name"), F.lit(None).cast("string").alias("description"), address.alias("address"))
 
 
-def typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, query``: what people might type: parts and nations whole and half, with postcodes, numbers and slips,
-    and each part with the nation it occurs in most, each nation with its most frequent part."""
-    parts = table(spark, sf_dir, "part").select("p_name").distinct()
-    nations = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
-    half = F.left("p_name", F.length("p_name") - 2)
-    slip = F.concat(F.left("p_name", F.lit(1)), F.substr("p_name", F.lit(3), F.lit(1)), F.substr("p_name", F.lit(2), F.lit(1)), F.substr("p_name", F.lit(4)))
+def typed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p_name, n_nationkey``: each part with the nation it occurs in most, each nation with its most frequent part."""
     t = lambda n: table(spark, sf_dir, n)
     met = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     met = met.groupBy("p_name", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
@@ -65,7 +60,17 @@ def typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     # of equally frequent parts the first in the alphabet
     most = met.withColumn("most", F.max("n").over(W.partitionBy("c_nationkey"))).filter("n = most")
     by_nation = most.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("p_name").alias("p_name"))
-    pairs = by_part.unionByName(by_nation).distinct().join(nations, "n_nationkey")
+    return by_part.unionByName(by_nation).distinct()
+
+
+def typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, query``: what people might type: parts and nations whole and half, with postcodes, numbers and slips,
+    and each part with the nation it occurs in most and with the first three, each nation with its most frequent part."""
+    parts = table(spark, sf_dir, "part").select("p_name").distinct()
+    nations = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
+    half = F.left("p_name", F.length("p_name") - 2)
+    pairs = typed_pairs(spark, sf_dir).unionByName(parts.withColumn("n_nationkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))).distinct().join(nations, "n_nationkey")
+    slip = F.concat(F.left("p_name", F.lit(1)), F.substr("p_name", F.lit(3), F.lit(1)), F.substr("p_name", F.lit(2), F.lit(1)), F.substr("p_name", F.lit(4)))
     postcode = (1000 + F.col("n_nationkey") * 100).cast("string")
     made = [
         parts.select(F.col("p_name").alias("query")),
@@ -83,6 +88,20 @@ def typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct().select(F.col("query").alias("query_id"), "query")
 
 
+def numbered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, query``: streets with a house number that is there, with one that no house has (quantities end at 50),
+    with one and a slip in the name, and with a box."""
+    pairs = typed_pairs(spark, sf_dir).join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    slip = F.concat(F.left("p_name", F.lit(1)), F.substr("p_name", F.lit(3), F.lit(1)), F.substr("p_name", F.lit(2), F.lit(1)), F.substr("p_name", F.lit(4)))
+    known = (1 + F.col("n_nationkey") % 50).cast("string")
+    kinds = [("p_name", known), ("p_name", F.lit("77")), (slip, F.lit("88b")), ("p_name", F.concat(known, F.lit(" bus 5")))]
+    made = [pairs.select(F.concat_ws(" ", name, number, "n_name").alias("query")) for name, number in kinds]
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out.distinct().select(F.col("query").alias("query_id"), "query")
+
+
 def latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as measurements: the type is the engine, the user the query, the value the time taken."""
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), F.col("user_id").cast("string").alias("query"), F.col("value").alias("took_ms"), F.col("event_id").alias("iter"), "ts")
