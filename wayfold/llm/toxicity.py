@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import compact, slices, spans, string_buffer, texts_of, tidy
@@ -185,18 +184,25 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model fitted on at most ``toxic_rows`` and ``clean_rows`` labelled documents that are not held out, taken in hash
-    order, whole, as long as their texts hold ``sample_bytes`` in all.
+    order, whole; a text that would bring the bytes taken above ``sample_bytes`` is passed over and the next one tried.
 
-    The ids come from ``labels`` alone; only the texts of those few documents are gathered, in one task. Null labels are
-    left out; a doc_id labelled twice counts as toxic if any label says so; of a doc_id's several texts the least is taken.
+    The ids come from ``labels`` alone; their texts' lengths are looked at before any text travels, and only the texts
+    taken are gathered, in one task. Null labels are left out; a doc_id labelled twice counts as toxic if any label says
+    so; of a doc_id's several texts the least is taken (the longest counts against the bound).
     """
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     some = [ids.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((1, toxic_rows), (0, clean_rows))]
     wanted = some[0].unionByName(some[1])
-    rows = texts_of(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    # at most toxic_rows + clean_rows rows: one task may order them
-    so_far = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(so_far)).filter(F.col("_bytes") <= sample_bytes)
+    # at most toxic_rows + clean_rows rows of two numbers
+    texts = texts_of(docs)
+    lengths = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n"), F.max("toxic").alias("toxic"))
+    taken, room = [], sample_bytes
+    for r in lengths.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= room:
+            room -= r.n
+            taken.append((r.doc_id, r.toxic))
+    few = docs.sparkSession.createDataFrame(taken, lengths.select("doc_id", "toxic").schema)
+    rows = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int64())])).sort_by("doc_id")
