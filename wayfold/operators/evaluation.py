@@ -6,23 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayfold.plans.ordered import numbered, range_begins, ranged
+
+#: Samples of one window of a rolling figure.
+CHUNK = 1 << 16
 # What a golden expectation may start with to name a document.
 ID_PREFIXES = ("address:", "street:", "municipality:", "postcode:", "place:")
 
 
+PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+def percentiles(samples: DataFrame, keys: list[str], value: str = "took_ms", shares: dict[str, float] = PERCENTILES) -> DataFrame:
+    """Exact interpolated percentiles of each key's values, however many samples a key has.
+
+    Equal values are counted before anything moves; the distinct ones are dealt to ranges, sums over the ranges tell each
+    value which ranks it holds, and only the values that hold a wanted rank go on.
+    """
+    some = samples.filter(F.col(value).isNotNull())
+    counted = some.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    rows = ranged(counted, *keys, value)
+    inside = W.partitionBy("_range").orderBy("_in_range").rowsBetween(W.unboundedPreceding, 0)
+    held = rows.join(F.broadcast(range_begins(rows, "c")), "_range").withColumn("end", F.col("_begin") + F.sum("c").over(inside))
+    held = held.select(*keys, value, (F.col("end") - F.col("c")).alias("begin"), "end")
+    first = rows.groupBy(*keys).agg(F.sum("c").alias("n")).join(held.groupBy(*keys).agg(F.min("begin").alias("first")), keys)
+    at = F.explode(F.array(*(F.struct(F.lit(a).alias("name"), (F.lit(x) * (F.col("n") - 1)).alias("h")) for a, x in shares.items()))).alias("w")
+    wanted = first.select(*keys, "first", "n", at).select(*keys, "w.name", "w.h", F.explode(F.array(F.floor("w.h"), F.ceil("w.h"))).alias("r"), "first")
+    wanted = wanted.select(*keys, "name", "h", "r", (F.col("r") + F.col("first")).alias("rank")).distinct()
+    met = wanted.join(held, keys).filter((F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("end")))
+    low, high = F.min_by(value, "r"), F.max_by(value, "r")
+    share = F.first(F.col("h") - F.floor("h"))
+    # as Spark's own percentile interpolates
+    mixed = met.groupBy(*keys, "name").agg(F.when(F.count(F.lit(1)) == 1, low).otherwise((1 - share) * low + share * high).alias("v"))
+    return mixed.groupBy(*keys).pivot("name", list(shares)).agg(F.first("v"))
+
+
 def latency_summary(samples: DataFrame, *keys: str) -> DataFrame:
     """Count, extremes, exact interpolated percentiles, mean and sample deviation (0 for one sample) of ``took_ms``."""
-    p = F.percentile("took_ms", F.array(*(F.lit(x) for x in (0.5, 0.9, 0.95, 0.99))))
-    out = samples.groupBy(*keys).agg(F.count("took_ms").alias("n"), F.min("took_ms").alias("min_ms"), p.alias("p"), F.max("took_ms").alias("max_ms"), F.avg("took_ms").alias("mean_ms"), F.coalesce(F.stddev_samp("took_ms"), F.lit(0.0)).alias("stddev_ms"))
-    return out.select(*keys, "n", "min_ms", *(F.col("p")[i].alias(a) for i, a in enumerate(("p50", "p90", "p95", "p99"))), "max_ms", "mean_ms", "stddev_ms")
+    out = samples.groupBy(*keys).agg(F.count("took_ms").alias("n"), F.min("took_ms").alias("min_ms"), F.max("took_ms").alias("max_ms"), F.avg("took_ms").alias("mean_ms"), F.coalesce(F.stddev_samp("took_ms"), F.lit(0.0)).alias("stddev_ms"))
+    out = out.join(percentiles(samples, list(keys)), list(keys), "left")
+    return out.select(*keys, "n", "min_ms", *PERCENTILES, "max_ms", "mean_ms", "stddev_ms")
 
 
 def latency_rollup(samples: DataFrame) -> DataFrame:
-    """The summary of every engine and query, and of every engine over all queries (``query`` null), in one pass."""
-    p = F.percentile("took_ms", F.array(*(F.lit(x) for x in (0.5, 0.9, 0.95, 0.99))))
-    deviation = F.coalesce(F.stddev_samp("took_ms"), F.lit(0.0))
-    out = samples.rollup("engine", "query").agg(F.grouping_id().alias("g"), F.count("took_ms").alias("n"), F.min("took_ms").alias("min_ms"), p.alias("p"), F.max("took_ms").alias("max_ms"), F.avg("took_ms").alias("mean_ms"), deviation.alias("stddev_ms")).filter("g < 3")
-    return out.select("engine", "query", "n", "min_ms", *(F.col("p")[i].alias(a) for i, a in enumerate(("p50", "p90", "p95", "p99"))), "max_ms", "mean_ms", "stddev_ms")
+    """The summary of every engine and query, and of every engine over all queries (``query`` null)."""
+    overall = latency_summary(samples, "engine")
+    return latency_summary(samples, "engine", "query").unionByName(overall.withColumn("query", F.lit(None).cast("string")))
 
 
 def agreement(hits: DataFrame, baseline: str) -> DataFrame:
@@ -89,6 +118,13 @@ def long_format(summary: DataFrame, section: str, metrics: list[str], query: str
 
 
 def rolling_median(samples: DataFrame, last: int = 20) -> DataFrame:
-    """The median of an engine's latest samples at every sample, by ``iter``."""
-    window = W.partitionBy("engine").orderBy("iter").rowsBetween(1 - last, 0)
-    return samples.withColumn("rolling_ms", F.expr("percentile(took_ms, 0.5)").over(window))
+    """The median of an engine's latest samples at every sample, by ``iter``.
+
+    Samples are numbered through and dealt in runs of CHUNK; each run gets the ``last`` - 1 samples before it, so no
+    window holds more than a run.
+    """
+    rows = numbered(samples, "engine", "iter", name="_at").withColumn("_run", F.call_function("div", "_at", F.lit(CHUNK)))
+    carried = rows.filter(F.col("_at") % CHUNK > CHUNK - last).withColumns({"_run": F.col("_run") + 1, "_own": F.lit(False)})
+    window = W.partitionBy("engine", "_run").orderBy("_at").rowsBetween(1 - last, 0)
+    both = rows.withColumn("_own", F.lit(True)).unionByName(carried)
+    return both.withColumn("rolling_ms", F.expr("percentile(took_ms, 0.5)").over(window)).filter("_own").select(*samples.columns, "rolling_ms")

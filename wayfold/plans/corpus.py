@@ -22,15 +22,20 @@ def tier(doc_type: Column) -> Column:
     return out.otherwise(max(t for t, _, _ in TYPES.values()) + 1).cast("tinyint")
 
 
-def finish(docs: DataFrame) -> DataFrame:
-    """Missing columns as nulls, and the derived ones: haystack, primary name, tier."""
+def finish(docs: DataFrame, *more: str) -> DataFrame:
+    """Missing columns as nulls, and the derived ones: haystack, primary name, tier. Columns in ``more`` stay."""
     have = {c: F.lit(None).cast(DOCUMENT[c].dataType) for c in ("place_name", "street_name", "house_number", "box_number", "postcode", "post_name", "nis_code", "lat", "lon") if c not in docs.columns}
     docs = docs.withColumns(have) if have else docs
     parts = [F.col(c) for c in ("place_name", "street_name", "house_number", "postcode", "post_name", "municipality_name")]
     name = X.primary_name(*(F.col(c) for c in ("doc_type", "place_name", "street_name", "postcode", "municipality_name")))
     docs = docs.withColumns({"search_text": X.haystack(*parts, F.array_join("aliases", " ")), "primary_name": name})
     docs = docs.withColumns({"primary_name_norm": X.normalize(F.col("primary_name")), "rank_tier": tier(F.col("doc_type"))})
-    return docs.select(*(F.col(f.name).cast(f.dataType) for f in DOCUMENT))
+    return docs.select(*(F.col(f.name).cast(f.dataType) for f in DOCUMENT), *more)
+
+
+def _batch_order(rows: DataFrame) -> Column:
+    """Where a row stands among all rows of an import: of several documents of an id the last one counts."""
+    return F.struct(*(c for c in ("file", "ord") if c in rows.columns))
 
 
 def _cell(name: str) -> Column:
@@ -106,7 +111,7 @@ def _postcodes(p: DataFrame) -> DataFrame:
     return finish(p.select(F.concat(F.lit("postcode:"), "postcode").alias("id"), F.lit("postcode").alias("doc_type"), label.alias("label"), "postcode", "post_name", "municipality_name", F.col("municipality_id").alias("nis_code"), "lat", "lon", "popularity", other.alias("aliases")))
 
 
-def address_documents(rows: DataFrame) -> DataFrame:
+def address_documents(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """One document a row; its popularity is the number of addresses in its street.
 
     What addresses share is formatted once: the rows are counted by all that names, aliases and localities are made of,
@@ -124,12 +129,14 @@ def address_documents(rows: DataFrame) -> DataFrame:
     street = F.concat(F.col("name"), F.coalesce(F.concat(F.lit(" "), number), F.lit("")), F.coalesce(F.concat(F.lit(" bus "), box), F.lit("")))
     label = X.address_line(street, F.col("postcode"), F.col("post_name"), F.col("municipality_name"))
     ident = F.concat_ws(":", F.lit("address"), F.nullif(F.col("region_code"), F.lit("")), "address_id")
-    return finish(a.select(ident.alias("id"), F.lit("address").alias("doc_type"), label.alias("label"), F.col("name").alias("street_name"), number.alias("house_number"), box.alias("box_number"), "postcode", "post_name", "municipality_name", F.col("municipality_id").alias("nis_code"), "lat", "lon", "popularity", "aliases"))
+    more = ["batch_order"] if ordered else []
+    a = a.withColumn("batch_order", _batch_order(rows)) if ordered else a
+    return finish(a.select(*more, ident.alias("id"), F.lit("address").alias("doc_type"), label.alias("label"), F.col("name").alias("street_name"), number.alias("house_number"), box.alias("box_number"), "postcode", "post_name", "municipality_name", F.col("municipality_id").alias("nis_code"), "lat", "lon", "popularity", "aliases"), *more)
 
 
-def build_corpus(rows: DataFrame, options: ImportOptions = ImportOptions()) -> DataFrame:
+def build_corpus(rows: DataFrame, options: ImportOptions = ImportOptions(), ordered: bool = False) -> DataFrame:
     """The documents of the families that ``options`` names. Streets, municipalities and postcodes come out of one pass
-    over the rows, whose groups are stored."""
+    over the rows, whose groups are stored. With ``ordered`` also ``batch_order``, by which the last of an id counts."""
     rows = clean_cells(rows)
     parts = []
     if options.streets or options.regions:
@@ -140,8 +147,10 @@ def build_corpus(rows: DataFrame, options: ImportOptions = ImportOptions()) -> D
         if options.regions:
             parts.append(_municipalities(level("municipality").drop("municipality_id").withColumnRenamed("k_nis", "municipality_id")))
             parts.append(_postcodes(level("postcode").withColumnRenamed("k_postcode", "postcode")))
+    if ordered:
+        parts = [p.withColumn("batch_order", F.lit(None).cast(rows.select(_batch_order(rows).alias("o")).schema["o"].dataType)) for p in parts]
     if options.addresses:
-        parts.append(address_documents(rows))
+        parts.append(address_documents(rows, ordered))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -198,10 +207,12 @@ def reject_counts(judged: DataFrame) -> DataFrame:
     return judged.filter("reject_reason is not null").groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def place_documents(judged: DataFrame) -> DataFrame:
+def place_documents(judged: DataFrame, ordered: bool = False) -> DataFrame:
+    more = ["batch_order"] if ordered else []
+    judged = judged.withColumn("batch_order", _batch_order(judged)) if ordered else judged
     post_name, municipality = split_locality(F.col("place"))
     p = judged.filter("reject_reason is null").withColumns({"post": post_name, "municipality_name": municipality})
     others = F.filter(F.transform(F.map_values("names"), lambda v: X.collapse_whitespace(F.coalesce(v, F.lit("")))), lambda v: (v != "") & (v != F.col("chosen")))
     others = F.array_distinct(F.concat(others, F.filter(F.array("post", "municipality_name"), lambda v: v != "")))
     label = X.place_label(F.col("chosen"), F.col("street"), F.col("postcode"), F.col("post"), F.col("municipality_name"))
-    return finish(p.select(F.concat(F.lit("place:"), "ident").alias("id"), F.lit("place").alias("doc_type"), label.alias("label"), F.col("chosen").alias("place_name"), F.nullif("street", F.lit("")).alias("street_name"), "postcode", F.nullif("post", F.lit("")).alias("post_name"), "municipality_name", F.lit(PLACE_POPULARITY).alias("popularity"), others.alias("aliases")))
+    return finish(p.select(*more, F.concat(F.lit("place:"), "ident").alias("id"), F.lit("place").alias("doc_type"), label.alias("label"), F.col("chosen").alias("place_name"), F.nullif("street", F.lit("")).alias("street_name"), "postcode", F.nullif("post", F.lit("")).alias("post_name"), "municipality_name", F.lit(PLACE_POPULARITY).alias("popularity"), others.alias("aliases")), *more)

@@ -6,13 +6,15 @@ import dataclasses
 import resource
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from wayfold.plans.corpus import build_corpus, judge_places, place_documents, reject_counts
 from wayfold.plans.index import Index
-from wayfold.schema import ImportOptions
+from wayfold.schema import TYPES, ImportOptions
 from wayfold.sources.exports import read_places, read_register
-from wayfold.sources.store import DocumentStore, fan_out, import_summary
+from wayfold.sources.scratch import scope, stored
+from wayfold.sources.store import DocumentStore, fan_out
 
 # The document types that each kind of import replaces when it starts anew.
 REGISTER_TYPES, PLACE_TYPES = ("address", "street", "municipality", "postcode"), ("place",)
@@ -38,20 +40,16 @@ def _write(docs: DataFrame, sinks: dict[str, DocumentStore], types: tuple[str, .
     began = time.time()
 
     def put(store: DocumentStore):
-        def write(rows: DataFrame) -> None:
-            if recreate:
-                store.reset(types)
-            store.upsert(rows)
-
-        return write
-
-    docs = docs.persist()
-    try:
-        by_type = {r.doc_type: r.documents for r in import_summary(docs).collect()}  # five types at most
+        return lambda rows: store.upsert(rows, "batch_order", anew=types if recreate else ())
+
+    # the source is read once: counts are observed on the pass that stores what the sinks read
+    seen = Observation()
+    with scope(docs.sparkSession):
+        counted = docs.observe(seen, *(F.count(F.when(F.col("doc_type") == t, 1)).alias(t) for t in TYPES))
+        staged = stored(counted, "import")
+        by_type = {t: n for t, n in seen.get.items() if n}
         total = sum(by_type.values())
-        report = fan_out(docs, {name: put(store) for name, store in sinks.items()})
-    finally:
-        docs.unpersist()
+        report = fan_out(staged, {name: put(store) for name, store in sinks.items()})
     for name, entry in report.items():
         health = sinks[name].health()
         entry |= {"sent": total if entry["ok"] else 0, "stored": health["documents"], "per_second": total / max(entry["seconds"], 0.01)}
@@ -61,14 +59,14 @@ def _write(docs: DataFrame, sinks: dict[str, DocumentStore], types: tuple[str, .
 def import_register(spark: SparkSession, paths: list[str], sinks: dict[str, DocumentStore], options: ImportOptions = ImportOptions(), recreate: bool = False) -> ImportResult:
     """Headers are checked before anything is reset. With ``recreate`` all register types go first, venues stay."""
     rows = read_register(spark, paths, options)
-    return _write(build_corpus(rows, options), sinks, REGISTER_TYPES, recreate, {})
+    return _write(build_corpus(rows, options, ordered=True), sinks, REGISTER_TYPES, recreate, {})
 
 
 def import_places(spark: SparkSession, path: str, sinks: dict[str, DocumentStore], options: ImportOptions = ImportOptions(), recreate: bool = False) -> ImportResult:
     """As ``import_register``, for venues; rejected rows are counted by reason."""
     judged = judge_places(read_places(spark, path, options), options.postcodes)
     rejected = {r.reject_reason: r.rows for r in reject_counts(judged).collect()}
-    return _write(place_documents(judged), sinks, PLACE_TYPES, recreate, rejected)
+    return _write(place_documents(judged, ordered=True), sinks, PLACE_TYPES, recreate, rejected)
 
 
 def merge_results(results: list[ImportResult]) -> ImportResult:

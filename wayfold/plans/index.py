@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import text as X
 from wayfold.operators.fuzzy import STEM, Neighbours
+from wayfold.plans.ordered import numbered
 from wayfold.sources.scratch import exists, fresh_path, stored
 
 #: Longest edge n-gram; a longer typed prefix is looked up by its head and compared in full.
@@ -112,15 +113,8 @@ def completion_entries(docs: DataFrame) -> DataFrame:
 
 
 def numbered_terms(stats: DataFrame, folder: str) -> DataFrame:
-    """``field, term, df, ord``: the dictionary in order, numbered through: each task numbers its range of terms, and the
-    ranges' sizes (a row for each task) say where it begins."""
-    ranged = stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").withColumn("m", F.monotonically_increasing_id())
-    ranged = stored(ranged, "", f"{folder}/ranged-terms")
-    part = F.shiftright("m", 33)
-    sizes = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    begins = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    laid = ranged.withColumn("part", part).join(F.broadcast(begins), "part").withColumn("ord", F.col("begin") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
-    return laid.select("field", "term", "df", "ord")
+    """``field, term, df, ord``: the dictionary in order, numbered through."""
+    return numbered(stats, "field", "term", path=f"{folder}/ranged-terms").select("field", "term", "df", "ord")
 
 
 def intervals(terms: DataFrame) -> DataFrame:
