@@ -464,9 +464,9 @@ def choose_methods(names: str | None) -> list[str]:
     return [m for m in REGISTRY if m in wanted or LABELS[m][1] in wanted] or list(REGISTRY)
 
 
-def response(hits: DataFrame) -> DataFrame:
-    """A hit's outward shape as JSON: scores to four places, coordinates only where both are known."""
+def response(hits: DataFrame, *more: str) -> DataFrame:
+    """A hit's outward shape as JSON: scores to four places, coordinates only where both are known. Columns in ``more`` stay."""
     coordinates: Column = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon"))
     known = F.when(F.col("doc_type").isin(*TYPES), F.col("doc_type")).otherwise(F.raise_error(F.concat(F.lit("unknown document type "), "doc_type")).cast("string"))
     body = F.struct("id", known.alias("type"), "label", "place_name", "street_name", "house_number", "postcode", "post_name", "municipality_name", "nis_code", coordinates.alias("coordinates"), F.round("score", 4).alias("score"), "popularity")
-    return hits.select("query_id", "rank", F.to_json(body).alias("suggestion"))
+    return hits.select("query_id", "rank", F.to_json(body).alias("suggestion"), *more)

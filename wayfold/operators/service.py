@@ -13,6 +13,7 @@ from wayfold.operators import retrieval as M
 from wayfold.plans.index import Index
 from wayfold.plans.parse import parse_queries
 from wayfold.schema import TYPES, EngineConfig
+from wayfold.sources.scratch import scope
 
 # Bounds of a request.
 DEFAULT_LIMIT, MOST_LIMIT, LONGEST_QUERY = 10, 50, 120
@@ -95,11 +96,12 @@ def suggest(spark: SparkSession, request: Request, index: Index, config: EngineC
     for method in request.methods or available(config):
         began = time.time()
         try:
-            hits = run_method(method, queries, index, request, config)
-            keep = [c for c in ("parts", "debug") if c in hits.columns]
-            shown = M.response(hits).join(hits.select("query_id", "rank", *keep), ["query_id", "rank"]).orderBy("rank").collect()  # limit rows
-            took = (time.time() - began) * 1000
-            total = M.totals(candidates(method, queries, index, request)).first()
+            with scope(spark):  # what the method stores goes with the answer
+                hits = run_method(method, queries, index, request, config)
+                keep = [c for c in ("parts", "debug") if c in hits.columns]
+                shown = M.response(hits, *keep).orderBy("rank").collect()  # limit rows
+                took = (time.time() - began) * 1000
+                total = M.totals(candidates(method, queries, index, request)).first()
             found = [json.loads(r.suggestion) for r in shown]
             results[method] = {
                 "engine": method, "label": M.LABELS[method][0], "took_ms": round(took, 2), "total": max(total.total if total else 0, len(found)),
