@@ -9,8 +9,8 @@ blocks of bounded size, each block against each other, and compared inside the t
 table holds the pairs of a crowd, and no crowd lands in one task. Only the nearest neighbours in a few orders come first, so
 that a crowd of copies is one component, or a few, before it is dealt.
 
-At a similarity of 0.75 a pair agrees to LEAST_DEPTH values in a given order with probability 0.42, in none of the
-orders with probability 2e-6.
+At a similarity of 0.75 a pair agrees to LEAST_DEPTH values in a given order with probability 0.42. The orders share their
+hash functions, so they are not independent: in none of them it agrees with a probability of 8e-5, measured by drawing.
 """
 
 from __future__ import annotations
