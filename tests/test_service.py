@@ -8,6 +8,7 @@ from wayfold.operators import retrieval as M
 from wayfold.operators import service as S
 from wayfold.operators.benchmark import evaluate
 from wayfold.operators.evaluation import latency_rollup
+from wayfold.operators.single import fulltext_one
 from wayfold.plans import corpus as C
 from wayfold.plans import imports as P
 from wayfold.plans.index import Index
@@ -67,6 +68,21 @@ def test_suggest(spark, index, monkeypatch):
     assert only["suggestions"] == []
 
 
+def test_one_query_is_answered_as_in_a_batch(spark, index):
+    """Every pass, types, house numbers, ties and texts that mean nothing."""
+    asked = ["kerks", "kerkstraat", "korte kerk", "kerkstraat 77 sint job", "kerkstrat", "korte kerkstrat", "meir 1000", "10", "brus", "nowhere", "12", "", "sint", "kerkstraat " + "x" * 60]
+    for types in (None, ["street"]):
+        q = parse_queries(spark.createDataFrame([(t, t) for t in asked], "query_id string, query string"), house_numbers_indexed=True)
+        batch = {}
+        for r in M.suggest_fulltext(q, index, 3, types).collect():
+            batch.setdefault(r.query_id, []).append((r["rank"], r.id, round(r.score, 6), r["pass"]))
+        for t in asked:
+            found = fulltext_one(t, index, 3, types, house_numbers_indexed=True)
+            assert [(k, r["_id"], round(r["_score"], 6), r["_pass"]) for k, r in enumerate(found.rows, 1)] == sorted(batch.get(t, [])), t
+    assert {p for hits in batch.values() for *_, p in hits} == {"exact", "no_number", "fuzzy"}
+    assert fulltext_one("kerks", index, 1).total == 2
+
+
 def test_methods_differ_where_their_fields_do(spark, index):
     """A misspelt head of a word is near one of the n-gram method's terms, not near a whole word."""
     q = parse_queries(spark.createDataFrame([("x", "kerkstr meirr")], "query_id string, query string"))

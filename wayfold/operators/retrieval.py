@@ -105,8 +105,7 @@ def fulltext_gate(queries: DataFrame, index: Index, types: list[str] | None = No
     tokens = queries.select("query_id", "bare_numeric", F.explode(F.array_distinct(X.sanitize_tokens(F.col("locative")))).alias("text"))
     opened = F.col("bare_numeric") | ~X.is_numeric(F.col("text"))
     slots = stored(tokens.select("query_id", F.lit("search_text").alias("field"), opened.alias("open"), "text"), "slots")
-    total = index.fields.filter("field = 'search_text'").select("docs").first()  # one row
-    rare = F.log10(F.lit(total.docs if total else 1) / F.col("df"))
+    rare = F.log10(F.lit(index.haystacks) / F.col("df"))
     weight = F.when(F.length("text") >= LEAST_FULLTEXT, rare * rare * F.col("tf")).otherwise(0.0)
     hits = stored(unit_hits(slots, index, weight), "fulltext-hits")
     return meet(slots, hits, allowed_ids(index, types), "ft").withColumnRenamed("ft", "ft_score")
@@ -151,10 +150,14 @@ def suggest_fulltext(queries: DataFrame, index: Index, limit: int = 10, types: l
 
 
 def relax(queries: DataFrame) -> DataFrame:
-    """``target`` (the longest name-like token of over three letters, the last of equals) and ``relaxed``, its head."""
+    """The queries that have a ``target`` (the longest name-like token of over three letters, the last of equals) and its head, ``relaxed``."""
+    return with_relaxed(queries).filter("target is not null")
+
+
+def with_relaxed(queries: DataFrame) -> DataFrame:
     long = F.filter("locative", lambda t: (F.length(t) > LEAST_FULLTEXT) & ~X.is_numeric(t))
     ranked = F.transform(long, lambda t, i: F.struct(F.length(t).alias("n"), i.alias("i"), t.alias("t")))
-    q = queries.withColumn("target", F.array_max(ranked)["t"]).filter("target is not null")
+    q = queries.withColumn("target", F.array_max(ranked)["t"])
     return q.withColumn("relaxed", F.left("target", F.greatest(F.lit(LEAST_FULLTEXT), F.floor(F.length("target") / 2).cast("int"))))
 
 

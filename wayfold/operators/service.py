@@ -8,8 +8,10 @@ import time
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfold.operators import retrieval as M
+from wayfold.operators.single import fulltext_one
 from wayfold.plans.index import Index
 from wayfold.plans.parse import parse_queries
 from wayfold.schema import TYPES, EngineConfig
@@ -89,6 +91,14 @@ def candidates(method: str, queries: DataFrame, index: Index, request: Request)
     return M.gate(queries, index, types=types)
 
 
+def _entry(method: str, took: float, admitted: int, found: list[dict], debug: list) -> dict:
+    total = max(min(admitted, M.MOST_TOTAL), len(found))
+    return {
+        "engine": method, "label": M.LABELS[method][0], "took_ms": round(took, 2), "total": total, "relation": "gte" if admitted > M.MOST_TOTAL else "eq",
+        "count": len(found), "suggestions": found, "debug": debug,
+    }
+
+
 def suggest(spark: SparkSession, request: Request, index: Index, config: EngineConfig = EngineConfig()) -> dict:
     """``query`` and, for every method, its answer or its error: one that fails does not take the others along."""
     queries = parse_queries(spark.createDataFrame([(request.query, request.query)], "query_id string, query string"), house_numbers_indexed=config.house_numbers_indexed)
@@ -96,18 +106,20 @@ def suggest(spark: SparkSession, request: Request, index: Index, config: EngineC
     for method in request.methods or available(config):
         began = time.time()
         try:
+            if method == "fulltext":
+                answer = fulltext_one(request.query, index, request.limit, list(request.types) or None, request.fuzzy, config.tier_sort, request.explain, config.house_numbers_indexed)
+                took = (time.time() - began) * 1000
+                found = [json.loads(r.suggestion) for r in answer.rows]
+                results[method] = _entry(method, took, answer.total, found, [r["_debug"].asDict() for r in answer.rows] if request.explain else [])
+                continue
             with scope(spark):  # what the method stores goes with the answer
                 hits = run_method(method, queries, index, request, config)
                 keep = [c for c in ("parts", "debug") if c in hits.columns]
                 shown = M.response(hits, *keep).orderBy("rank").collect()  # limit rows
                 took = (time.time() - began) * 1000
-                total = M.totals(candidates(method, queries, index, request)).first()
+                total = candidates(method, queries, index, request).agg(F.count(F.lit(1)).alias("n")).first()
             found = [json.loads(r.suggestion) for r in shown]
-            results[method] = {
-                "engine": method, "label": M.LABELS[method][0], "took_ms": round(took, 2), "total": max(total.total if total else 0, len(found)),
-                "relation": total.relation if total else "eq", "count": len(found), "suggestions": found,
-                "debug": [r[c].asDict() if hasattr(r[c], "asDict") else r[c] for r in shown for c in keep],
-            }
+            results[method] = _entry(method, took, total.n if total else 0, found, [r[c] for r in shown for c in keep])
         except Exception as problem:  # an answer like any other
             results[method] = {"engine": method, "error": str(problem)[:200]}
     return {"query": request.query, "limit": request.limit, "types": list(request.types) or list(TYPES), "results": results}

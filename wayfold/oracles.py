@@ -333,13 +333,38 @@ ranked as (select *, row_number() over (partition by query_id order by rank_tier
 
 _FLAT = "select id, doc_type, label, place_name, street_name, house_number, box_number, postcode, post_name, municipality_name, nis_code, search_text, primary_name, primary_name_norm, lat, lon, popularity, aliases, rank_tier from docs"
 
-_PLACES = f"""places0 as (
-  select *, c_custkey as k, case when c_custkey % 5 = 0 then 'Old ' || n_name else '' end as post, n_name as muni, cast(1000 + c_nationkey * 100 as varchar) as pc,
-    case when c_custkey % 4 = 0 then '-' when c_custkey % 4 = 1 then n_name else c_mktsegment || ' street ' || cast(c_custkey % 50 as varchar) end as st,
-    case when c_custkey % 3 = 0 then c_mktsegment || ' Hall' else c_name end as nm
+def _first(langs: str, one: str) -> str:
+    """The first result of ``one`` (over the language ``l``) for the preferred languages, then the members in order."""
+    return f"list_filter(list_transform(['nl', 'fr', 'de', 'en'] || {langs}, lambda l: {one}), lambda v: coalesce(v, '') <> '')[1]"
+
+
+def _collapsed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+_OBJECT = "json_type({0}) = 'OBJECT'"
+_MEMBERS = "case when " + _OBJECT + " then json_keys({0}) else []::varchar[] end"
+#: The rows as they are put in, as text, and then what a JSON reader finds in them.
+_PLACES = f"""put as (
+  select c_custkey as k, c_name, case when c_custkey % 19 = 0 then ' ' else cast(c_custkey as varchar) end as ident,
+    case when c_custkey % 23 = 0 then '{{"nl":5,"de":null,"fr":"L''Été ' || c_name || '"}}' when c_custkey % 37 = 0 then '["x"]' when c_custkey % 11 = 0 then '{{}}'
+      when c_custkey % 3 = 0 then '{{"fr":"' || c_name || '","nl":"' || c_mktsegment || '  Hall"}}' else '{{"en":"' || c_name || '"}}' end as name,
+    '{{"addressCountry":"' || case when c_custkey % 7 = 0 then 'FR' else 'BE' end || '","addressLocality":"' || case when c_custkey % 5 = 0 then 'Old ' || n_name || ' (' || n_name || ')' else n_name end
+      || '","postalCode":"' || case when c_custkey % 13 = 0 then '59000' else cast(1000 + c_nationkey * 100 as varchar) end
+      || '","streetAddress":"' || case when c_custkey % 4 = 0 then '-' when c_custkey % 4 = 1 then n_name else c_mktsegment || ' street ' || cast(c_custkey % 50 as varchar) end || '"}}' as inside
   from customer join nation on c_nationkey = n_nationkey),
-places as (select *, case when k % 19 = 0 then 'unparseable' when k % 17 = 0 then 'no address' when k % 7 = 0 then 'not in belgium' when k % 13 = 0 then 'unusable postcode' when k % 11 = 0 then 'no name' end as reason,
-  case when post = '' then muni else post end as loc, {norm("st")} as fst, ' ' || {norm("nm")} || ' ' as fnm from places0)"""
+laid as (select *, case when k % 41 = 0 then '[' || inside || ']' when k % 31 = 0 then '{{"nl":[],"de":null,"pt":' || inside || ',"xx":{{}}}}' when k % 29 = 0 then '{{"nl":"-","fr":' || inside || '}}'
+  when k % 17 = 0 then '[]' else '{{"nl":' || inside || '}}' end as address from put),
+keyed as (select *, {_MEMBERS.format("name")} as nl, {_MEMBERS.format("address")} as al from laid),
+spoken as (select *, list_filter(list_transform(nl, lambda l: case when json_type(name, '$.' || l) = 'VARCHAR' then {_collapsed("json_extract_string(name, '$.' || l)")} end), lambda v: coalesce(v, '') <> '') as said,
+  coalesce({_first("nl", "case when json_type(name, '$.' || l) = 'VARCHAR' then " + _collapsed("json_extract_string(name, '$.' || l)") + " end")}, '') as nm,
+  {_first("al", "case when json_type(address, '$.' || l) = 'OBJECT' then json_extract_string(address, '$.' || l) end")} as found from keyed),
+parsed as (select *, coalesce(json_extract_string(found, '$.addressCountry'), '') as land, {_collapsed("coalesce(json_extract_string(found, '$.addressLocality'), '')")} as whole,
+  {_collapsed("coalesce(json_extract_string(found, '$.postalCode'), '')")} as pc, {_collapsed("coalesce(json_extract_string(found, '$.streetAddress'), '')")} as st from spoken),
+places as (select *, case when trim(ident) = '' then 'unparseable' when found is null then 'no address' when land <> 'BE' then 'not in belgium' when not regexp_full_match(pc, '[1-9][0-9]{{3}}') then 'unusable postcode'
+    when nm = '' then 'no name' end as reason, regexp_extract(whole, '^(.+?)\\s*\\((.+)\\)$', 1) as post, case when regexp_matches(whole, '^(.+?)\\s*\\((.+)\\)$') then regexp_extract(whole, '^(.+?)\\s*\\((.+)\\)$', 2) else whole end as muni,
+  case when post = '' then muni else post end as loc,
+  {norm("st")} as fst, ' ' || {norm("nm")} || ' ' as fnm from parsed)"""
 
 
 def _in_name(phrase: str) -> str:
@@ -394,10 +419,8 @@ select token, name, cast(list_min(list_transform({tokens('name')}, lambda w: lev
 select 'place:' || k as id, case when not ss and not sl then nm when not sl then nm || ' (' || st || ')' else nm || ' (' || case when ss then st || ', ' else '' end || pc || ' ' || loc
     || case when lower(loc) <> lower(muni) then ' (' || muni || ')' else '' end || ')' end as label,
   nm as place_name, nullif(st, '') as street_name, pc as postcode, nullif(post, '') as post_name, muni as municipality_name,
-  array_to_string(list_filter([case when k % 3 = 0 then c_name else '' end, post, muni], lambda a: a <> ''), '|') as aliases from shown""",
-    "json_name_pick": """select case when c_custkey % 19 = 0 then ' ' else cast(c_custkey as varchar) end as place_cdbid,
-  case when c_custkey % 11 = 0 then '{}' when c_custkey % 3 = 0 then '{"fr":"' || c_name || '","nl":"' || c_mktsegment || '  Hall"}' else '{"en":"' || c_name || '"}' end as name,
-  case when c_custkey % 11 = 0 then '' when c_custkey % 3 = 0 then c_mktsegment || ' Hall' else c_name end as picked from customer""",
+  array_to_string(list_filter(list_filter(said, lambda a: a <> nm) || [post, muni], lambda a: a <> ''), '|') as aliases from shown""",
+    "json_name_pick": _with(_PLACES) + " select ident as place_cdbid, name, nm as picked from places",
     "locality_split": "select n_name as locality, '' as post_name, n_name as municipality from nation union all select 'Old  ' || n_name || ' (' || n_name || ')', 'Old  ' || n_name, n_name from nation",
     "query_parse": _with(QUERIES, recursive=True) + f""" select query, array_to_string(tokens, ' ') as tokens, array_to_string(locative, ' ') as locative, array_to_string(detail, ' ') as detail,
   array_to_string({ordered_distinct(f"list_filter(tokens, lambda t: {NUMERIC.format('t')} and not {POSTCODE.format('t')})")}, ' ') as number_tokens,

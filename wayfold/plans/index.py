@@ -9,6 +9,7 @@ terms through stored deletions, and each short head of a completion input has it
 from __future__ import annotations
 
 import dataclasses
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -185,6 +186,12 @@ class Index:
     def spark(self) -> SparkSession:
         return self.docs.sparkSession
 
+    @functools.cached_property
+    def haystacks(self) -> int:
+        """How many documents have a haystack."""
+        found = self.fields.filter("field = 'search_text'").select("docs").first()
+        return found.docs if found else 1
+
     def _made(self, name: str, make) -> DataFrame:
         path = f"{self.folder}/{name}"
         if not exists(self.spark, path):

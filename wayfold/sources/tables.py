@@ -39,15 +39,21 @@ def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as venues with JSON names and addresses, some of them unusable in each of the ways that are told apart."""
+    """Customers as venues with JSON names and addresses, some of them unusable in each of the ways that are told apart, and
+    some whose preferred language holds no text or no object."""
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("c_custkey")
     name = F.when(k % 11 == 0, "{}").when(k % 3 == 0, F.to_json(F.struct(F.col("c_name").alias("fr"), F.concat(F.col("c_mktsegment"), F.lit("  Hall")).alias("nl")))).otherwise(F.to_json(F.struct(F.col("c_name").alias("en"))))
+    name = F.when(k % 23 == 0, F.concat(F.lit('{"nl":5,"de":null,"fr":"L\'Éte\u0301 '), "c_name", F.lit('"}'))).when(k % 37 == 0, F.lit('["x"]')).otherwise(name)
     country = F.when(k % 7 == 0, "FR").otherwise("BE")
     postcode = F.when(k % 13 == 0, F.lit("59000")).otherwise((1000 + F.col("c_nationkey") * 100).cast("string"))
     locality = F.when(k % 5 == 0, F.concat(F.lit("Old "), "n_name", F.lit(" ("), "n_name", F.lit(")"))).otherwise(F.col("n_name"))
     street = F.when(k % 4 == 0, "-").when(k % 4 == 1, F.col("n_name")).otherwise(F.concat(F.col("c_mktsegment"), F.lit(" street "), (k % 50).cast("string")))
     address = F.when(k % 17 == 0, "[]").otherwise(F.to_json(F.struct(F.struct(country.alias("addressCountry"), locality.alias("addressLocality"), postcode.alias("postalCode"), street.alias("streetAddress")).alias("nl"))))
+    inside = F.to_json(F.struct(country.alias("addressCountry"), locality.alias("addressLocality"), postcode.alias("postalCode"), street.alias("streetAddress")))
+    odd = [(29, '{"nl":"-","fr":', "}"), (31, '{"nl":[],"de":null,"pt":', ',"xx":{}}'), (41, "[", "]")]
+    for n, before, behind in odd:
+        address = F.when(k % n == 0, F.concat(F.lit(before), inside, F.lit(behind))).otherwise(address)
     return rows.select(F.when(k % 19 == 0, " ").otherwise(k.cast("string")).alias("place_cdbid"), name.alias("name"), F.lit(None).cast("string").alias("description"), address.alias("address"))
 
 
