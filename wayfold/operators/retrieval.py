@@ -41,6 +41,8 @@ def unit_hits(units: DataFrame, index: Index, weight: Column | None = None) -> D
     With ``weight`` (of a posting's ``tf``, ``df``) also ``ft``, its sum.
     """
     rows = range_postings(unit_ranges(units, index), index)
+    if weight is not None:
+        rows = index.with_df(rows)
     more = [] if weight is None else [F.sum(weight).alias("ft")]
     return rows.groupBy(*UNIT, "id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"), *more)
 
@@ -283,9 +285,9 @@ def phrase_scores(queries: DataFrame, pairs: DataFrame, index: Index) -> DataFra
     terms = index.terms.filter(name).select("term", "df")
     whole = asked.select("query_id", F.posexplode("words").alias("k", "term")).join(terms, "term").select("query_id", "df")
     lasts = asked.select(F.lit("primary_name").alias("field"), F.lit(True).alias("open"), F.col("token").alias("text")).distinct()
-    # numbers follow the alphabet, so the first terms of an interval are the first in it
-    few = unit_ranges(lasts, index).select(F.col("text").alias("token"), F.explode(F.sequence("lo", F.least(F.col("hi"), F.col("lo") + (PHRASE_EXPANSIONS - 1)))).alias("ord"))
-    opened = few.join(index.terms.select("ord", "df"), "ord").select("token", "df")
+    # places follow the alphabet, so the first terms of an interval are the first in it
+    few = unit_ranges(lasts, index).select(F.col("text").alias("token"), F.explode(F.sequence("first", F.least(F.col("last"), F.col("first") + (PHRASE_EXPANSIONS - 1)))).alias("pos"))
+    opened = few.join(index.terms.select("pos", "df"), "pos").select("token", "df")
     rare = whole.unionByName(asked.select("query_id", "token").join(opened, "token").select("query_id", "df"))
     rarity = rare.crossJoin(F.broadcast(stats)).groupBy("query_id").agg(F.sum(idf(F.col("docs"), F.col("df"))).alias("rarity"))
     named = pairs.join(index.docs.select("id", "primary_name_norm"), "id").join(asked.select("query_id", "normalized"), "query_id")

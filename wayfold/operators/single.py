@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import text as X
 from wayfold.operators import retrieval as M
 from wayfold.operators.ranking import FUZZY_PENALTY, additive_score, document_side, query_side
-from wayfold.plans.index import BLOCK_BITS, LONGEST_GRAM, UNIT, Index, unit_ranges
+from wayfold.plans.index import BLOCK_BITS, LONGEST_GRAM, ROOM_BITS, UNIT, Index, unit_ranges
 from wayfold.plans.parse import parse_queries, without_numbers
 
 #: Blocks that are named one by one; more of them are named by their ends.
@@ -44,7 +44,7 @@ def lookup(index: Index, units: list[Unit]) -> dict[Unit, tuple[int, int]]:
     long = [u for u in units if u not in short]
     every = terms.unionByName(heads)
     if long:
-        every = every.unionByName(unit_ranges(index.spark.createDataFrame(long, "field string, open boolean, text string"), index))
+        every = every.unionByName(unit_ranges(index.spark.createDataFrame(long, "field string, open boolean, text string"), index).select(*UNIT, "lo", "hi"))
     return {(r.field, r.open, r.text): (r.lo, r.hi) for r in every.collect()}  # a row a unit
 
 
@@ -56,7 +56,8 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def _blocks(ranges: list[tuple[int, int]]) -> Column:
-    ends = [(lo >> BLOCK_BITS, hi >> BLOCK_BITS) for lo, hi in ranges]
+    shift = ROOM_BITS + BLOCK_BITS
+    ends = [(lo >> shift, hi >> shift) for lo, hi in ranges]
     if sum(b - a + 1 for a, b in ends) <= MOST_BLOCKS:
         return F.col("block").isin(*sorted({b for a, z in ends for b in range(a, z + 1)}))
     return _any([F.col("block").between(a, b) for a, b in ends])

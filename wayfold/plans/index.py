@@ -4,6 +4,9 @@ The terms of all fields stand in one sorted dictionary and are numbered in its o
 numbers, looked up in a stored table of prefixes. Postings name their term by number and are bucketed and sorted by
 blocks of numbers: what a batch asks is turned into blocks, and no posting moves to meet it. Misspellings meet their
 terms through stored deletions, and each short head of a completion input has its heaviest entries beside it.
+
+An index is a list of segments under one dictionary. A build makes the first; an update (``plans.updates``) adds one more
+and leaves the others as they are. The numbers of a dictionary stand apart, so new terms find theirs between them.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ SHINGLES = {"search_text_2": ("search_text", 2), "search_text_3": ("search_text"
 OPENED = ("search_text", "primary_name", "aliases", "postcode", "name_start", *SHINGLES)
 #: Characters of a query, so no more of a name is ever asked for.
 LONGEST_QUERY = 120
-#: Terms of a block of the dictionary, as a power of two.
-BLOCK_BITS = 8
+#: Numbers from one term of a new dictionary to the next, and terms of a block of it, as powers of two.
+ROOM_BITS, BLOCK_BITS = 20, 8
 #: Postings of a bucket.
 BUCKET_ROWS = 4_000_000
 #: Heads of completion inputs up to so many characters have their heaviest entries stored, so many of each type.
@@ -83,10 +86,19 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def field_sums(posted: DataFrame) -> DataFrame:
+    """``field, docs, total``: documents that have the field and the sum of its lengths; sums of parts can be added."""
+    lengths = posted.groupBy("field", "id").agg(F.max("dl").alias("dl"))
+    return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.sum("dl").alias("total"))
+
+
 def field_stats(posted: DataFrame) -> DataFrame:
     """``field, docs, avgdl``: documents that have the field and its mean length."""
-    lengths = posted.groupBy("field", "id").agg(F.max("dl").alias("dl"))
-    return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+    return with_mean(field_sums(posted)).drop("total")
+
+
+def with_mean(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("avgdl", F.col("total") / F.col("docs"))
 
 
 def heads(term: Column, longest: int = LONGEST_GRAM) -> Column:
@@ -114,18 +126,26 @@ def completion_entries(docs: DataFrame) -> DataFrame:
 
 
 def numbered_terms(stats: DataFrame, folder: str) -> DataFrame:
-    """``field, term, df, ord``: the dictionary in order, numbered through."""
-    return numbered(stats, "field", "term", path=f"{folder}/ranged-terms").select("field", "term", "df", "ord")
+    """``field, term, df, ord, pos, changed``: the dictionary in order, each term's place in it, and its number, which leaves
+    room for others; ``changed`` tells terms whose ``df`` is no longer what stands beside the postings: none yet."""
+    terms = numbered(stats, "field", "term", name="pos", path=f"{folder}/ranged-terms")
+    return terms.select("field", "term", "df", F.shiftleft(F.col("pos") + 1, ROOM_BITS).alias("ord"), "pos", F.lit(False).alias("changed"))
 
 
 def intervals(terms: DataFrame) -> DataFrame:
-    """``field, gram, lo, hi``: the numbers of the first and the last term of every prefix of up to LONGEST_GRAM characters."""
-    opened = terms.filter(F.col("field").isin(*OPENED)).select("field", F.explode(heads(F.col("term"))).alias("gram"), "ord")
-    return opened.groupBy("field", "gram").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+    """``field, gram, lo, hi, first, last``: the numbers of the first and the last term of every prefix of up to LONGEST_GRAM
+    characters, and their places."""
+    opened = terms.filter(F.col("field").isin(*OPENED)).select("field", F.explode(heads(F.col("term"))).alias("gram"), "ord", "pos")
+    return opened.groupBy("field", "gram").agg(*_ends())
+
+
+def _ends() -> list[Column]:
+    """The ends of an interval, by number and by place."""
+    return [F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.min("pos").alias("first"), F.max("pos").alias("last")]
 
 
 def block_of(number: Column) -> Column:
-    return F.shiftright(number, BLOCK_BITS)
+    return F.shiftright(number, ROOM_BITS + BLOCK_BITS)
 
 
 def _bucketed(df: DataFrame, path: str, buckets: int, by: str, *order: str) -> None:
@@ -143,18 +163,57 @@ def _open_bucketed(spark: SparkSession, path: str, buckets: int, by: str) -> Dat
     return spark.table(name)
 
 
-@dataclasses.dataclass
-class Index:
-    """A corpus and its index tables, stored below ``folder``. Tables that only some methods read are made when they are
-    first asked for, or all at once by ``complete``."""
+def buckets_of(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+
+def write_segment(docs: DataFrame, posted: DataFrame, terms: DataFrame, rows: int, folder: str) -> int:
+    """The documents, the postings (``rows`` of them) under their terms' numbers and the completion inputs below ``folder``,
+    in as many buckets as are returned."""
+    buckets = buckets_of(docs.sparkSession, rows)
+    laid = posted.join(terms, ["field", "term"]).select(block_of(F.col("ord")).alias("block"), "ord", "id", "tf", "dl", "df")
+    _bucketed(laid, f"{folder}/postings", buckets, "block", "block", "ord", "id")
+    _bucketed(docs.withColumn("_falling", -F.col("popularity")), f"{folder}/docs", buckets, "id", "doc_type", "_falling", "id")
+    stored(completion_entries(docs), "", f"{folder}/completions")
+    return buckets
+
+
+@dataclasses.dataclass(frozen=True)
+class Segment:
+    """What a build or an update added. ``gone``: the ids that later updates replaced or took out."""
 
     folder: str
+    buckets: int
     docs: DataFrame
     postings: DataFrame
+    entries: DataFrame
+    gone: DataFrame | None
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, buckets: int, gone: DataFrame | None) -> Segment:
+        docs = _open_bucketed(spark, f"{folder}/docs", buckets, "id").drop("_falling")
+        return cls(folder, buckets, docs, _open_bucketed(spark, f"{folder}/postings", buckets, "block"), spark.read.parquet(f"{folder}/completions"), gone)
+
+    def alive(self, rows: DataFrame) -> DataFrame:
+        """Those of ``rows`` whose ``id`` still counts here."""
+        if self.gone is None:
+            return rows
+        # an anti-join would be moved below the join that finds the rows, and ask for all postings by id
+        return rows.join(self.gone.withColumn("_gone", F.lit(True)), "id", "left").filter("_gone is null").drop("_gone")
+
+
+@dataclasses.dataclass
+class Index:
+    """A corpus and its index tables: segments, and the dictionary, prefixes and field statistics of all of them below
+    ``folder``. Tables that only some methods read are made when they are first asked for, or all at once by ``complete``."""
+
+    folder: str
+    names: tuple[str, ...]
+    segments: tuple[Segment, ...]
     terms: DataFrame
     prefixes: DataFrame
     fields: DataFrame
-    entries: DataFrame
+    gone: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, names: tuple[str, ...] = (), folder: str | None = None) -> Index:
@@ -162,25 +221,57 @@ class Index:
         spark, names = docs.sparkSession, names or tuple(field_terms())
         folder = folder or fresh_path(spark, "index")
         plain = stored(docs, "", f"{folder}/documents")
-        posted = stored(postings(plain, *names), "", f"{folder}/field-postings")
+        return cls.laid(plain, stored(postings(plain, *names), "", f"{folder}/field-postings"), names, folder)
+
+    @classmethod
+    def laid(cls, docs: DataFrame, posted: DataFrame, names: tuple[str, ...], folder: str) -> Index:
+        """The index of stored ``docs`` and their stored postings, in one segment."""
+        spark = docs.sparkSession
         terms = stored(numbered_terms(term_stats(posted), folder), "", f"{folder}/terms")
-        stored(field_stats(posted).coalesce(1), "", f"{folder}/fields")
-        stored(intervals(terms).sort("field", "gram"), "", f"{folder}/prefixes")
         rows = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
-        laid = posted.join(terms, ["field", "term"]).select(block_of(F.col("ord")).alias("block"), "ord", "id", "tf", "dl", "df")
-        _bucketed(laid, f"{folder}/postings", buckets, "block", "block", "ord", "id")
-        _bucketed(plain.withColumn("_falling", -F.col("popularity")), f"{folder}/docs", buckets, "id", "doc_type", "_falling", "id")
-        stored(completion_entries(plain), "", f"{folder}/completions")
-        stored(spark.range(1).select(F.lit(buckets).alias("buckets")), "", f"{folder}/layout")
+        buckets = write_segment(docs, posted, terms, rows, folder)
+        return cls.commit(spark, folder, names, [(folder, buckets)], terms, field_sums(posted))
+
+    @classmethod
+    def commit(cls, spark: SparkSession, folder: str, names: tuple[str, ...], segments: list[tuple[str, int]], terms: DataFrame, sums: DataFrame) -> Index:
+        """Writes what lookups read of all segments, the layout last: an index without it is not there."""
+        stored(with_mean(sums).coalesce(1), "", f"{folder}/fields")
+        stored(intervals(terms).sort("field", "gram"), "", f"{folder}/prefixes")
+        layout = spark.createDataFrame([(list(names), segments)], "names array<string>, segments array<struct<folder:string,buckets:int>>")
+        stored(layout.coalesce(1), "", f"{folder}/layout")
         return cls.open(spark, folder)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Index:
-        buckets = spark.read.parquet(f"{folder}/layout").first().buckets
-        docs = _open_bucketed(spark, f"{folder}/docs", buckets, "id").drop("_falling")
-        posted = _open_bucketed(spark, f"{folder}/postings", buckets, "block")
-        return cls(folder, docs, posted, *(spark.read.parquet(f"{folder}/{t}") for t in ("terms", "prefixes", "fields", "completions")))
+        layout = spark.read.parquet(f"{folder}/layout").first()
+        last = len(layout.segments) - 1
+        gone = spark.read.parquet(f"{folder}/gone") if last else None
+        dead = lambda k: gone.filter(F.col("segment") >= k).select("id") if k < last else None
+        segments = tuple(Segment.open(spark, s.folder, s.buckets, dead(k)) for k, s in enumerate(layout.segments))
+        return cls(folder, tuple(layout.names), segments, *(spark.read.parquet(f"{folder}/{t}") for t in ("terms", "prefixes", "fields")), gone)
+
+    def _of_all(self, rows) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, (s.alive(rows(s)) for s in self.segments))
+
+    @functools.cached_property
+    def docs(self) -> DataFrame:
+        return self._of_all(lambda s: s.docs)
+
+    @functools.cached_property
+    def entries(self) -> DataFrame:
+        return self._of_all(lambda s: s.entries)
+
+    @functools.cached_property
+    def postings(self) -> DataFrame:
+        """``block, ord, id, tf, dl, df`` of all segments."""
+        return self.with_df(self._of_all(lambda s: s.postings))
+
+    def with_df(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of postings with the ``df`` of now: segments keep what it was when they were written."""
+        if len(self.segments) == 1:
+            return rows
+        changed = self.terms.filter("changed").select("ord", F.col("df").alias("_df"))
+        return rows.join(changed, "ord", "left").withColumn("df", F.coalesce("_df", "df")).drop("_df")
 
     @property
     def spark(self) -> SparkSession:
@@ -244,19 +335,22 @@ UNIT = ("field", "open", "text")
 
 
 def unit_ranges(units: DataFrame, index: Index) -> DataFrame:
-    """Units (a text in a field, as a whole word or as a word's start) with the interval ``lo`` to ``hi`` of the terms they mean."""
+    """Units (a text in a field, as a whole word or as a word's start) with the interval ``lo`` to ``hi`` of the terms they
+    mean, by number, and ``first`` to ``last``, by place."""
     asked = units.select(*UNIT).distinct()
-    whole = asked.filter("not open").join(index.terms.select("field", F.col("term").alias("text"), F.col("ord").alias("lo")), ["field", "text"]).withColumn("hi", F.col("lo"))
+    terms = index.terms.select("field", F.col("term").alias("text"), F.col("ord").alias("lo"), F.col("pos").alias("first"))
+    whole = asked.filter("not open").join(terms, ["field", "text"]).withColumns({"hi": F.col("lo"), "last": F.col("first")})
     opened = asked.filter("open").withColumn("gram", F.left("text", F.lit(LONGEST_GRAM))).join(index.prefixes, ["field", "gram"]).drop("gram")
     # the few texts longer than any stored prefix are narrowed down among the terms of its interval
     long = opened.filter(F.length("text") > LONGEST_GRAM).withColumn("block", F.explode(F.sequence(block_of(F.col("lo")), block_of(F.col("hi")))))
-    narrow = long.join(index.terms.select(block_of(F.col("ord")).alias("block"), "ord", "term"), "block").filter(F.col("ord").between(F.col("lo"), F.col("hi")) & F.startswith("term", "text"))
-    narrow = narrow.groupBy(*UNIT).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
-    columns = (*UNIT, "lo", "hi")
+    narrow = long.join(index.terms.select(block_of(F.col("ord")).alias("block"), "ord", "pos", "term"), "block").filter(F.col("ord").between(F.col("lo"), F.col("hi")) & F.startswith("term", "text"))
+    narrow = narrow.groupBy(*UNIT).agg(*_ends())
+    columns = (*UNIT, "lo", "hi", "first", "last")
     return whole.select(*columns).unionByName(opened.filter(F.length("text") <= LONGEST_GRAM).select(*columns)).unionByName(narrow.select(*columns))
 
 
 def range_postings(ranges: DataFrame, index: Index) -> DataFrame:
     """``ranges`` by the postings of their terms: the blocks asked for go to the buckets, postings stay where they are."""
     asked = ranges.withColumn("block", F.explode(F.sequence(block_of(F.col("lo")), block_of(F.col("hi")))))
-    return asked.join(index.postings, "block").filter(F.col("ord").between(F.col("lo"), F.col("hi")))
+    within = F.col("ord").between(F.col("lo"), F.col("hi"))
+    return functools.reduce(DataFrame.unionByName, (s.alive(asked.join(s.postings, "block").filter(within)) for s in index.segments))
