@@ -495,3 +495,5 @@ select 'latency_overall' as section, engine, '' as query, metric, value from (se
     "type_reset": _with(CORPUS) + " select doc_type, count(*) as documents from docs where doc_type <> 'street' group by 1",
     "import_summary": _with(_docs("smpa")) + " select doc_type, count(*) as documents from docs group by 1",
 }
+# however an index came about, it answers as one of all documents does
+ORACLES |= {f"updated_{q}": ORACLES[q] for q in ("term_stats", "field_stats", "suggest_fulltext", "suggest_bool_prefix")} | {"compacted_suggest_completion": ORACLES["suggest_completion"]}

@@ -156,10 +156,9 @@ def _bucketed(df: DataFrame, path: str, buckets: int, by: str, *order: str) -> N
     df.sparkSession.sql(f"DROP TABLE {name}")  # an external table: its files stay
 
 
-def _open_bucketed(spark: SparkSession, path: str, buckets: int, by: str) -> DataFrame:
-    name, columns = f"wayfold_{uuid.uuid4().hex}", spark.read.parquet(path).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
-    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+def _open_bucketed(spark: SparkSession, path: str, buckets: int, by: str, columns: str) -> DataFrame:
+    name = f"wayfold_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(name)
 
 
@@ -167,15 +166,19 @@ def buckets_of(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
 
 
-def write_segment(docs: DataFrame, posted: DataFrame, terms: DataFrame, rows: int, folder: str) -> int:
-    """The documents, the postings (``rows`` of them) under their terms' numbers and the completion inputs below ``folder``,
-    in as many buckets as are returned."""
+#: The columns of stored postings.
+_POSTING = "block bigint, ord bigint, id string, tf bigint, dl bigint, df bigint"
+
+
+def write_segment(docs: DataFrame, posted: DataFrame, terms: DataFrame, rows: int, folder: str) -> tuple[str, int, str]:
+    """The documents, the postings (``rows`` of them) under their terms' numbers and the completion inputs below ``folder``;
+    returned are the folder, the buckets and the documents' columns, which files of an empty table would not tell."""
     buckets = buckets_of(docs.sparkSession, rows)
     laid = posted.join(terms, ["field", "term"]).select(block_of(F.col("ord")).alias("block"), "ord", "id", "tf", "dl", "df")
     _bucketed(laid, f"{folder}/postings", buckets, "block", "block", "ord", "id")
     _bucketed(docs.withColumn("_falling", -F.col("popularity")), f"{folder}/docs", buckets, "id", "doc_type", "_falling", "id")
     stored(completion_entries(docs), "", f"{folder}/completions")
-    return buckets
+    return folder, buckets, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -184,15 +187,17 @@ class Segment:
 
     folder: str
     buckets: int
+    columns: str
     docs: DataFrame
     postings: DataFrame
     entries: DataFrame
     gone: DataFrame | None
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, buckets: int, gone: DataFrame | None) -> Segment:
-        docs = _open_bucketed(spark, f"{folder}/docs", buckets, "id").drop("_falling")
-        return cls(folder, buckets, docs, _open_bucketed(spark, f"{folder}/postings", buckets, "block"), spark.read.parquet(f"{folder}/completions"), gone)
+    def open(cls, spark: SparkSession, folder: str, buckets: int, columns: str, gone: DataFrame | None) -> Segment:
+        docs = _open_bucketed(spark, f"{folder}/docs", buckets, "id", f"{columns}, `_falling` bigint").drop("_falling")
+        posted = _open_bucketed(spark, f"{folder}/postings", buckets, "block", _POSTING)
+        return cls(folder, buckets, columns, docs, posted, spark.read.parquet(f"{folder}/completions"), gone)
 
     def alive(self, rows: DataFrame) -> DataFrame:
         """Those of ``rows`` whose ``id`` still counts here."""
@@ -229,15 +234,14 @@ class Index:
         spark = docs.sparkSession
         terms = stored(numbered_terms(term_stats(posted), folder), "", f"{folder}/terms")
         rows = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-        buckets = write_segment(docs, posted, terms, rows, folder)
-        return cls.commit(spark, folder, names, [(folder, buckets)], terms, field_sums(posted))
+        return cls.commit(spark, folder, names, [write_segment(docs, posted, terms, rows, folder)], terms, field_sums(posted))
 
     @classmethod
-    def commit(cls, spark: SparkSession, folder: str, names: tuple[str, ...], segments: list[tuple[str, int]], terms: DataFrame, sums: DataFrame) -> Index:
+    def commit(cls, spark: SparkSession, folder: str, names: tuple[str, ...], segments: list[tuple[str, int, str]], terms: DataFrame, sums: DataFrame) -> Index:
         """Writes what lookups read of all segments, the layout last: an index without it is not there."""
         stored(with_mean(sums).coalesce(1), "", f"{folder}/fields")
         stored(intervals(terms).sort("field", "gram"), "", f"{folder}/prefixes")
-        layout = spark.createDataFrame([(list(names), segments)], "names array<string>, segments array<struct<folder:string,buckets:int>>")
+        layout = spark.createDataFrame([(list(names), segments)], "names array<string>, segments array<struct<folder:string,buckets:int,columns:string>>")
         stored(layout.coalesce(1), "", f"{folder}/layout")
         return cls.open(spark, folder)
 
@@ -247,7 +251,7 @@ class Index:
         last = len(layout.segments) - 1
         gone = spark.read.parquet(f"{folder}/gone") if last else None
         dead = lambda k: gone.filter(F.col("segment") >= k).select("id") if k < last else None
-        segments = tuple(Segment.open(spark, s.folder, s.buckets, dead(k)) for k, s in enumerate(layout.segments))
+        segments = tuple(Segment.open(spark, s.folder, s.buckets, s.columns, dead(k)) for k, s in enumerate(layout.segments))
         return cls(folder, tuple(layout.names), segments, *(spark.read.parquet(f"{folder}/{t}") for t in ("terms", "prefixes", "fields")), gone)
 
     def _of_all(self, rows) -> DataFrame:

@@ -82,8 +82,7 @@ def updated(index: Index, new: DataFrame, gone: DataFrame | None = None, folder:
         if index.gone is not None:
             dead = dead.unionByName(index.gone).groupBy("id").agg(F.max("segment").alias("segment"))
         stored(dead, "", f"{folder}/gone")
-        buckets = write_segment(new, added, terms, added.count(), folder)
-        segments = [*((s.folder, s.buckets) for s in index.segments), (folder, buckets)]
+        segments = [*((s.folder, s.buckets, s.columns) for s in index.segments), write_segment(new, added, terms, added.count(), folder)]
         return Index.commit(spark, folder, index.names, segments, terms, changed_sums(index, added, lost))
 
 

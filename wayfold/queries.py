@@ -15,6 +15,7 @@ from wayfold.operators.fuzzy import Neighbours, candidate_terms, fuzzy_terms
 from wayfold.plans import corpus as C
 from wayfold.plans import index as I  # noqa: E741
 from wayfold.plans.parse import parse_queries
+from wayfold.plans.updates import compacted, updated
 from wayfold.schema import ImportOptions
 from wayfold.sources import store as S
 from wayfold.sources import tables as T
@@ -248,6 +249,42 @@ def _number_ladder(method: str) -> Query:
     return run
 
 
+def updated_index(spark: SparkSession, sf: str, *names: str) -> M.Index:
+    """The street-level index after two updates: built of streets with their localities left out and of postcodes under
+    ids that are taken out again; then postcodes and half of the streets come as they are, then the other half and the municipalities."""
+    docs = stored(corpus(spark, sf), "corpus")
+    street, early = F.col("doc_type") == "street", F.coalesce(F.col("street_name") < "m", F.lit(False))
+    outdated = C.finish(docs.filter(street).withColumns({"municipality_name": F.lit("elsewhere"), "post_name": F.lit(None).cast("string")})).select(*docs.columns)
+    extra = docs.filter("doc_type = 'postcode'").withColumn("id", F.concat(F.lit("old:"), "id"))
+    first = M.Index.of(outdated.unionByName(extra), names)
+    second = updated(first, docs.filter((street & early) | (F.col("doc_type") == "postcode")), extra.select("id"))
+    return updated(second, docs.filter((street & ~early) | (F.col("doc_type") == "municipality")))
+
+
+def updated_term_stats(spark, sf):
+    """What the dictionary says after updates."""
+    return updated_index(spark, sf, *I.fields()).terms.select("field", "term", "df")
+
+
+def updated_field_stats(spark, sf):
+    return updated_index(spark, sf, *I.fields()).fields.select("field", "docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def updated_suggest_fulltext(spark, sf):
+    """The additive method over three segments."""
+    return _hits(M.suggest_fulltext(queries_df(spark, sf), updated_index(spark, sf, "search_text", "name_start")))
+
+
+def updated_suggest_bool_prefix(spark, sf):
+    """A clause method over three segments."""
+    return _hits(M.REGISTRY["bool_prefix"](queries_df(spark, sf), updated_index(spark, sf)))
+
+
+def compacted_suggest_completion(spark, sf):
+    """Completion after the segments became one."""
+    return _hits(M.suggest_completion(queries_df(spark, sf), compacted(updated_index(spark, sf, "search_text"))))
+
+
 def fuzzy_relaxed(spark, sf):
     q = M.relax(queries_df(spark, sf))
     return q.select("query_id", "target", "relaxed", X.max_distance(F.col("target")).cast("bigint").alias("allowed"))
@@ -369,6 +406,7 @@ REGISTERED: dict[str, Query] = {
         gate_fulltext, gate_name_prefix, gate_words, gate_totals, suggest_fulltext, suggest_fulltext_exact, score_parts, recovery_ladder, fuzzy_relaxed,
         fuzzy_vocabulary, candidate_merge, function_score, tier_topk, latency_summary, latency_by_query, latency_windows, rolling_median, spearman,
         agreement_report, worst_disagreements, golden_report, verdict, rank_comparison, benchmark_long, upsert_merge, type_reset, import_summary, suggestion_json,
+        updated_term_stats, updated_field_stats, updated_suggest_fulltext, updated_suggest_bool_prefix, compacted_suggest_completion,
     )
 }
 REGISTERED |= {"number_ladder_fulltext": _number_ladder("fulltext"), "number_ladder_clauses": _number_ladder("bool_prefix")}
