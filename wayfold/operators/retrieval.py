@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import text as X
 from wayfold.operators.fuzzy import fuzzy_terms, stem, swap_distance
 from wayfold.operators.ranking import FUZZY_PENALTY, additive_score, bm25, document_side, idf, length_norm, popularity_factor, query_side, top_k
-from wayfold.plans.index import HEAVIEST, SHINGLES, SHORT_HEAD, UNIT, Index, range_postings, shingles, unit_ranges
+from wayfold.plans.index import HEAVIEST, SHINGLES, SHORT_HEAD, UNIT, Index, copies_of, range_postings, shingles, unit_ranges
 from wayfold.plans.parse import with_gate, without_numbers
 from wayfold.schema import TYPES
 from wayfold.sources.scratch import stored
@@ -36,7 +36,7 @@ PLACES = 6
 
 
 def unit_hits(units: DataFrame, index: Index, weight: Column | None = None) -> DataFrame:
-    """``field, open, text, id, tf, dl`` of every document that holds a term of a unit; ``tf`` counts all of its terms.
+    """``field, open, text, id, tf, dl, copies`` of every document that holds a term of a unit; ``tf`` counts all of its terms.
 
     With ``weight`` (of a posting's ``tf``, ``df``) also ``ft``, its sum.
     """
@@ -44,11 +44,11 @@ def unit_hits(units: DataFrame, index: Index, weight: Column | None = None) -> D
     if weight is not None:
         rows = index.with_df(rows)
     more = [] if weight is None else [F.sum(weight).alias("ft")]
-    return rows.groupBy(*UNIT, "id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"), *more)
+    return rows.groupBy(*UNIT, "id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"), F.max("copies").alias("copies"), *more)
 
 
 def unit_df(hits: DataFrame) -> DataFrame:
-    return hits.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("df"))
+    return hits.groupBy(*UNIT).agg(F.sum("copies").alias("df"))
 
 
 def meet(slots: DataFrame, hits: DataFrame, allowed: DataFrame | None = None, score: str | None = None) -> DataFrame:
@@ -58,23 +58,31 @@ def meet(slots: DataFrame, hits: DataFrame, allowed: DataFrame | None = None, sc
     The rarest unit of a query gives its candidates, so a common word costs no more than the rarest one beside it.
     ``allowed`` (ids) restricts the candidates before anything is probed.
     """
+    key = _key()
     slots = slots.select("query_id", *UNIT).distinct()
-    unit = F.struct(*UNIT)
-    given = [(F.lit(0.0) if score is None else F.col(score)).alias("given")]
-    known = slots.join(unit_df(hits), list(UNIT), "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ask = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"), F.min(F.struct("df", unit.alias("u"))).alias("rarest")).filter("rarest.df > 0")
-    first = ask.select("query_id", "asked", *(F.col(f"rarest.u.{c}").alias(c) for c in UNIT)).join(hits.select(*UNIT, "id", *given), list(UNIT))
+    known = slots.join(unit_df(hits), list(UNIT), "left").select("query_id", F.struct(F.coalesce("df", F.lit(0)).alias("df"), key.alias("key")).alias("u"))
+    # queries that ask for the same units are met once
+    asks = known.groupBy("query_id").agg(F.sort_array(F.collect_list("u")).alias("units")).filter(F.col("units")[0]["df"] > 0)
+    asks = stored(asks.select("query_id", F.min("query_id").over(W.partitionBy("units")).alias("first"), F.col("units")["key"].alias("units")), "asks")
+    sets = asks.filter("query_id = first").select("first", F.col("units")[0].alias("key"), F.slice("units", 2, F.greatest(F.size("units") - 1, F.lit(1))).alias("others"))
+    held = hits.select("id", key.alias("key"), (F.lit(0.0) if score is None else F.col(score)).alias("given"))
+    opening = sets.join(held, "key").select("first", "others", "id", "given")
     if allowed is not None:
-        first = first.join(allowed, "id", "left_semi")
-    others = slots.join(ask.select("query_id", *(F.col(f"rarest.u.{c}").alias(c) for c in UNIT)), ["query_id", *UNIT], "left_anti")
-    alone = first.filter("asked = 1").select("query_id", "id", "given")
-    opening = first.filter("asked > 1").select("query_id", "id", "asked", F.col("given").alias("begin"))
-    probed = opening.join(others, "query_id").join(hits.select(*UNIT, "id", *given), [*UNIT, "id"])
-    met = probed.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("met"), F.first("asked").alias("asked"), (F.first("begin") + F.sum("given")).alias("given")).filter("met = asked - 1")
-    both = alone.unionByName(met.select("query_id", "id", "given"))
+        opening = opening.join(allowed, "id", "left_semi")
+    alone = opening.filter("size(others) = 0").select("first", "id", "given")
+    # a document's hits of the batch lie in one row, so a candidate is probed once and not for each unit
+    together = held.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "given"))).alias("held"))
+    probed = opening.filter("size(others) > 0").join(together, "id").filter(F.size(F.array_except("others", F.map_keys("held"))) == 0)
+    met = probed.select("first", "id", F.aggregate("others", F.col("given"), lambda total, k: total + F.element_at("held", k)).alias("given"))
+    both = asks.select("query_id", "first").join(alone.unionByName(met), "first")
     return both.select("query_id", "id", *([F.col("given").alias(score)] if score else []))
 
 
+def _key() -> Column:
+    """A unit as one text."""
+    return F.concat_ws("|", "field", F.col("open").cast("string"), "text")
+
+
 def _unit(field: str, opened: bool, text: Column) -> Column:
     return F.struct(F.lit(field).alias("field"), F.lit(opened).alias("open"), text.alias("text"))
 
@@ -144,7 +152,7 @@ def suggest_fulltext(queries: DataFrame, index: Index, limit: int = 10, types: l
     if not fewer.isEmpty():
         found = exact.unionByName(stored(_fulltext_pass(fewer, index, types, debug).withColumn("pass", F.lit("no_number")), "no-number"))
     if fuzzy:
-        counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_contains("number_tokens", F.col("house_number"))).alias("exact_number"))
+        counts = found.groupBy("query_id").agg(F.sum(copies_of(found)).alias("n"), F.max(F.array_contains("number_tokens", F.col("house_number"))).alias("exact_number"))
         short = queries.join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < limit).filter(~F.coalesce("exact_number", F.lit(False))).drop("n", "exact_number")
         more = fuzzy_pass(stored(short, "queries"), index, types, debug).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
         found = found.unionByName(more.withColumn("pass", F.lit("fuzzy")))
@@ -353,7 +361,7 @@ def fuzzy_gate(queries: DataFrame, index: Index, near: DataFrame, types: list[st
     """Documents that hold, for every token that is no number, a text within the token's edits."""
     tokens = queries.select("query_id", F.explode(F.array_distinct(without_numbers(F.col("locative")))).alias("token")).distinct()
     hits = unit_hits(near, index)
-    by_token = near.join(hits, list(UNIT)).select(F.lit("").alias("field"), F.lit(False).alias("open"), F.col("token").alias("text"), "id").distinct()
+    by_token = near.join(hits, list(UNIT)).select(F.lit("").alias("field"), F.lit(False).alias("open"), F.col("token").alias("text"), "id", "copies").distinct()
     slots = tokens.select("query_id", F.lit("").alias("field"), F.lit(False).alias("open"), F.col("token").alias("text"))
     return meet(slots, by_token, allowed_ids(index, types))
 

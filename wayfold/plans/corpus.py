@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import text as X
+from wayfold.operators.ranking import top_k
 from wayfold.schema import DOCUMENT, TYPES, ImportOptions
 from wayfold.sources.scratch import stored
 
@@ -61,10 +65,13 @@ def aggregate(rows: DataFrame, *keys: str) -> DataFrame:
 def aggregate_all(rows: DataFrame) -> DataFrame:
     """All three groupings in one pass by grouping sets; ``level`` names a row's grouping."""
     order = [c for c in ("file", "ord") if c in rows.columns]
+    # rows that stand for several count as many times
+    n = F.sum("copies") if "copies" in rows.columns else F.count(F.lit(1))
+    mean = lambda c: F.sum(F.col(c) * F.col("copies")) / n if "copies" in rows.columns else F.avg(c)
     keyed = rows.withColumns({"k_street": F.col("street_id"), "k_postcode": F.col("postcode"), "k_nis": F.col("municipality_id")})
     sets = [[F.col("k_street"), F.col("k_postcode")], [F.col("k_nis")], [F.col("k_postcode")]]
     grouped = keyed.groupingSets(sets, "k_street", "k_postcode", "k_nis")
-    out = grouped.agg(F.grouping_id().alias("g"), F.min_by(F.struct(*_FIRST), F.struct(*order)).alias("f"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("popularity"))
+    out = grouped.agg(F.grouping_id().alias("g"), F.min_by(F.struct(*_FIRST), F.struct(*order)).alias("f"), mean("lat").alias("lat"), mean("lon").alias("lon"), n.alias("popularity"))
     level = F.when(F.col("g") == 1, "street").when(F.col("g") == 6, "municipality").otherwise("postcode")
     return out.select(level.alias("level"), "k_street", "k_postcode", "k_nis", "f.*", "lat", "lon", "popularity")
 
@@ -111,6 +118,10 @@ def _postcodes(p: DataFrame) -> DataFrame:
     return finish(p.select(F.concat(F.lit("postcode:"), "postcode").alias("id"), F.lit("postcode").alias("doc_type"), label.alias("label"), "postcode", "post_name", "municipality_name", F.col("municipality_id").alias("nis_code"), "lat", "lon", "popularity", other.alias("aliases")))
 
 
+def address_ident() -> Column:
+    return F.concat_ws(":", F.lit("address"), F.nullif(F.col("region_code"), F.lit("")), "address_id")
+
+
 def address_documents(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """One document a row; its popularity is the number of addresses in its street.
 
@@ -118,7 +129,7 @@ def address_documents(rows: DataFrame, ordered: bool = False) -> DataFrame:
     and meet the few results again. ``rows`` are cleaned, so no cell of theirs is null.
     """
     shared = ["street_id", "postcode", *_FIRST]
-    counts = rows.groupBy("street_id", "postcode").agg(F.count(F.lit(1)).alias("popularity"))
+    counts = rows.groupBy("street_id", "postcode").agg((F.sum("copies") if "copies" in rows.columns else F.count(F.lit(1))).alias("popularity"))
     municipality, post_name, parts = _locality()
     name = X.pick_name(*(F.col(f"streetname_{x}") for x in ("nl", "fr", "de")))
     named = rows.select(*shared).distinct().withColumns({"name": name, "municipality_name": municipality, "post_name": post_name, "parts": parts}).filter("name <> ''")
@@ -128,8 +139,8 @@ def address_documents(rows: DataFrame, ordered: bool = False) -> DataFrame:
     number, box = F.nullif(F.col("house_number"), F.lit("")), F.nullif(F.col("box_number"), F.lit(""))
     street = F.concat(F.col("name"), F.coalesce(F.concat(F.lit(" "), number), F.lit("")), F.coalesce(F.concat(F.lit(" bus "), box), F.lit("")))
     label = X.address_line(street, F.col("postcode"), F.col("post_name"), F.col("municipality_name"))
-    ident = F.concat_ws(":", F.lit("address"), F.nullif(F.col("region_code"), F.lit("")), "address_id")
-    more = ["batch_order"] if ordered else []
+    ident = address_ident()
+    more = ["batch_order"] if ordered else [c for c in ("copies",) if c in rows.columns]
     a = a.withColumn("batch_order", _batch_order(rows)) if ordered else a
     return finish(a.select(*more, ident.alias("id"), F.lit("address").alias("doc_type"), label.alias("label"), F.col("name").alias("street_name"), number.alias("house_number"), box.alias("box_number"), "postcode", "post_name", "municipality_name", F.col("municipality_id").alias("nis_code"), "lat", "lon", "popularity", "aliases"), *more)
 
@@ -137,7 +148,10 @@ def address_documents(rows: DataFrame, ordered: bool = False) -> DataFrame:
 def build_corpus(rows: DataFrame, options: ImportOptions = ImportOptions(), ordered: bool = False) -> DataFrame:
     """The documents of the families that ``options`` names. Streets, municipalities and postcodes come out of one pass
     over the rows, whose groups are stored. With ``ordered`` also ``batch_order``, by which the last of an id counts."""
-    rows = clean_cells(rows)
+    return _families(clean_cells(rows), options, ordered)
+
+
+def _families(rows: DataFrame, options: ImportOptions, ordered: bool = False) -> DataFrame:
     parts = []
     if options.streets or options.regions:
         groups = stored(aggregate_all(rows), "groups")
@@ -149,6 +163,9 @@ def build_corpus(rows: DataFrame, options: ImportOptions = ImportOptions(), orde
             parts.append(_postcodes(level("postcode").withColumnRenamed("k_postcode", "postcode")))
     if ordered:
         parts = [p.withColumn("batch_order", F.lit(None).cast(rows.select(_batch_order(rows).alias("o")).schema["o"].dataType)) for p in parts]
+    if "copies" in rows.columns:
+        parts = [p.withColumn("copies", F.lit(1).cast("bigint")) for p in parts]
+        rows = rows.withColumns({"lat": F.col("own.lat"), "lon": F.col("own.lon")})
     if options.addresses:
         parts.append(address_documents(rows, ordered))
     out = parts[0]
@@ -157,6 +174,55 @@ def build_corpus(rows: DataFrame, options: ImportOptions = ImportOptions(), orde
     return out
 
 
+# ------------------------------------------------------------------ addresses alike
+
+#: The cells that an address document is searched and scored by. Its id, box and coordinates are none of them.
+_ALIKE = ("street_id", "house_number", "postcode", *_FIRST)
+
+
+def _alike() -> list[Column]:
+    """What rows are compared by; the hash stands first, so that sorting seldom looks at the texts."""
+    return [F.xxhash64(*_ALIKE).alias("alike"), *(F.col(c) for c in _ALIKE)]
+
+
+def condensed(rows: DataFrame) -> DataFrame:
+    """Cleaned ``rows`` that agree in all that an address is searched and scored by as one row, that of the smallest id,
+    with ``copies`` (how many they are), the place of the first in the import, and mean coordinates (``own``: the row's)."""
+    order = [c for c in ("file", "ord") if c in rows.columns]
+    own = F.min(F.struct(address_ident().alias("id"), "region_code", "address_id", "box_number", "lat", "lon"))
+    out = rows.groupBy(*_alike()).agg(own.alias("own"), F.min(F.struct(*order)).alias("o"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("copies"))
+    return out.select("alike", *_ALIKE, "own.id", "own.region_code", "own.address_id", "own.box_number", "own", "o.*", "lat", "lon", "copies")
+
+
+@dataclasses.dataclass(frozen=True)
+class Condensed:
+    """A corpus in which addresses that differ in nothing but id, box and coordinates are one document with ``copies``,
+    the one of the smallest id. Every address stays in ``rows``, and ``with_copies`` brings all back into an answer."""
+
+    docs: DataFrame
+    rows: DataFrame
+    groups: DataFrame
+
+    @classmethod
+    def of(cls, rows: DataFrame, options: ImportOptions) -> Condensed:
+        plain = stored(clean_cells(rows).withColumn("id", address_ident()), "rows")
+        groups = stored(condensed(plain), "alike")
+        return cls(_families(groups, options), plain, groups)
+
+    def with_copies(self, hits: DataFrame, limit: int) -> DataFrame:
+        """``query_id, id, rank, score, pass`` of the ``limit`` best documents of each query out of ``hits``, the ``limit`` best of ``docs``.
+
+        A document behind so many others of ``docs`` has none among the best that stands for it, so nothing else is asked for;
+        of those alike, which differ by id alone, the ``limit`` smallest ids are.
+        """
+        hits = stored(hits.select("query_id", "id", "rank_tier", "score", "popularity", "pass", "copies"), "hits")
+        met = hits.filter("copies > 1").select("id").distinct().join(self.groups, "id").select("alike", *_ALIKE, F.col("id").alias("first"))
+        same = self.rows.withColumn("alike", F.xxhash64(*_ALIKE)).join(stored(met, "met"), ["alike", *_ALIKE]).select("first", "id")
+        some = same.withColumn("n", F.row_number().over(W.partitionBy("first").orderBy("id"))).filter(F.col("n") <= limit).drop("n")
+        every = hits.filter("copies = 1").drop("copies").unionByName(hits.filter("copies > 1").withColumnRenamed("id", "first").join(some, "first").drop("first", "copies"))
+        return top_k(every, limit)
+
+
 # ------------------------------------------------------------------ places
 
 

@@ -72,24 +72,30 @@ def field_terms() -> dict[str, Column]:
 
 
 def postings(docs: DataFrame, *names: str) -> DataFrame:
-    """``field, term, id, tf, dl``: how often each term stands in each field of each document, and the field's length."""
+    """``field, term, id, tf, dl, copies``: how often each term stands in each field of each document, the field's length,
+    and how many documents the row stands for (``copies`` of ``docs``; one without it)."""
     every = field_terms()
     chosen = {k: every[k] for k in names or fields()}
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("terms")) for k, v in chosen.items()))).alias("f")
-    rows = docs.select("id", each).select("id", "f.field", F.size("f.terms").cast("bigint").alias("dl"), F.explode("f.terms").alias("term"))
+    rows = docs.select("id", copies_of(docs).alias("copies"), each).select("id", "copies", "f.field", F.size("f.terms").cast("bigint").alias("dl"), F.explode("f.terms").alias("term"))
     # a document's terms lie in one row, so its counts are complete before anything is shuffled
-    return rows.groupBy("field", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    return rows.groupBy("field", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.max("copies").alias("copies"))
+
+
+def copies_of(docs: DataFrame) -> Column:
+    """How many documents a row stands for."""
+    return F.col("copies") if "copies" in docs.columns else F.lit(1).cast("bigint")
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
     """``field, term, df``."""
-    return posted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    return posted.groupBy("field", "term").agg(F.sum("copies").alias("df"))
 
 
 def field_sums(posted: DataFrame) -> DataFrame:
     """``field, docs, total``: documents that have the field and the sum of its lengths; sums of parts can be added."""
-    lengths = posted.groupBy("field", "id").agg(F.max("dl").alias("dl"))
-    return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.sum("dl").alias("total"))
+    lengths = posted.groupBy("field", "id").agg(F.max("dl").alias("dl"), F.max("copies").alias("copies"))
+    return lengths.groupBy("field").agg(F.sum("copies").alias("docs"), F.sum(F.col("dl") * F.col("copies")).alias("total"))
 
 
 def field_stats(posted: DataFrame) -> DataFrame:
@@ -167,14 +173,14 @@ def buckets_of(spark: SparkSession, rows: int) -> int:
 
 
 #: The columns of stored postings.
-_POSTING = "block bigint, ord bigint, id string, tf bigint, dl bigint, df bigint"
+_POSTING = "block bigint, ord bigint, id string, tf bigint, dl bigint, df bigint, copies bigint"
 
 
 def write_segment(docs: DataFrame, posted: DataFrame, terms: DataFrame, rows: int, folder: str) -> tuple[str, int, str]:
     """The documents, the postings (``rows`` of them) under their terms' numbers and the completion inputs below ``folder``;
     returned are the folder, the buckets and the documents' columns, which files of an empty table would not tell."""
     buckets = buckets_of(docs.sparkSession, rows)
-    laid = posted.join(terms, ["field", "term"]).select(block_of(F.col("ord")).alias("block"), "ord", "id", "tf", "dl", "df")
+    laid = posted.join(terms, ["field", "term"]).select(block_of(F.col("ord")).alias("block"), "ord", "id", "tf", "dl", "df", "copies")
     _bucketed(laid, f"{folder}/postings", buckets, "block", "block", "ord", "id")
     _bucketed(docs.withColumn("_falling", -F.col("popularity")), f"{folder}/docs", buckets, "id", "doc_type", "_falling", "id")
     stored(completion_entries(docs), "", f"{folder}/completions")
@@ -233,8 +239,7 @@ class Index:
         """The index of stored ``docs`` and their stored postings, in one segment."""
         spark = docs.sparkSession
         terms = stored(numbered_terms(term_stats(posted), folder), "", f"{folder}/terms")
-        rows = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-        return cls.commit(spark, folder, names, [write_segment(docs, posted, terms, rows, folder)], terms, field_sums(posted))
+        return cls.commit(spark, folder, names, [write_segment(docs, posted, terms, posted.count(), folder)], terms, field_sums(posted))
 
     @classmethod
     def commit(cls, spark: SparkSession, folder: str, names: tuple[str, ...], segments: list[tuple[str, int, str]], terms: DataFrame, sums: DataFrame) -> Index:
@@ -267,7 +272,7 @@ class Index:
 
     @functools.cached_property
     def postings(self) -> DataFrame:
-        """``block, ord, id, tf, dl, df`` of all segments."""
+        """``block, ord, id, tf, dl, df, copies`` of all segments."""
         return self.with_df(self._of_all(lambda s: s.postings))
 
     def with_df(self, rows: DataFrame) -> DataFrame:

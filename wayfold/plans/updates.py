@@ -45,7 +45,7 @@ def placed(terms: DataFrame) -> DataFrame:
 def changed_terms(index: Index, added: DataFrame, lost: DataFrame) -> DataFrame:
     """``field, term, df, ord, changed``: the dictionary with the postings ``added`` and without those ``lost``; ``ord`` is
     null where a term is new. Terms that no document holds any more are left out."""
-    count = lambda rows, n: rows.groupBy("field", "term").agg((F.count(F.lit(1)) * n).alias("n"))
+    count = lambda rows, n: rows.groupBy("field", "term").agg((F.sum("copies") * n).alias("n"))
     change = count(added, 1).unionByName(count(lost, -1)).groupBy("field", "term").agg(F.sum("n").alias("n")).filter("n <> 0")
     both = index.terms.select("field", "term", "df", "ord", "changed").join(change, ["field", "term"], "full_outer")
     df = F.coalesce("df", F.lit(0)) + F.coalesce("n", F.lit(0))
@@ -91,5 +91,5 @@ def compacted(index: Index, folder: str | None = None) -> Index:
     not taken apart again."""
     folder = folder or fresh_path(index.spark, "index")
     terms = index.terms.select("ord", "field", "term")
-    posted = index.postings.join(terms, "ord").select("field", "term", "id", "tf", "dl")
+    posted = index.postings.join(terms, "ord").select("field", "term", "id", "tf", "dl", "copies")
     return Index.laid(stored(index.docs, "", f"{folder}/documents"), stored(posted, "", f"{folder}/field-postings"), index.names, folder)
