@@ -34,3 +34,15 @@ def test_addresses_alike_are_one_document_and_all_answer(spark):
     got = show(found.with_copies(M.suggest_clauses(asked, small, "bool_prefix"), 10))
     assert got == show(M.suggest_clauses(asked, whole, "bool_prefix"))
     assert len([r for r in got if r[0] == "kerkstraat 12 gent"]) == 10
+
+
+def test_additive_answers_are_those_of_the_whole_index(spark):
+    rows, options = register(spark), ImportOptions.level("address")
+    names = ("search_text", "name_start")
+    found = C.Condensed.of(rows, options)
+    small, whole = M.Index.of(found.docs, names), M.Index.of(C.build_corpus(rows, options), names)
+    asked = parse_queries(spark.createDataFrame([(x, x) for x in ("kerkstraat gent", "kerkstraat 77")], "query_id string, query string"), house_numbers_indexed=True)
+    show = lambda hits: [(r.query_id, r["rank"], r.id, r.score, r["pass"]) for r in hits.orderBy("query_id", "rank").select("query_id", "rank", "id", F.round("score", 4).alias("score"), "pass").collect()]
+    got = show(found.with_copies(M.suggest_fulltext(asked, small), 10))
+    assert got == show(M.suggest_fulltext(asked, whole))
+    assert [r[4] for r in got if r[0] == "kerkstraat gent"] == ["exact"] * 10
