@@ -5,6 +5,9 @@ from wayfold.plans import corpus as C
 from wayfold.plans import index as I  # noqa: E741
 from wayfold.plans.parse import parse_queries
 from wayfold.schema import REGISTER, ImportOptions
+from wayfold.sources import tables as T
+from wayfold.sources.exports import usable
+from wayfold.sources.scratch import stored
 
 
 def register(spark):
@@ -46,3 +49,24 @@ def test_additive_answers_are_those_of_the_whole_index(spark):
     got = show(found.with_copies(M.suggest_fulltext(asked, small), 10))
     assert got == show(M.suggest_fulltext(asked, whole))
     assert [r[4] for r in got if r[0] == "kerkstraat gent"] == ["exact"] * 10
+
+
+def test_lines_joined_once_answer_for_register_and_copies(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = stored(T.order_lines(spark, sf).filter(T.CURRENT), "lines")
+    # the nation and region tables are small enough to go to the lines, which stay where they are
+    found = C.Condensed.of(usable(T.register_rows(spark, sf, lines)), ImportOptions.level("address"))
+    plan = found.rows._jdf.queryExecution().executedPlan().toString()
+    assert "lines-" in plan and "hashpartitioning" not in plan
+    key = lambda rows: sorted(tuple(r) for r in rows.select(C.address_ident().alias("id"), *C._ALIKE, "box_number", "lat", "lon").collect())
+    assert key(found.rows) == key(C.clean_cells(usable(T.register_rows(spark, sf))))
+
+
+def test_few_postings_have_few_buckets(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        least = 4 * spark.sparkContext.defaultParallelism
+        assert [I.buckets_of(spark, n) for n in (0, 10_000_000, 1_200_000_000)] == [least, 200, 300]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

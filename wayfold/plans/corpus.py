@@ -139,7 +139,7 @@ def address_documents(rows: DataFrame, ordered: bool = False) -> DataFrame:
     number, box = F.nullif(F.col("house_number"), F.lit("")), F.nullif(F.col("box_number"), F.lit(""))
     street = F.concat(F.col("name"), F.coalesce(F.concat(F.lit(" "), number), F.lit("")), F.coalesce(F.concat(F.lit(" bus "), box), F.lit("")))
     label = X.address_line(street, F.col("postcode"), F.col("post_name"), F.col("municipality_name"))
-    ident = address_ident()
+    ident = F.col("id") if "copies" in rows.columns else address_ident()
     more = ["batch_order"] if ordered else [c for c in ("copies",) if c in rows.columns]
     a = a.withColumn("batch_order", _batch_order(rows)) if ordered else a
     return finish(a.select(*more, ident.alias("id"), F.lit("address").alias("doc_type"), label.alias("label"), F.col("name").alias("street_name"), number.alias("house_number"), box.alias("box_number"), "postcode", "post_name", "municipality_name", F.col("municipality_id").alias("nis_code"), "lat", "lon", "popularity", "aliases"), *more)
@@ -189,15 +189,17 @@ def condensed(rows: DataFrame) -> DataFrame:
     """Cleaned ``rows`` that agree in all that an address is searched and scored by as one row, that of the smallest id,
     with ``copies`` (how many they are), the place of the first in the import, and mean coordinates (``own``: the row's)."""
     order = [c for c in ("file", "ord") if c in rows.columns]
-    own = F.min(F.struct(address_ident().alias("id"), "region_code", "address_id", "box_number", "lat", "lon"))
+    own = F.min(F.struct(address_ident().alias("id"), "box_number", "lat", "lon"))
     out = rows.groupBy(*_alike()).agg(own.alias("own"), F.min(F.struct(*order)).alias("o"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("copies"))
-    return out.select("alike", *_ALIKE, "own.id", "own.region_code", "own.address_id", "own.box_number", "own", "o.*", "lat", "lon", "copies")
+    return out.select("alike", *_ALIKE, "own.id", "own.box_number", "own", "o.*", "lat", "lon", "copies")
 
 
 @dataclasses.dataclass(frozen=True)
 class Condensed:
     """A corpus in which addresses that differ in nothing but id, box and coordinates are one document with ``copies``,
-    the one of the smallest id. Every address stays in ``rows``, and ``with_copies`` brings all back into an answer."""
+    the one of the smallest id. Every address stays in ``rows``, and ``with_copies`` brings all back into an answer.
+
+    ``rows`` are read twice and not stored here, so that cells that are the same in all of them stay constants of the plan."""
 
     docs: DataFrame
     rows: DataFrame
@@ -205,8 +207,9 @@ class Condensed:
 
     @classmethod
     def of(cls, rows: DataFrame, options: ImportOptions) -> Condensed:
-        plain = stored(clean_cells(rows).withColumn("id", address_ident()), "rows")
-        groups = stored(condensed(plain), "alike")
+        plain = clean_cells(rows).withColumn("id", address_ident())
+        # as many files as the groups fill, not as many as the rows were shuffled in
+        groups = stored(condensed(plain).hint("rebalance"), "alike")
         return cls(_families(groups, options), plain, groups)
 
     def with_copies(self, hits: DataFrame, limit: int) -> DataFrame:
@@ -217,8 +220,11 @@ class Condensed:
         """
         hits = stored(hits.select("query_id", "id", "rank_tier", "score", "popularity", "pass", "copies"), "hits")
         met = hits.filter("copies > 1").select("id").distinct().join(self.groups, "id").select("alike", *_ALIKE, F.col("id").alias("first"))
-        same = self.rows.withColumn("alike", F.xxhash64(*_ALIKE)).join(stored(met, "met"), ["alike", *_ALIKE]).select("first", "id")
-        some = same.withColumn("n", F.row_number().over(W.partitionBy("first").orderBy("id"))).filter(F.col("n") <= limit).drop("n")
+        met = stored(met, "met")
+        # only rows that may be alike move, and of those no more than the smallest ids of each task
+        near = self.rows.select(*_alike(), "id").join(met.select("alike"), "alike", "left_semi")
+        least = near.withColumn("n", F.row_number().over(W.partitionBy("alike", *_ALIKE).orderBy("id"))).filter(F.col("n") <= limit)
+        some = least.join(met, ["alike", *_ALIKE]).select("first", "id")
         every = hits.filter("copies = 1").drop("copies").unionByName(hits.filter("copies > 1").withColumnRenamed("id", "first").join(some, "first").drop("first", "copies"))
         return top_k(every, limit)
 

@@ -36,8 +36,8 @@ OPENED = ("search_text", "primary_name", "aliases", "postcode", "name_start", *S
 LONGEST_QUERY = 120
 #: Numbers from one term of a new dictionary to the next, and terms of a block of it, as powers of two.
 ROOM_BITS, BLOCK_BITS = 20, 8
-#: Postings of a bucket.
-BUCKET_ROWS = 4_000_000
+#: Postings of a bucket at most, and at least where there would be more buckets than cores have use for.
+BUCKET_ROWS, LEAST_ROWS = 4_000_000, 50_000
 #: Heads of completion inputs up to so many characters have their heaviest entries stored, so many of each type.
 SHORT_HEAD, HEAVIEST = STEM + 1, 50
 
@@ -169,7 +169,9 @@ def _open_bucketed(spark: SparkSession, path: str, buckets: int, by: str, column
 
 
 def buckets_of(spark: SparkSession, rows: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+    """As many as a shuffle has partitions, more for many rows and fewer for few: every lookup has a task for each."""
+    some = max(4 * spark.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS))
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), some), -(-rows // BUCKET_ROWS))
 
 
 #: The columns of stored postings.

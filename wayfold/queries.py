@@ -243,9 +243,11 @@ def _number_ladder(method: str) -> Query:
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         asked = stored(parse_queries(T.numbered_queries(spark, sf), house_numbers_indexed=True), "queries")
+        # the tables are joined once for the addresses and for their copies
+        lines = stored(T.order_lines(spark, sf).filter(T.CURRENT), "lines")
         # the fields that the method reads; addresses alike are looked up and scored once
         names = ("search_text", "name_start") if method == "fulltext" else (*I.fields(), "name")
-        found = C.Condensed.of(usable(T.register_rows(spark, sf)), ImportOptions.level("all"))
+        found = C.Condensed.of(usable(T.register_rows(spark, sf, lines)), ImportOptions.level("all"))
         return _hits(found.with_copies(M.REGISTRY[method](asked, M.Index.of(found.docs, names)), 10))
 
     return run

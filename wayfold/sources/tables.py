@@ -14,12 +14,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as addresses: parts name streets, nations are municipalities, and customers pick the postcode."""
+#: What the register and the typed queries ask of an order line, its part and its customer.
+_LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "c_custkey", "c_nationkey", "p_name")
+
+#: Order lines that are current addresses.
+CURRENT = "l_linestatus = 'O'"
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their customer's key and nation and their part's name."""
     t = lambda n: table(spark, sf_dir, n)
-    # orders meet their customers first, so that order lines move twice and not once for each of four tables
-    placed = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = t("lineitem").join(t("orders").join(placed, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    # orders meet their customers first, so that order lines move twice and not three times
+    placed = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return t("lineitem").join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(*_LINE)
+
+
+def register_rows(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Order lines as addresses: parts name streets, nations are municipalities, and customers pick the postcode. ``lines``:
+    ``order_lines`` that are stored already, all or those that are ``CURRENT``."""
+    t = lambda n: table(spark, sf_dir, n)
+    rows = order_lines(spark, sf_dir) if lines is None else lines
+    rows = rows.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     odd = F.col("c_custkey") % 2 == 1
     cells = {
         "lat": 50 + F.col("l_discount"),
@@ -34,7 +49,7 @@ def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "street_id": F.col("p_name"),
         "streetname_nl": F.col("p_name"),
         "region_code": F.col("r_name"),
-        "status": F.when(F.col("l_linestatus") == "O", "current").otherwise("retired"),
+        "status": F.when(F.expr(CURRENT), "current").otherwise("retired"),
     }
     ord_ = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("ord")
     return rows.select(*(cells.get(c.name, F.lit("")).cast("string").alias(c.name) for c in REGISTER), ord_)
@@ -61,8 +76,7 @@ def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``p_name, n_nationkey``: each part with the nation it occurs in most, each nation with its most frequent part."""
-    t = lambda n: table(spark, sf_dir, n)
-    met = t("lineitem").join(t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    met = order_lines(spark, sf_dir)
     # stored, since every kind of query asks for the pairs again
     met = stored(met.groupBy("p_name", "c_nationkey").agg(F.count(F.lit(1)).alias("n")), "met")
     by_part = met.groupBy("p_name").agg(F.max_by("c_nationkey", F.struct("n", -F.col("c_nationkey"))).alias("n_nationkey"))
